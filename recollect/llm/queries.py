@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import mixing
+from recollect.llm import mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +22,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [r.kind for r in secrets.BASE_RULES]
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    of_base = F.filter("found", lambda x: x["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(secrets.spans_text(of_base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("found")).alias("spans"),
+    )
+
+
+def _spans_sql(rule: secrets.Rule, nth: int) -> str:
+    """A list of (start, nth, end) in DuckDB, by another route: running sums over all earlier pieces."""
+    regex = rule.regex.replace("'", "''")
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{regex}')) + 1), lambda i: {{
+        'start': CAST(list_sum(list_transform(string_split_regex(t, '{regex}')[1:i], lambda x: length(x)))
+               + coalesce(list_sum(list_transform(regexp_extract_all(t, '{regex}')[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+        'nth': {nth}, 'n': length(regexp_extract_all(t, '{regex}')[i]),
+        'good': length(regexp_extract_all(t, '{regex}', {rule.group})[i]) >= {rule.least}}}), lambda x: x.good)"""
+
+
+def _secrets_sql() -> str:
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
+    lists = ", ".join(f"{_spans_sql(r, i)} AS s{i}" for i, r in enumerate(secrets.RULES))
+    n = len(secrets.BASE_RULES)
+    merged = lambda k: "list_sort(" + "flatten([" + ", ".join(f"s{i}" for i in range(k)) + "]))"
+    text = lambda k: (
+        f"array_to_string(list_transform({merged(k)}, lambda x: {kinds}[x.nth + 1] || ':' || x.start || ':' || (x.start + x.n)), ',')"
+    )
+    counts = ", ".join(f"CAST(len(s{i}) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(secrets.BASE_RULES))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, {lists} FROM d)
+        SELECT doc_id, {counts}, sha256({text(n)}) AS base_sha256, {text(len(secrets.RULES))} AS spans FROM s"""
+
+
+ORACLE_SQL["op5_secrets"] = _secrets_sql()
+
+
 @_query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
