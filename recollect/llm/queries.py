@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, mixing, secrets, simhash
+from recollect.llm import chat, mixing, secrets, simhash, warc
+from recollect.session import scratch_root, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,3 +100,36 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path).select(
+        "record_id",
+        "kind",
+        "page_id",
+        "refers_to",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+    )
+    records = written(records, "warc-records")
+    responses = records.where("kind = 'response'").drop("refers_to")
+    again = records.where("kind = 'revisit'").select("page_id", F.col("refers_to").alias("record_id"))
+    of = responses.select("record_id", F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return (
+        responses.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+        .select(*columns)
+        .unionByName(again.join(of, "record_id", "left").withColumn("record_type", F.lit("revisit")).select(*columns))
+    )
+
+
+ORACLE_SQL["op10_warc"] = """
+    WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+    r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page_id NULLS LAST) AS k,
+                 first_value(page_id) OVER (PARTITION BY digest ORDER BY page_id NULLS LAST) AS f FROM p)
+    SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+        CASE WHEN k = 1 OR n < 100 THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN k > 1 AND n >= 100 THEN f END AS refers_to FROM r"""
