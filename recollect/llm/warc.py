@@ -150,15 +150,16 @@ def write_archives(
     empty; a null url has no header. Other columns are not read. No rows, no records.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html"))
-    small = rows.where(F.col("n") >= least_revisit_bytes).select("page_id", "digest")
+    rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("row", F.concat_ws("|", "digest", "page_id"))
+    small = rows.where(F.octet_length("html") >= least_revisit_bytes).select("row", "page_id", "digest")
     # digests first, so that a payload of very many pages is met by narrow rows only
     first = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    refers = small.distinct().join(first, "digest").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first")
-    joined = rows.join(refers, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("digest"))
+    refers = small.distinct().join(first, "digest").select("row", "first", F.lit(True).alias("shared"))
+    # one shuffle of the pages, by the key of both the join and the window
+    joined = rows.repartition("row").join(refers, "row", "left")
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("digest"))
     own = F.col("page_id").eqNullSafe(F.col("first")) & (F.col("nth") == 1)
-    joined = joined.withColumn("nth", nth).withColumn("refers_to", F.when(F.col("_digest").isNotNull() & ~own, F.col("first")))
+    joined = joined.withColumn("nth", nth).withColumn("refers_to", F.when(F.col("shared") & ~own, F.col("first")))
     records = joined.select("page_id", "url", "html", "digest", "nth", "refers_to").mapInArrow(_write(segment_bytes), "value string")
     (
         records.write.option("lineSep", _END.decode())
