@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recollect.llm._text import string_column, word_counts
 from recollect.session import written
@@ -45,6 +46,11 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@F.arrow_udf(T.LongType())
+def _size(texts: pa.Array) -> pa.Array:
+    return pa.array(word_counts(string_column(pa.RecordBatch.from_arrays([texts], ["text"]), "text")))
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size): the number of words of each text; a null text has none."""
     return docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long")
@@ -185,3 +191,18 @@ def mix(
     return settled.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def repeat(docs: DataFrame, **how) -> DataFrame:
+    """The documents as often as ``mix(docs, **how)`` takes them, with ``copy`` counting from 1.
+
+    Documents that the mix leaves out are gone. Rows of a null or repeated doc_id are told
+    apart by source and size; equal ones share out the copies of all of them in any order.
+    """
+    key = lambda size: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), size, "source").alias("_key")
+    taken = mix(docs, **how).where("copies > 0").groupBy(key("size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_each"))
+    # one shuffle of the texts, by the key of both the join and the window
+    joined = docs.withColumn("_size", _size("text")).select("*", key("_size")).repartition("_key").join(taken, "_key")
+    joined = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_size")) - 1)
+    joined = joined.withColumn("_copies", F.get("_each", "_nth").cast("int")).where("_copies > 0")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontam, fingerprint, lm, mixing, quality, secrets, simhash, warc
+from recollect.llm import chat, decontam, fingerprint, licenses, lm, mixing, quality, secrets, simhash, warc
 from recollect.session import scratch_root, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +112,11 @@ def _secrets_sql() -> str:
 ORACLE_SQL["op5_secrets"] = _secrets_sql()
 
 
+@_query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -160,3 +166,8 @@ ORACLE_SQL["op10_warc"] = """
     SELECT page_id, n AS payload_bytes, digest AS payload_digest,
         CASE WHEN k = 1 OR n < 100 THEN 'response' ELSE 'revisit' END AS record_type,
         CASE WHEN k > 1 AND n >= 100 THEN f END AS refers_to FROM r"""
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
