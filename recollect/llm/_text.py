@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Lower-cases A-Z and nothing else.
 LOWER_AZ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -16,6 +17,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, underscores added to those that ``df`` has a column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def string_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column with nulls as empty strings and 64-bit offsets."""
     column = batch.column(batch.schema.get_field_index(name))

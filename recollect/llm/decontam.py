@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm._text import string_column
+from recollect.llm._text import fresh, string_column
 from recollect.session import written
 
 #: Tokens of a window; tokens in a row that are contamination (all of a shorter item).
@@ -280,7 +280,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run:
     windows = written(item_windows(benchmark, window), "benchmark-windows")
     stats = windows.agg(F.count("*").alias("n"), F.collect_set(F.least(F.col("item_tokens"), F.lit(window)).cast("int")).alias("sizes")).first()
     bits = spark.sparkContext.broadcast(_bit_map(windows))
-    found = docs.select("doc_id", "text").mapInArrow(
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _document_windows(bits, sorted(stats["sizes"])), "doc_id long, text_hash long, doc_at long, hash long, doc_words string"
     )
     windows = F.broadcast(windows) if stats["n"] <= BROADCAST_WINDOWS else windows
@@ -312,5 +312,6 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run: int = LEAST_RUN) -> DataFrame:
     """The documents in which no item is found, columns unchanged; a doc_id goes with all its rows."""
-    bad = find(docs, benchmark, window, least_run).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    (id_,) = fresh(docs, "_id")
+    bad = find(docs, benchmark, window, least_run).select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")

@@ -194,9 +194,10 @@ def compare_with_next(docs: DataFrame, cells: int | None = None) -> DataFrame:
     shuffle partitions by default) bound what the driver sees: one id each.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = docs.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / cells for i in range(1, cells)], 0.2 / cells)
+    inner = [i / cells for i in range(1, cells)]
+    quantiles = inner and docs.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", inner, 0.2 / cells)
     cell = _cell_of(quantiles or [0.0])
     heads = docs.groupBy(cell("doc_id").alias("cell")).agg(F.max("doc_id").alias("head")).orderBy("cell").collect()
     before = {r["head"]: heads[i - 1]["cell"] for i, r in enumerate(heads)}

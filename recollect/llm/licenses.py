@@ -19,6 +19,7 @@ from functools import cache
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from recollect.llm._text import string_column
 
@@ -246,4 +247,4 @@ def find(docs: DataFrame) -> DataFrame:
     exact wording. Null and empty texts have none; repeated rows give their rows again; a
     null doc_id is kept. Other columns are not read. No documents: no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_find, FOUND_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, FOUND_SCHEMA)

@@ -2,11 +2,11 @@
 
 Every document of a source has the same expected number of copies, target /
 source size. The whole part is taken as is; the fractional parts are rounded
-together: a document and the pool of shorter ones exchange word mass (size times
-probability) at random, without bias, until one side is integral, so the source's
-total never moves. Groups of bounded size do this side by side; the single
+together: a document and the pool of shorter ones, or another document, exchange word
+mass (size times probability) at random, without bias, until one side is integral, so
+the source's total never moves. Groups of bounded size do this side by side; the single
 undecided document that each group leaves goes up a reduction tree until one
-document per source is left, which alone is rounded by itself.
+document per source is left, which alone is rounded to the nearer side.
 
 Groups are formed by hash and worked through by falling size, so neither
 partitioning nor retries change the outcome, a source with a third of all rows
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm._text import string_column, word_counts
+from recollect.llm._text import fresh, string_column, word_counts
 from recollect.session import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -53,7 +53,7 @@ def _size(texts: pa.Array) -> pa.Array:
 
 def document_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size): the number of words of each text; a null text has none."""
-    return docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long")
 
 
 def source_targets(
@@ -90,51 +90,66 @@ def _uniform(doc_id: object, size: int, nth: int, salt: int) -> float:
     return xxhash.xxh64_intdigest(f"{doc_id}|{size}|{nth}|{salt}") / 2.0**64
 
 
-def pivot(sizes: np.ndarray, p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
-    """Round ``p``; the sum of sizes * p and every expectation stay, but for float error.
+def pivot_pool(sizes: np.ndarray, p: float, draws: np.ndarray) -> tuple[np.ndarray, int]:
+    """Round probabilities that are all ``p``; the sum of sizes * p and every expectation stay, but for float error.
 
     In the order given (by falling size, so that short documents are left to balance long
     ones) each document is paired with the pool of all after it. Mass goes from the one to
-    the other until the document or the whole pool is integral; the pool gives or takes in
-    proportion, so its members are y = scale * p + shift. Sizes are positive. Returns the
-    new probabilities, 0 or 1 but for one at most, and the index of that one or -1.
+    the other until the document or the whole pool is integral; the pool gives or takes
+    evenly, so its members stay equal. Sizes are positive. Returns the new probabilities, 0
+    or 1 but for one at most, and the index of that one or -1.
     """
-    out = p.copy()
-    pool_size, pool_mass = float(sizes.sum()), float((sizes * p).sum())
-    scale, shift = 1.0, 0.0
+    out, pool, y = np.zeros(len(sizes)), float(sizes.sum()), float(p)
     for i, a in enumerate(sizes):
-        x = min(1.0, max(0.0, scale * p[i] + shift))
-        pool_size -= a
-        pool_mass = min(pool_size, max(0.0, pool_mass - a * x))
-        up, down = min(a * (1 - x), pool_mass), min(a * x, pool_size - pool_mass)
-        if x in (0.0, 1.0) or i == len(p) - 1 or up + down == 0.0:
-            out[i] = x
-            if 0.0 < x < 1.0:
-                out[i + 1 :] = float(pool_mass > 0)
-                return out, i
-            continue
+        pool -= a
+        up, down = min(a * (1 - y), pool * y), min(a * y, pool * (1 - y))
+        if y in (0.0, 1.0) or i == len(sizes) - 1:
+            out[i:] = y
+            return out, i if 0.0 < y < 1.0 else -1
         if draws[i] * (up + down) < down:  # the document gains, with the chance that keeps expectations
-            out[i] = 1.0 if up == a * (1 - x) else x + up / a
-            keep = 1 - up / pool_mass
-            scale, shift, pool_mass = scale * keep, shift * keep, pool_mass - up
+            out[i] = 1.0 if up == a * (1 - y) else y + up / a
+            y = 0.0 if up == pool * y else y - up / pool
         else:
-            out[i] = 0.0 if down == a * x else x - down / a
-            keep = 1 - down / (pool_size - pool_mass)
-            scale, shift, pool_mass = scale * keep, 1 - (1 - shift) * keep, pool_mass + down
-        if 0.0 < out[i] < 1.0:  # the pool is integral
-            out[i + 1 :] = float(keep == 0.0 and shift > 0.5)
+            out[i] = 0.0 if down == a * y else y - down / a
+            y = 1.0 if down == pool * (1 - y) else y + down / pool
+        if 0.0 < out[i] < 1.0:
+            out[i + 1 :] = y
             return out, i
     return out, -1
 
 
-def _round_group(salt: int, last: bool):
+def pivot_pairs(sizes: np.ndarray, p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
+    """The same for any probabilities: the undecided document is paired with the next one, again and again."""
+    out, carry = p.astype(float), -1
+    for i, y in enumerate(out):
+        if not 0.0 < y < 1.0:
+            continue
+        if carry < 0:
+            carry = i
+            continue
+        a, b, x = sizes[carry], sizes[i], out[carry]
+        up, down = min(a * (1 - x), b * y), min(a * x, b * (1 - y))
+        if draws[i] * (up + down) < down:
+            out[carry] = 1.0 if up == a * (1 - x) else x + up / a
+            out[i] = 0.0 if up == b * y else y - up / b
+        else:
+            out[carry] = 0.0 if down == a * x else x - down / a
+            out[i] = 1.0 if down == b * (1 - y) else y + down / b
+        left = [k for k in (carry, i) if 0.0 < out[k] < 1.0]
+        carry = left[0] if left else -1
+    return out, carry
+
+
+def _round_group(salt: int, leaf: bool, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last", kind="stable", ignore_index=True)
         nth = rows.groupby(["doc_id", "size"], dropna=False).cumcount()  # tells repeated rows apart
         draws = np.array([_uniform(d, s, n, salt) for d, s, n in zip(rows["doc_id"], rows["size"], nth, strict=True)])
-        p, rest = pivot(rows["size"].to_numpy(float), rows["p"].to_numpy(float), draws)
+        sizes, p = rows["size"].to_numpy(float), rows["p"].to_numpy(float)
+        # in a leaf all are of one source, so all have its probability
+        p, rest = pivot_pool(sizes, p[0], draws) if leaf else pivot_pairs(sizes, p, draws)
         if last and rest >= 0:
-            p[rest] = float(_uniform(rows["doc_id"][rest], rows["size"][rest], nth[rest], salt + 1) < p[rest])
+            p[rest] = float(p[rest] >= 0.5)  # one document of a source is as near as can be, not random
             rest = -1
         rows["p"] = p
         rows["done"] = np.arange(len(rows)) != rest
@@ -180,7 +195,7 @@ def mix(
     cells, level, rows = math.ceil((largest or 0) / group_rows), 0, rows.where(open_)
     while True:
         last = cells <= 1
-        step = rows.groupBy("source", "cell").applyInPandas(_round_group(seed + 2 * level, last), f"{fields}, done boolean")
+        step = rows.groupBy("source", "cell").applyInPandas(_round_group(seed + 2 * level, level == 0, last), f"{fields}, done boolean")
         step = written(step, f"mix-level{level}")
         settled = settled.unionByName(step.where("done"))
         if last:
@@ -198,11 +213,14 @@ def repeat(docs: DataFrame, **how) -> DataFrame:
 
     Documents that the mix leaves out are gone. Rows of a null or repeated doc_id are told
     apart by source and size; equal ones share out the copies of all of them in any order.
+    A column ``copy`` of the documents is replaced.
     """
-    key = lambda size: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), size, "source").alias("_key")
-    taken = mix(docs, **how).where("copies > 0").groupBy(key("size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_each"))
+    columns = [c for c in docs.columns if c.lower() != "copy"]
+    row, size, each, nth, copies = fresh(docs, "_key", "_size", "_each", "_nth", "_copies")
+    key = lambda x: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), x, "source").alias(row)
+    taken = mix(docs, **how).where("copies > 0").groupBy(key("size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(each))
     # one shuffle of the texts, by the key of both the join and the window
-    joined = docs.withColumn("_size", _size("text")).select("*", key("_size")).repartition("_key").join(taken, "_key")
-    joined = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_size")) - 1)
-    joined = joined.withColumn("_copies", F.get("_each", "_nth").cast("int")).where("_copies > 0")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"))
+    joined = docs.withColumn(size, _size("text")).select("*", key(size)).repartition(row).join(taken, row)
+    joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(size)) - 1)
+    joined = joined.withColumn(copies, F.get(each, nth).cast("int")).where(F.col(copies) > 0)
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias("copy"))

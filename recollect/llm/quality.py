@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm._text import string_column
+from recollect.llm._text import fresh, string_column
 from recollect.session import written
 
 #: Labelled documents that the rules are learned from at most; by hash of doc_id, so spread evenly.
@@ -175,13 +175,15 @@ def score(docs: DataFrame, rules: Rules) -> DataFrame:
     Null and empty texts have statistics of 0 and are scored by them. Repeated rows, null ids
     and other columns don't matter. No documents: no rows.
     """
-    columns = [c for c in docs.columns if c != "score"]
-    scored = docs.withColumn("_statistics", _statistics("text"))
-    return scored.withColumn("score", rules.score(lambda x: F.col("_statistics")[x])).select(*columns, "score")
+    columns = [c for c in docs.columns if c.lower() != "score"]
+    (name,) = fresh(docs, "_statistics")
+    scored = docs.withColumn(name, _statistics("text"))
+    return scored.withColumn("score", rules.score(lambda x: F.col(name)[x])).select(*columns, "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:
     """The documents whose score is at least ``cut``, columns unchanged."""
     rules = fit(docs, labels, sample_rows)
-    scored = docs.withColumn("_statistics", _statistics("text"))
-    return scored.where(rules.score(lambda x: F.col("_statistics")[x]) >= cut).select(*docs.columns)
+    (name,) = fresh(docs, "_statistics")
+    scored = docs.withColumn(name, _statistics("text"))
+    return scored.where(rules.score(lambda x: F.col(name)[x]) >= cut).select(*docs.columns)

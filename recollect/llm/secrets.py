@@ -19,6 +19,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm._text import fresh
+
 
 def either_case(pattern: str) -> str:
     """ASCII letters of a literal pattern as two-letter classes; the same in every regex engine."""
@@ -204,12 +206,13 @@ def spans(text: Column, rule: Rule, nth: int) -> Column:
 
 
 def _flagged(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, dict[str, Column]]:
-    """The documents with the kinds their candidates have as ``_kinds``; by kind, whether to search a row."""
+    """The documents joined with the kinds they are candidates of; by kind, whether to search a row."""
+    id_, kinds = fresh(docs, "_id", "_kinds")
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    found = candidates(docs, rules).select(F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    found = candidates(docs, rules).select(F.col("doc_id").alias(id_), F.col("kinds").alias(kinds))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(id_)
     search = {
-        rule.kind: F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))
+        rule.kind: F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False))
         if trigram_query(rule.regex)
         else F.col("text").rlike(rule.regex)
         for rule in rules
@@ -241,18 +244,18 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
     Other columns, and texts without a match (null ones too), stay as they are.
     """
     columns = docs.columns
-    docs = docs.withColumn("_text", F.col("text"))
+    (old,) = fresh(docs, "_text")
+    docs = docs.withColumn(old, F.col("text"))
     joined, search = _flagged(docs, rules)
     for rule in rules:
         between, whole, good = _matches(F.col("text"), rule)
         kept = F.zip_with(whole, good, lambda m, g: F.when(g, F.lit(mask)).otherwise(m))
         pieces = F.zip_with(between, kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
         joined = joined.withColumn("text", F.when(search[rule.kind], F.array_join(pieces, "")).otherwise(F.col("text")))
-    changed = ~F.coalesce("_text", F.lit("")).eqNullSafe(F.col("text"))
-    joined = joined.withColumn("text", F.when(changed, F.col("text")).otherwise(F.col("_text")))
+    changed = ~F.coalesce(old, F.lit("")).eqNullSafe(F.col("text"))
+    joined = joined.withColumn("text", F.when(changed, F.col("text")).otherwise(F.col(old)))
     if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(F.col(old) != F.col("text"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return joined.select(*columns)
 
 
