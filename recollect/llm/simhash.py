@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm._text import LOWER_AZ, string_column
+from recollect.llm._text import LOWER_AZ, fresh, string_column
 from recollect.llm.components import components
 from recollect.session import written
 
@@ -74,7 +74,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row; fp is the fingerprint as a signed long. A null text counts as empty."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _masks(bits: int, radius: int) -> list[np.ndarray]:
@@ -249,6 +249,9 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     judged by the groups that their doc_id names.
     """
     found = near_duplicates(docs, threshold)
-    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(winners, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_text", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    key, text = fresh(docs, "_key", "_text")
+    # a key without nulls serves the join and the removal of repeated rows with one shuffle
+    made = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(made.alias(key)).distinct()
+    kept = docs.withColumn(key, made).withColumn(text, F.xxhash64("text")).join(winners, key, "left_semi")
+    return kept.dropDuplicates([key, text]).drop(key, text)
