@@ -33,7 +33,7 @@ ORDER, MU = 2, 200.0
 #: Rows whose crc32(doc_id as text) has this remainder are held out of the counts.
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 
 _END = b""  # no word is empty
 
@@ -285,7 +285,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU, block_b
     rows count and are scored each. Other columns are not read. No documents: no rows;
     nothing to learn from: all tokens are unknown.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
