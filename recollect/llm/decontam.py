@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -82,23 +83,28 @@ class Canonical:
 
     def _reset(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.known: list[tuple[int, int, bool]] = []
+        self.kinds, self.hashes, self.stops = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def _learn(self) -> None:
+        """Look at the words that were numbered since the last time."""
+        new = list(islice(reversed(self.numbers), len(self.numbers) - len(self.kinds)))[::-1]
+        if new:
+            kinds, hashes, stops = zip(*map(_token, new), strict=True)
+            self.kinds = np.concatenate([self.kinds, np.array(kinds, np.int64)])
+            self.hashes = np.concatenate([self.hashes, np.array(hashes, np.uint64)])
+            self.stops = np.concatenate([self.stops, np.array(stops, bool)])
 
     def tokens(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(words, end of each text, template hashes, hashes with values, whether literal), punctuation left out."""
-        if len(self.known) > _CACHE_WORDS:
+        if len(self.numbers) > _CACHE_WORDS:
             self._reset()
         number, words, ends = self.numbers.setdefault, [], []
         for text in texts:
             words += text.split()
             ends.append(len(words))
         at = np.fromiter([number(w, len(self.numbers)) for w in words], np.int64, len(words))
-        new = list(self.numbers)[len(self.known) :] if len(self.numbers) > len(self.known) else []
-        self.known += map(_token, new)
-        kinds, hashes, stops = (np.array(x, t) for x, t in zip(zip(*self.known, strict=True), (np.int64, np.uint64, bool), strict=True)) if self.known else (
-            np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        )
-        kind, value, stop = kinds[at], hashes[at], stops[at]
+        self._learn()
+        kind, value, stop = self.kinds[at], self.hashes[at], self.stops[at]
         ends = np.array(ends, np.int64)
         opens = np.concatenate([[True], stop[:-1]]) if len(at) else stop
         opens[np.concatenate([[0], ends[:-1]])[np.concatenate([[0], ends[:-1]]) < len(at)]] = True
