@@ -242,13 +242,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return docs_fp.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD, found: DataFrame | None = None) -> DataFrame:
     """The documents that name their group: one of each, columns unchanged.
 
+    ``found`` has the groups (doc_id, component_id) if they are others than near_duplicates gives.
     Rows of one doc_id with equal texts count as one document; with other texts each is
     judged by the groups that their doc_id names.
     """
-    found = near_duplicates(docs, threshold)
+    found = near_duplicates(docs, threshold) if found is None else found
     key, text = fresh(docs, "_key", "_text")
     # a key without nulls serves the join and the removal of repeated rows with one shuffle
     made = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))

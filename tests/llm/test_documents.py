@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from recollect.llm import decontam, fingerprint, licenses, lm, mixing, quality, secrets, simhash
+from recollect.llm import decontam, fingerprint, licenses, lm, mixing, quality, secrets, similar, simhash
 from tests.llm import tricky
 
 BLANK = "\x20\x09-\x0d"
@@ -126,6 +126,38 @@ def test_simhash_keeps_one(docs):
     assert len(texts) == len(set(texts)) and {1, 3, 4, 9, 10, 20, 40} <= {i for i, _ in texts} and 2 not in {i for i, _ in texts}
 
 
+@pytest.mark.parametrize("bucket", [8, 2])
+def test_similar_links_are_exact(spark, bucket):
+    rng = np.random.default_rng(11)
+    made = [(i, r[1]) for i, r in enumerate(tricky.ROWS) if r[0] != 9]
+    for seed in range(12):  # one word changed in 50 and in 49 is similarity 41/51 and 40/50, in 48 39/49
+        text = tricky.text(1000 + seed, 48 + seed % 3).split()
+        made.append((100 + 20 * seed, " ".join(text)))
+        made.append((101 + 20 * seed, " ".join([*text[:20], "changed", *text[21:]])))
+        for k in range(2, 16):
+            near = list(text)
+            for at in rng.choice(len(near), rng.integers(1, 4), replace=False):
+                near[at if rng.random() < 0.5 else -1] = f"w{rng.integers(0, 3)}"
+            made.append((100 + 20 * seed + k, " ".join(near)))
+
+    def shingles(text):
+        w = words(text)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} - {()}
+
+    sets = [shingles(t) for _, t in made]
+    group = list(range(len(made)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if group[i] != group[j] and (a == b or 10 * len(a & b) >= 8 * len(a | b)):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {g: min(i for (i, _), h in zip(made, group, strict=True) if h == g) for g in group}
+    assert least[group[[i for i, _ in made].index(141)]] == 140 and least[group[[i for i, _ in made].index(101)]] != 101 - 1
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = similar.near_duplicates(df, cell_rows=300, bucket=bucket)
+    same([(r.doc_id, r.component_id) for r in got.collect()], [(i, least[g]) for (i, _), g in zip(made, group, strict=True)])
+
+
 def base_spans(text):
     out, point = [], text or ""
     keys = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
@@ -344,7 +376,7 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (
         lm.score_documents(docs), decontam.find(docs, bench), quality.score(docs, quality.fit(docs, labels)), secrets.scan(docs),
-        licenses.find(docs), mixing.mix(docs), mixing.repeat(docs), fingerprint.compare_with_next(docs), simhash.near_duplicates(docs),
+        licenses.find(docs), mixing.mix(docs), mixing.repeat(docs), fingerprint.compare_with_next(docs), simhash.near_duplicates(docs), similar.near_duplicates(docs),
         simhash.keep_one(docs), secrets.redact(docs), quality.keep_good(docs, labels), decontam.drop_contaminated(docs, bench),
     ):
         assert df.count() == 0

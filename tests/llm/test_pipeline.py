@@ -42,6 +42,13 @@ def test_stages(spark, sf_dir):
     assert a == sorted((str(r.doc_id), r.text or "", r.copy) for r in seen["source mixing"])
 
 
+def test_near_copies_go(spark):
+    text = tricky.text(400, 50).split()
+    near = [*text[:25], "changed", *text[26:]]
+    docs = spark.createDataFrame([(1, " ".join(text), "en", "a", 0), (2, " ".join(near), "en", "a", 0)], tricky.SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [1]
+
+
 def test_registered():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES if q.startswith("op")} and "pipeline" in queries.QUERIES
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
