@@ -221,30 +221,37 @@ def _document_windows(bits, sizes: list[int]):
     return run
 
 
-def consistent_runs(matches: list[tuple[int, list[bytes], list[bytes]]]) -> list[tuple[int, int, bool]]:
-    """(first item token, number of tokens, whether all are equal) of each run on one diagonal.
+def consistent_runs(matches: list[tuple[int, list, list]], literal: frozenset[int] = frozenset()) -> list[tuple[int, int, bool]]:
+    """(first item token, number of tokens, whether all are equal) of each longest run on one diagonal.
 
     ``matches`` are windows (item position, item words, document words) in order. Words that
     differ are values of placeholders, as their templates are equal; a run ends where an
-    item's value stands for two values of the document or two values for one.
+    item's value stands for two values of the document or two values for one, and the next
+    begins after the earlier of the two places. Item positions in ``literal`` have no value.
     """
-    pairs: dict[int, tuple[bytes, bytes]] = {}
+    pairs: dict[int, tuple] = {}
     for at, item, doc in matches:
         pairs.update((at + i, x) for i, x in enumerate(zip(item, doc, strict=True)))
-    runs, start, last = [], None, None
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    exact = True
+    runs, start, last, unlike = [], None, None, -1
+    there: dict = {}
+    back: dict = {}
     for at in sorted(pairs):
         a, b = pairs[at]
-        fits = there.get(a, b) == b and back.get(b, a) == a
-        if start is None or at != last + 1 or not fits:
+        after = start
+        if start is None or at != last + 1:
+            after, there, back = at, {}, {}
+        elif at not in literal:
+            for (other, seen), value in ((there.get(a, (b, -1)), b), (back.get(b, (a, -1)), a)):
+                after = max(after, seen + 1) if other != value else after
+        if after != start:
             if start is not None:
-                runs.append((start, last + 1 - start, exact))
-            start, there, back, exact = at, {}, {}, True
-        there[a], back[b], exact, last = b, a, exact and a == b, at
+                runs.append((start, last + 1 - start, unlike < start))
+            start = after
+        if at not in literal:
+            there[a], back[b] = (b, at), (a, at)
+        unlike, last = at if a != b else unlike, at
     if start is not None:
-        runs.append((start, last + 1 - start, exact))
+        runs.append((start, last + 1 - start, unlike < start))
     return runs
 
 
@@ -256,12 +263,17 @@ def _bare(words: str) -> list[str]:
     return [w.strip(mark).lower() for w in words.split()]
 
 
+def _literal(matches: list[dict]) -> frozenset[int]:
+    """Item positions of words that are no values wherever they stand."""
+    return frozenset(m["item_at"] + i for m in matches for i, w in enumerate(m["item_words"].split()) if _token(w.encode())[0] == LITERAL)
+
+
 def _verify(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                runs = consistent_runs([(m["item_at"], _bare(m["item_words"]), _bare(m["doc_words"])) for m in r["matches"]])
+                runs = consistent_runs([(m["item_at"], _bare(m["item_words"]), _bare(m["doc_words"])) for m in r["matches"]], _literal(r["matches"]))
                 runs = [x for x in runs if x[1] >= min(least, r["item_tokens"])]
                 if runs:
                     at, n, exact = max(runs, key=lambda x: (x[1], x[2], -x[0]))

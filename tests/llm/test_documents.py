@@ -348,6 +348,17 @@ def test_slots_must_be_consistent():
     assert decontam.consistent_runs([(0, item, "a 5 b 5 c 5".split())])[0] == (0, 3, False)
 
 
+def test_longest_consistent_run(spark):
+    item = [f"w{chr(97 + i)}" for i in range(20)]
+    item[0] = item[9] = "3"
+    doc = ["5" if i == 0 else "7" if i == 9 else w for i, w in enumerate(item)]
+    assert decontam.consistent_runs([(0, item, doc)]) == [(0, 9, False), (1, 19, False)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "will the boat that Bob built sail to the harbour before will the tide turns")], "item_id long, text string")
+    made = [(1, f"some text {' '.join(doc)} more text"), (2, "and will the boat that Will built sail to the harbour before will the tide turns")]
+    found = {(r.doc_id, r.item_id): r for r in decontam.find(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()}
+    assert found[1, 1].matched_tokens == 19 and found[2, 2].matched_tokens == 15 and set(found) == {(1, 1), (2, 2)}
+
+
 def test_licenses(spark, docs):
     mit = licenses.NOTICES["MIT"][-1]
     made = [
