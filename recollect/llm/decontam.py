@@ -6,6 +6,9 @@ of the benchmark; the matches of a document and an item on one diagonal are then
 a placeholder's value in the item must always stand for the same value in the document,
 and for no other's. A run of consistent tokens that is long enough is contamination.
 
+Windows are joined by their lower-cased words too, so that a verbatim passage is found
+whatever is taken for a name in it.
+
 Texts are read once. A bit map of fixed size, filled from the benchmark's hashes, lets
 only windows through that may match; these, not the texts, are shuffled.
 """
@@ -106,10 +109,15 @@ class Canonical:
         self._learn()
         kind, value, stop = self.kinds[at], self.hashes[at], self.stops[at]
         ends = np.array(ends, np.int64)
-        opens = np.concatenate([[True], stop[:-1]]) if len(at) else stop
-        opens[np.concatenate([[0], ends[:-1]])[np.concatenate([[0], ends[:-1]]) < len(at)]] = True
-        kind = np.where(kind == CAPITAL, np.where(opens, LITERAL, NAME), kind)
         keep = kind != SKIP
+        # a sentence begins with a text's first word, and where one ended since the word before, whatever marks stand between
+        ended, here = np.concatenate([[0], np.cumsum(stop)]), np.flatnonzero(keep)
+        opens = np.ones(len(at), bool)
+        opens[here[1:]] = ended[here[1:]] > ended[here[:-1]]
+        first = np.concatenate([[0], ends[:-1]])
+        first = np.searchsorted(here, first[first < len(at)])
+        opens[here[first[first < len(here)]]] = True
+        kind = np.where(kind == CAPITAL, np.where(opens, LITERAL, NAME), kind)
         ends = np.concatenate([[0], np.cumsum(keep)])[ends]
         kept = np.flatnonzero(keep)
         kind, value = kind[kept], value[kept]
@@ -122,18 +130,22 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def window_hashes(template: np.ndarray, value: np.ndarray, literal: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each window of ``size`` tokens; one that is over half placeholders is hashed with its values."""
+def window_hashes(template: np.ndarray, value: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(by template, by value) the hashes of each window of ``size`` tokens.
+
+    Those by value don't depend on what is taken for a placeholder. A window that is over half placeholders has only them.
+    """
     n = len(template) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     up, down = _powers(_BASE, len(template)), _powers(pow(_BASE, -1, 1 << 64), n)
     total = lambda x: np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
     rolled = [(lambda c: (c[size:] - c[:n]) * down)(total(x * up)) for x in (template, value)]
     literals = (lambda c: c[size:] - c[:n])(total(literal.astype(np.int64)))
-    out = np.where(2 * literals >= size, rolled[0], rolled[1] ^ np.uint64(0x5851F42D4C957F2D)) + np.uint64(size)
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(32))
+    rolled[1] = rolled[1] ^ np.uint64(0x5851F42D4C957F2D)
+    rolled[0] = np.where(2 * literals >= size, rolled[0], rolled[1])
+    mixed = [((x := r + np.uint64(size)) ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) for r in rolled]
+    return mixed[0] ^ (mixed[0] >> np.uint64(32)), mixed[1] ^ (mixed[1] >> np.uint64(32))
 
 
 def _item_windows(window: int):
@@ -146,12 +158,13 @@ def _item_windows(window: int):
                 size = min(window, len(words))
                 if not size:
                     continue
-                hashes = [(i, h) for i, h in enumerate(window_hashes(template, value, literal, size).view(np.int64).tolist())]
+                both = window_hashes(template, value, literal, size)
+                hashes = [(i, h) for i, two in enumerate(zip(*(x.view(np.int64).tolist() for x in both), strict=True)) for h in dict.fromkeys(two)]
                 first, _, _ = _token(words[0])
                 if first == CAPITAL:  # within a sentence of a document the first word looks like a name
                     template, literal = template.copy(), literal.copy()
                     template[0], literal[0] = _SLOT_HASH[NAME], False
-                    hashes.append((0, int(window_hashes(template, value, literal, size)[:1].view(np.int64)[0])))
+                    hashes.append((0, int(window_hashes(template, value, literal, size)[0][:1].view(np.int64)[0])))
                 rows += [(h, item, i, len(words), b" ".join(words[i : i + size]).decode(errors="replace")) for i, h in hashes]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -191,13 +204,15 @@ def _document_windows(bits, sizes: list[int]):
         owner, rows = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0)), []
         starts = np.concatenate([[0], ends[:-1]])
         for size in sizes:
-            hashes = window_hashes(template, value, literal, size)
-            top = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-            found = np.flatnonzero((bits.value[top >> 3] >> (top & 7).astype(np.uint8)) & 1)
-            found = found[owner[found] == owner[found + size - 1]]
-            for i in found.tolist():
-                k = owner[i]
-                rows.append((ids[k], k, i - int(starts[k]), int(hashes[i : i + 1].view(np.int64)[0]), b" ".join(words[i : i + size]).decode(errors="replace")))
+            seen = None
+            for hashes in window_hashes(template, value, literal, size):
+                top = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                found = (bits.value[top >> 3] >> (top & 7).astype(np.uint8)) & 1
+                found = np.flatnonzero(found if seen is None else found & (hashes != seen))
+                found, seen = found[owner[found] == owner[found + size - 1]], hashes
+                for i in found.tolist():
+                    k = owner[i]
+                    rows.append((ids[k], k, i - int(starts[k]), int(hashes[i : i + 1].view(np.int64)[0]), b" ".join(words[i : i + size]).decode(errors="replace")))
         text_hash = {k: xxhash.xxh64_intdigest(texts[k]) - (1 << 63) for k in {r[1] for r in rows}}
         columns = list(zip(*((a, text_hash[k], c, d, e) for a, k, c, d, e in rows), strict=True)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]

@@ -359,6 +359,18 @@ def test_longest_consistent_run(spark):
     assert found[1, 1].matched_tokens == 19 and found[2, 2].matched_tokens == 15 and set(found) == {(1, 1), (2, 2)}
 
 
+def test_verbatim_passages_whatever_is_a_name(spark):
+    item = "Anna went home. Then Bob came late. They sang. Later Carl drove off. Nobody saw Dora leave. Rain fell. Anna slept."
+    bare = item.replace(".", "")
+    made = [(1, f"a text with {bare} in it"), (2, f"a text with {item.lower()} in it"), (3, f"A TEXT WITH {item.upper()} IN IT"), (4, f"a text. {item.replace('. ', '. | ')} in it")]
+    # other names, and a mark before each sentence's first word
+    made.append((5, made[3][1].replace("Bob", "Tom").replace("Carl", "Jim").replace("Dora", "Kate")))
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r for r in decontam.find(df, bench).collect()}
+    assert set(found) == {1, 2, 3, 4, 5} and all(found[i].matched_tokens == found[i].item_tokens and found[i].exact for i in (1, 2, 3, 4))
+
+
 def test_licenses(spark, docs):
     mit = licenses.NOTICES["MIT"][-1]
     made = [
