@@ -2,15 +2,18 @@
 
 Numbers, names and units become typed placeholders, so a question that was only given
 other values keeps its template. Windows of template tokens are joined by hash with those
-of the benchmark; the matches of a document and an item on one diagonal are then checked:
-a placeholder's value in the item must always stand for the same value in the document,
-and for no other's. A run of consistent tokens that is long enough is contamination.
-
-Windows are joined by their lower-cased words too, so that a verbatim passage is found
-whatever is taken for a name in it.
-
-Texts are read once. A bit map of fixed size, filled from the benchmark's hashes, lets
-only windows through that may match; these, not the texts, are shuffled.
+of the benchmark. A match names a document, an item and a diagonal; there the two are
+aligned token by token: literals have to be equal, placeholders of one type may differ,
+but one value of the item always stands for the same value in the document. A run of
+consistent tokens that is long enough, and has enough literals or the item's own values,
+is contamination.
+
+A capitalised word is a name wherever it stands, also where a sentence begins: whether it
+is one can't be told there, and document and item are treated alike. Windows are joined by
+their lower-cased words too, so a verbatim passage is found whatever is taken for a name.
+
+Texts are read once for windows, which a bit map of the benchmark's hashes thins out, and
+once more for the documents with matches, of which only the aligned stretches travel.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm._text import fresh, string_column
@@ -30,9 +33,14 @@ from recollect.session import written
 
 #: Tokens of a window; tokens in a row that are contamination (all of a shorter item).
 WINDOW, LEAST_RUN = 8, 13
-#: Bits of the map: 2 MB whatever the size of the benchmark.
-MAP_BITS = 24
-#: Most benchmark windows that are broadcast; beyond, the join shuffles.
+#: Literals that a window of WINDOW tokens needs to be joined by its template; literals of a run
+#: with other values than the item's, and their least share of it.
+WINDOW_LITERALS, RUN_LITERALS, LITERAL_SHARE = 2, 4, 1 / 3
+#: Items that share a window from which on it is joined only where an item has no rarer ones.
+SHARED = 32
+#: Bits of the map for each window, as a power of two; least and most bits (16 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 7, 20, 27
+#: Most benchmark windows, or tokens of items, that are broadcast; beyond, the joins shuffle.
 BROADCAST_WINDOWS = 200_000
 _CHUNK_TOKENS, _CACHE_WORDS = 500_000, 300_000
 
@@ -49,17 +57,18 @@ UNITS = frozenset(
     b"kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon "
     b"gallons dollar dollars cent cents euro euros percent degree degrees watt watts volt volts joule joules newton newtons".split()
 )
-SKIP, LITERAL, NUMBER, UNIT, MEASURE, NAME, CAPITAL = range(7)
-_SLOT_HASH = np.array([0, 0, *(xxhash.xxh64_intdigest(f"<{x}>") for x in ("number", "unit", "measure", "name")), 0], np.uint64)
+#: Units only where a number stands right before them.
+SHORT_UNITS = frozenset(b"m s h g l k c f w v j n am pm min sec hr hrs yr yrs ft in".split())
+SKIP, LITERAL, NUMBER, UNIT, MEASURE, NAME = range(6)
+_SLOT_HASH = np.array([0, 0, *(xxhash.xxh64_intdigest(f"<{x}>") for x in ("number", "unit", "measure", "name"))], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _token(word: bytes) -> tuple[int, int, bool]:
-    """(kind, hash of the bare word in lower case, whether a sentence ends here)."""
+def _token(word: bytes) -> tuple[int, int]:
+    """(kind, hash of the bare word in lower case)."""
     bare = word.strip(_PUNCTUATION)
-    ends = word.rstrip(b"\"')]}").endswith((b".", b"!", b"?"))
     if not bare:
-        return SKIP, 0, ends
+        return SKIP, 0
     text = bare.decode(errors="replace")
     low = text.lower().encode()
     kind = LITERAL
@@ -67,15 +76,15 @@ def _token(word: bytes) -> tuple[int, int, bool]:
         measure = _MEASURE.fullmatch(low)
         if _NUMBER.fullmatch(low):
             kind = NUMBER
-        elif measure and measure[1] in UNITS:
+        elif measure and measure[1] in UNITS | SHORT_UNITS:
             kind = MEASURE
     elif low in NUMBER_WORDS:
         kind = NUMBER
     elif low in UNITS:
         kind = UNIT
-    elif len(text) > 1 and text[0].isupper() and text[1:].islower():
-        kind = CAPITAL  # a name, unless a sentence begins here
-    return kind, xxhash.xxh64_intdigest(low), ends
+    elif len(text) > 1 and text[0].isupper() and not text.isupper():
+        kind = NAME
+    return kind, xxhash.xxh64_intdigest(low)
 
 
 class Canonical:
@@ -86,42 +95,30 @@ class Canonical:
 
     def _reset(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.kinds, self.hashes, self.stops = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.kinds, self.hashes = np.zeros(0, np.int8), np.zeros(0, np.uint64)
 
     def _learn(self) -> None:
         """Look at the words that were numbered since the last time."""
         new = list(islice(reversed(self.numbers), len(self.numbers) - len(self.kinds)))[::-1]
         if new:
-            kinds, hashes, stops = zip(*map(_token, new), strict=True)
-            self.kinds = np.concatenate([self.kinds, np.array(kinds, np.int64)])
+            kinds, hashes = zip(*map(_token, new), strict=True)
+            self.kinds = np.concatenate([self.kinds, np.array(kinds, np.int8)])
             self.hashes = np.concatenate([self.hashes, np.array(hashes, np.uint64)])
-            self.stops = np.concatenate([self.stops, np.array(stops, bool)])
 
-    def tokens(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(words, end of each text, template hashes, hashes with values, whether literal), punctuation left out."""
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end of each text, kinds, hashes of the bare words), words without letter or digit left out."""
         if len(self.numbers) > _CACHE_WORDS:
             self._reset()
-        number, words, ends = self.numbers.setdefault, [], []
+        number, at, ends = self.numbers.setdefault, [], []
         for text in texts:
-            words += text.split()
-            ends.append(len(words))
-        at = np.fromiter([number(w, len(self.numbers)) for w in words], np.int64, len(words))
+            at += [number(w, len(self.numbers)) for w in text.split()]
+            ends.append(len(at))
+        at = np.array(at, np.int64)
         self._learn()
-        kind, value, stop = self.kinds[at], self.hashes[at], self.stops[at]
-        ends = np.array(ends, np.int64)
+        kind = self.kinds[at]
         keep = kind != SKIP
-        # a sentence begins with a text's first word, and where one ended since the word before, whatever marks stand between
-        ended, here = np.concatenate([[0], np.cumsum(stop)]), np.flatnonzero(keep)
-        opens = np.ones(len(at), bool)
-        opens[here[1:]] = ended[here[1:]] > ended[here[:-1]]
-        first = np.concatenate([[0], ends[:-1]])
-        first = np.searchsorted(here, first[first < len(at)])
-        opens[here[first[first < len(here)]]] = True
-        kind = np.where(kind == CAPITAL, np.where(opens, LITERAL, NAME), kind)
-        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-        kept = np.flatnonzero(keep)
-        kind, value = kind[kept], value[kept]
-        return [words[i] for i in kept.tolist()], ends, np.where(kind == LITERAL, value, _SLOT_HASH[kind]), value, kind == LITERAL
+        ends = np.concatenate([[0], np.cumsum(keep)])[np.array(ends, np.int64)]
+        return ends, kind[keep], self.hashes[at[keep]]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -130,177 +127,273 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def window_hashes(template: np.ndarray, value: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(kind: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(by template, by value) the hashes of each window of ``size`` tokens.
 
-    Those by value don't depend on what is taken for a placeholder. A window that is over half placeholders has only them.
+    Those by value don't depend on what is taken for a placeholder. A window that is almost
+    all placeholders has only them: by itself its template says nothing.
     """
-    n = len(template) - size + 1
+    n = len(kind) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    up, down = _powers(_BASE, len(template)), _powers(pow(_BASE, -1, 1 << 64), n)
+    up, down = _powers(_BASE, len(kind)), _powers(pow(_BASE, -1, 1 << 64), n)
     total = lambda x: np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
+    template = np.where(kind == LITERAL, value, _SLOT_HASH[kind])
     rolled = [(lambda c: (c[size:] - c[:n]) * down)(total(x * up)) for x in (template, value)]
-    literals = (lambda c: c[size:] - c[:n])(total(literal.astype(np.int64)))
+    literals = (lambda c: c[size:] - c[:n])(total((kind == LITERAL).astype(np.int64)))
     rolled[1] = rolled[1] ^ np.uint64(0x5851F42D4C957F2D)
-    rolled[0] = np.where(2 * literals >= size, rolled[0], rolled[1])
+    rolled[0] = np.where(literals * WINDOW >= WINDOW_LITERALS * size, rolled[0], rolled[1])
     mixed = [((x := r + np.uint64(size)) ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) for r in rolled]
     return mixed[0] ^ (mixed[0] >> np.uint64(32)), mixed[1] ^ (mixed[1] >> np.uint64(32))
 
 
+ITEM_SCHEMA = "item_id long, item_tokens int, kinds binary, words binary"
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    canonical = Canonical()
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column("item_id").to_pylist(), string_column(batch, "text"), strict=True):
+            _, kind, value = canonical.tokens([text.as_buffer().to_pybytes()])
+            if len(kind):
+                rows.append((item, len(kind), kind.tobytes(), value.tobytes()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "item_tokens", "kinds", "words"])
+
+
+def canonical_items(benchmark: DataFrame) -> DataFrame:
+    """See ITEM_SCHEMA: the tokens of each item that has some."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, ITEM_SCHEMA)
+
+
 def _item_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canonical = Canonical()
         for batch in batches:
             rows = []
-            for item, text in zip(batch.column("item_id").to_pylist(), string_column(batch, "text").to_pylist(), strict=True):
-                words, _, template, value, literal = canonical.tokens([text.encode()])
-                size = min(window, len(words))
-                if not size:
-                    continue
-                both = window_hashes(template, value, literal, size)
-                hashes = [(i, h) for i, two in enumerate(zip(*(x.view(np.int64).tolist() for x in both), strict=True)) for h in dict.fromkeys(two)]
-                first, _, _ = _token(words[0])
-                if first == CAPITAL:  # within a sentence of a document the first word looks like a name
-                    template, literal = template.copy(), literal.copy()
-                    template[0], literal[0] = _SLOT_HASH[NAME], False
-                    hashes.append((0, int(window_hashes(template, value, literal, size)[0][:1].view(np.int64)[0])))
-                rows += [(h, item, i, len(words), b" ".join(words[i : i + size]).decode(errors="replace")) for i, h in hashes]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hash", "item_id", "item_at", "item_tokens", "item_words"]
-            )
+            for r in batch.select(["item_id", "kinds", "words"]).to_pylist():
+                kind, value = np.frombuffer(r["kinds"], np.int8), np.frombuffer(r["words"], np.uint64)
+                both = window_hashes(kind, value, min(window, len(kind)))
+                for at, two in enumerate(zip(*(x.view(np.int64).tolist() for x in both), strict=True)):
+                    rows += [(h, r["item_id"], at, len(kind)) for h in dict.fromkeys(two)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hash", "item_id", "item_at", "item_tokens"])
 
     return run
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(hash, item_id, item_at, item_tokens, item_words): all windows of the benchmark; of a shorter item, itself."""
-    return benchmark.select("item_id", "text").mapInArrow(
-        _item_windows(window), "hash long, item_id long, item_at long, item_tokens long, item_words string"
-    )
-
+def item_windows(items: DataFrame, window: int = WINDOW, least_run: int = LEAST_RUN, shared: int = SHARED) -> DataFrame:
+    """(hash, item_id, item_at, item_tokens): the windows of the items that are joined.
 
-def _bit_map(windows: DataFrame) -> np.ndarray:
-    """One bit for each leading MAP_BITS bits of a hash. Its words, not the benchmark's rows, come to the driver."""
-    at = F.shiftrightunsigned("hash", 64 - MAP_BITS)
+    A run of ``least_run`` tokens has least_run - window + 1 windows in a row, a shorter item all
+    of its own. Windows of more than ``shared`` items are left out where every such row has
+    a rarer one, so boilerplate doesn't bring each item to each document.
+    """
+    rows = items.mapInArrow(_item_windows(window), "hash long, item_id long, item_at int, item_tokens int")
+    often = rows.groupBy("hash").agg(F.count("*").alias("_n")).where(F.col("_n") > shared).select("hash", F.lit(True).alias("_often"))
+    rows = rows.join(often, "hash", "left")
+    # a place of an item is common if all its hashes are; runs of common places are told apart by the rarer ones before
+    places = rows.groupBy("item_id", "item_tokens", "item_at").agg(F.bool_and(F.coalesce("_often", F.lit(False))).alias("_common"))
+    before = Window.partitionBy("item_id", "item_tokens").orderBy("item_at").rowsBetween(Window.unboundedPreceding, 0)
+    places = places.withColumn("_run", F.sum(F.when(F.col("_common"), 0).otherwise(1)).over(before))
+    alike = Window.partitionBy("item_id", "item_tokens", "_run", "_common")
+    stretch = F.least(F.lit(least_run - window + 1), F.col("item_tokens") - F.least(F.lit(window), F.col("item_tokens")) + 1)
+    needed = places.withColumn("_long", F.count("*").over(alike)).where(~F.col("_common") | (F.col("_long") >= stretch))
+    kept = needed.select(F.col("item_id").alias("_item"), F.col("item_tokens").alias("_tokens"), F.col("item_at").alias("_at"))
+    same = F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_at") == F.col("_at")) & (F.col("item_tokens") == F.col("_tokens"))
+    return rows.join(kept, same, "left_semi").select("hash", "item_id", "item_at", "item_tokens")
+
+
+def _bit_map(windows: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each leading ``bits`` bits of a hash. Its words, not the benchmark's rows, come to the driver."""
+    at = F.shiftrightunsigned("hash", 64 - bits)
     rows = (
-        windows.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - MAP_BITS}) & 63 AS INT))").alias("bit"))
+        windows.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - bits}) & 63 AS INT))").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
     ).collect()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     for row in rows:
         out[row["word"]] = row["bits"]
     return out.view(np.uint8)
 
 
-def _document_windows(bits, sizes: list[int]):
-    names = ["doc_id", "text_hash", "doc_at", "hash", "doc_words"]
+def _document_windows(bit_map, bits: int, sizes: list[int]):
+    names = ["doc_id", "th", "doc_at", "hash"]
+    shift = np.uint64(64 - bits)
 
-    def of(ids: list, texts: list[bytes], canonical: Canonical) -> pa.RecordBatch:
-        words, ends, template, value, literal = canonical.tokens(texts)
-        owner, rows = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0)), []
+    def of(ids: list, hashes_of: list, texts: list[bytes], canonical: Canonical) -> pa.RecordBatch:
+        ends, kind, value = canonical.tokens(texts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
         starts = np.concatenate([[0], ends[:-1]])
+        places, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for size in sizes:
             seen = None
-            for hashes in window_hashes(template, value, literal, size):
-                top = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-                found = (bits.value[top >> 3] >> (top & 7).astype(np.uint8)) & 1
+            for hashes in window_hashes(kind, value, size):
+                top = (hashes >> shift).astype(np.int64)
+                found = (bit_map.value[top >> 3] >> (top & 7).astype(np.uint8)) & 1
                 found = np.flatnonzero(found if seen is None else found & (hashes != seen))
                 found, seen = found[owner[found] == owner[found + size - 1]], hashes
-                for i in found.tolist():
-                    k = owner[i]
-                    rows.append((ids[k], k, i - int(starts[k]), int(hashes[i : i + 1].view(np.int64)[0]), b" ".join(words[i : i + size]).decode(errors="replace")))
-        text_hash = {k: xxhash.xxh64_intdigest(texts[k]) - (1 << 63) for k in {r[1] for r in rows}}
-        columns = list(zip(*((a, text_hash[k], c, d, e) for a, k, c, d, e in rows), strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                places.append(found)
+                hits.append(hashes[found])
+        places, hits = np.concatenate(places), np.concatenate(hits)
+        of_text = owner[places]
+        columns = [pa.array(ids, pa.int64()).take(pa.array(of_text)), pa.array(hashes_of, pa.int64()).take(pa.array(of_text))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(places - starts[of_text], pa.int64()), pa.array(hits.view(np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), string_column(batch, "text"), strict=True):
+            ids, marks, texts, size = [], [], [], 0
+            for doc, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), string_column(batch, "text"), strict=True):
                 data = text.as_buffer().to_pybytes()
                 ids.append(doc)
+                marks.append(th)
                 texts.append(data)
                 size += len(data)
                 if size > 6 * _CHUNK_TOKENS:
-                    yield of(ids, texts, canonical)
-                    ids, texts, size = [], [], 0
+                    yield of(ids, marks, texts, canonical)
+                    ids, marks, texts, size = [], [], [], 0
             if ids:
-                yield of(ids, texts, canonical)
+                yield of(ids, marks, texts, canonical)
 
     return run
 
 
+_ALIGNED = "doc_id long, th long, item_id long, item_tokens int, first int, doc_at long, doc_kinds binary, doc_words binary"
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut what lies along each item out of the documents: from item token ``first`` on, from document token doc_at on."""
+    canonical = Canonical()
+    names = [x.split()[0] for x in _ALIGNED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    for batch in batches:
+        for doc, th, text, found in zip(
+            batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), string_column(batch, "text"), batch.column("found"), strict=True
+        ):
+            _, kind, value = canonical.tokens([text.as_buffer().to_pybytes()])
+            rows = []
+            for x in found.as_py():
+                first = max(0, -x["diagonal"])
+                a, b = x["diagonal"] + first, x["diagonal"] + x["item_tokens"]
+                rows.append((doc, th, x["item_id"], x["item_tokens"], first, a, kind[a:b].tobytes(), value[a:b].tobytes()))
+            for i in range(0, len(rows), 10_000):
+                columns = zip(*rows[i : i + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
+
+
 def consistent_runs(matches: list[tuple[int, list, list]], literal: frozenset[int] = frozenset()) -> list[tuple[int, int, bool]]:
     """(first item token, number of tokens, whether all are equal) of each longest run on one diagonal.
 
-    ``matches`` are windows (item position, item words, document words) in order. Words that
-    differ are values of placeholders, as their templates are equal; a run ends where an
-    item's value stands for two values of the document or two values for one, and the next
-    begins after the earlier of the two places. Item positions in ``literal`` have no value.
+    ``matches`` are stretches (item position, item words, document words) in order. Words that
+    differ are values of placeholders; a run ends where an item's value stands for two values of
+    the document, and the next begins after the earlier of the two places. Two values of the
+    item may have become one. Item positions in ``literal`` have no value.
     """
     pairs: dict[int, tuple] = {}
     for at, item, doc in matches:
         pairs.update((at + i, x) for i, x in enumerate(zip(item, doc, strict=True)))
     runs, start, last, unlike = [], None, None, -1
     there: dict = {}
-    back: dict = {}
     for at in sorted(pairs):
         a, b = pairs[at]
         after = start
         if start is None or at != last + 1:
-            after, there, back = at, {}, {}
+            after, there = at, {}
         elif at not in literal:
-            for (other, seen), value in ((there.get(a, (b, -1)), b), (back.get(b, (a, -1)), a)):
-                after = max(after, seen + 1) if other != value else after
+            other, seen = there.get(a, (b, -1))
+            after = max(after, seen + 1) if other != b else after
         if after != start:
             if start is not None:
                 runs.append((start, last + 1 - start, unlike < start))
             start = after
         if at not in literal:
-            there[a], back[b] = (b, at), (a, at)
+            there[a] = (b, at)
         unlike, last = at if a != b else unlike, at
     if start is not None:
         runs.append((start, last + 1 - start, unlike < start))
     return runs
 
 
-FOUND_SCHEMA = "doc_id long, item_id long, item_tokens long, matched_tokens long, item_at long, doc_at long, exact boolean"
+def _stretches(good: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(good.astype(np.int8), prepend=0, append=0))
+    yield from zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
 
 
-def _bare(words: str) -> list[str]:
-    mark = _PUNCTUATION.decode()
-    return [w.strip(mark).lower() for w in words.split()]
+def best_run(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], first: int, least: int) -> tuple[int, int, bool] | None:
+    """(tokens, first item token, exact) of the longest run that is contamination, if there is one.
+
+    ``item`` and ``doc`` are (kinds, words); ``doc`` begins along item token ``first``.
+    """
+    kinds, words = (x[first : first + len(doc[0])] for x in item)
+    equal = words == doc[1]
+    literal = equal & (kinds == LITERAL)
+    runs = [(b - a, a, True) for a, b in _stretches(equal) if b - a >= least]
+    upto = np.concatenate([[0], np.cumsum(literal)])
+    for a, b in _stretches(equal | ((kinds == doc[0]) & (kinds != LITERAL))):
+        if b - a < least:
+            continue
+        fixed = frozenset(np.flatnonzero(literal[a:b]).tolist())
+        for at, n, exact in consistent_runs([(0, words[a:b].tolist(), doc[1][a:b].tolist())], fixed):
+            if n >= least and not exact and upto[a + at + n] - upto[a + at] >= max(RUN_LITERALS, LITERAL_SHARE * n):
+                runs.append((n, a + at, False))
+    if not runs:
+        return None
+    n, at, exact = max(runs, key=lambda x: (x[0], x[2], -x[1]))
+    return n, first + at, exact
 
 
-def _literal(matches: list[dict]) -> frozenset[int]:
-    """Item positions of words that are no values wherever they stand."""
-    return frozenset(m["item_at"] + i for m in matches for i, w in enumerate(m["item_words"].split()) if _token(w.encode())[0] == LITERAL)
+FOUND_SCHEMA = "doc_id long, item_id long, item_tokens long, matched_tokens long, item_at long, doc_at long, exact boolean"
+_RUN_SCHEMA = "doc_id long, th long, same long, item_tokens long, matched_tokens long, item_at long, doc_at long, exact boolean"
 
 
 def _verify(least: int):
+    names = [x.split()[0] for x in _RUN_SCHEMA.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                runs = consistent_runs([(m["item_at"], _bare(m["item_words"]), _bare(m["doc_words"])) for m in r["matches"]], _literal(r["matches"]))
-                runs = [x for x in runs if x[1] >= min(least, r["item_tokens"])]
-                if runs:
-                    at, n, exact = max(runs, key=lambda x: (x[1], x[2], -x[0]))
-                    rows.append((r["doc_id"], r["item_id"], r["item_tokens"], n, at, at + r["diagonal"], exact))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64()] * 6 + [pa.bool_()]
-            names = ["doc_id", "item_id", "item_tokens", "matched_tokens", "item_at", "doc_at", "exact"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                item, doc = ((np.frombuffer(r[k], np.int8), np.frombuffer(r[w], np.uint64)) for k, w in (("kinds", "words"), ("doc_kinds", "doc_words")))
+                found = best_run(item, doc, r["first"], min(least, r["item_tokens"]))
+                if found:
+                    n, at, exact = found
+                    rows.append((r["doc_id"], r["th"], r["item_id"], r["item_tokens"], n, at, r["doc_at"] + at - r["first"], exact))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 7 + [pa.bool_()], strict=True)], names)
 
     return run
 
 
+def _runs(docs: DataFrame, benchmark: DataFrame, window: int, least_run: int) -> DataFrame:
+    """FOUND_SCHEMA with ``th``, the hash of the text; a row per text, item and diagonal."""
+    spark = docs.sparkSession
+    items = written(canonical_items(benchmark), "benchmark-items")
+    # items of equal tokens are one here, and all of them again in the result
+    once = items.withColumn("same", F.xxhash64("words"))
+    members = once.select("same", F.col("item_id").alias("_member"))
+    once = once.groupBy(F.col("same").alias("item_id"), "item_tokens").agg(*(F.first(c).alias(c) for c in ("kinds", "words")))
+    windows = written(item_windows(once, window, least_run), "benchmark-windows")
+    stats = windows.agg(F.count("*").alias("n"), F.collect_set(F.least(F.col("item_tokens"), F.lit(window)).cast("int")).alias("sizes")).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, BITS_EACH + int(stats["n"]).bit_length()))
+    bit_map = spark.sparkContext.broadcast(_bit_map(windows, bits))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    found = texts.mapInArrow(_document_windows(bit_map, bits, sorted(stats["sizes"])), "doc_id long, th long, doc_at long, hash long")
+    small = stats["n"] <= BROADCAST_WINDOWS
+    diagonal = F.struct("item_id", "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+    candidates = found.join(F.broadcast(windows) if small else windows, "hash").groupBy("doc_id", "th").agg(F.collect_set(diagonal).alias("found"))
+    candidates = written(candidates, "benchmark-candidates").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "found")
+    met = texts.join(candidates, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "th", "text", "found")
+    aligned = met.mapInArrow(_aligned, _ALIGNED)
+    once = once.select("item_id", "kinds", "words")
+    aligned = aligned.join(F.broadcast(once) if small else once, "item_id")
+    runs = aligned.mapInArrow(_verify(least_run), _RUN_SCHEMA)
+    return runs.join(members, "same").withColumnRenamed("_member", "item_id").drop("same")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run: int = LEAST_RUN) -> DataFrame:
     """One row per contaminated document and item: its longest run of matching tokens; see FOUND_SCHEMA.
 
@@ -309,26 +402,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run:
     repeated items match each; repeated rows give one row together; null doc_ids and item_ids
     are kept. Other columns are not read. No documents or no items: no rows.
     """
-    spark = docs.sparkSession
-    windows = written(item_windows(benchmark, window), "benchmark-windows")
-    stats = windows.agg(F.count("*").alias("n"), F.collect_set(F.least(F.col("item_tokens"), F.lit(window)).cast("int")).alias("sizes")).first()
-    bits = spark.sparkContext.broadcast(_bit_map(windows))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _document_windows(bits, sorted(stats["sizes"])), "doc_id long, text_hash long, doc_at long, hash long, doc_words string"
-    )
-    windows = F.broadcast(windows) if stats["n"] <= BROADCAST_WINDOWS else windows
-    # two texts of a doc_id are told apart by text_hash, repeated windows and rows are one
-    matches = F.array_sort(F.collect_set(F.struct("item_at", "item_words", "doc_words")))
-    grouped = (
-        found.join(windows, "hash")
-        .withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
-        .groupBy("doc_id", "text_hash", "item_id", "item_tokens", "diagonal")
-        .agg(matches.alias("matches"))
-        .select("doc_id", "item_id", "item_tokens", "diagonal", "matches")
-    )
     best = F.max(F.struct("matched_tokens", "exact", (-F.col("doc_at")).alias("before"), "item_at", "item_tokens")).alias("best")
     return (
-        grouped.mapInArrow(_verify(least_run), FOUND_SCHEMA)
+        _runs(docs, benchmark, window, least_run)
         .groupBy("doc_id", "item_id")
         .agg(best)
         .select(
@@ -344,7 +420,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run: int = LEAST_RUN) -> DataFrame:
-    """The documents in which no item is found, columns unchanged; a doc_id goes with all its rows."""
-    (id_,) = fresh(docs, "_id")
-    bad = find(docs, benchmark, window, least_run).select(F.col("doc_id").alias(id_)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")
+    """The documents in whose text no item is found, columns unchanged.
+
+    Each row is judged by its own text, whatever other rows have its doc_id, or none. Null and
+    empty texts stay; no benchmark or no documents: nothing goes; columns of any name may be there.
+    """
+    id_, th = fresh(docs, "_id", "_th")
+    bad = _runs(docs, benchmark, window, least_run).select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct()
+    own: Column = F.xxhash64("text") == F.col(th)
+    return docs.join(bad, own & F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from recollect.llm import decontam, fingerprint, licenses, lm, mixing, quality, secrets, similar, simhash
-from tests.llm import tricky
+from tests.llm import planted, tricky
 
 BLANK = "\x20\x09-\x0d"
 
@@ -345,7 +345,8 @@ def test_slots_must_be_consistent():
     item, doc = "a 1 b 2 c 1".split(), "a 5 b 6 c 5".split()
     assert decontam.consistent_runs([(0, item, doc)]) == [(0, 6, False)]
     assert decontam.consistent_runs([(0, item, "a 5 b 6 c 7".split())])[0] == (0, 5, False)
-    assert decontam.consistent_runs([(0, item, "a 5 b 5 c 5".split())])[0] == (0, 3, False)
+    # two values of the item may have become one, one value never two
+    assert decontam.consistent_runs([(0, item, "a 5 b 5 c 5".split())]) == [(0, 6, False)]
 
 
 def test_longest_consistent_run(spark):
@@ -359,6 +360,84 @@ def test_longest_consistent_run(spark):
     assert found[1, 1].matched_tokens == 19 and found[2, 2].matched_tokens == 15 and set(found) == {(1, 1), (2, 2)}
 
 
+def plain_tokens(text):
+    """(kind, word) of each word with a letter or digit."""
+    numbers, units = ({x.decode() for x in xs} for xs in (decontam.NUMBER_WORDS, decontam.UNITS))
+    out = []
+    for word in text.split():
+        bare = word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        low = bare.lower()
+        if bare:
+            number = re.fullmatch(r"\d+([.,:/-]\d+)*(st|nd|rd|th)?", low) or low in numbers
+            name = len(bare) > 1 and bare[0].isupper() and not bare.isupper()
+            out.append(("number" if number else "unit" if low in units else "name" if name else "literal", low))
+    return out
+
+
+def plain_longest(item, doc, least):
+    """Longest run over all pairs of places, by trying each start."""
+    best = 0
+    for i in range(len(item)):
+        for j in range(len(doc)):
+            there, literals, equal = {}, 0, True
+            for n in range(min(len(item) - i, len(doc) - j)):
+                (ka, a), (kb, b) = item[i + n], doc[j + n]
+                if a != b and (ka != kb or ka == "literal"):
+                    break
+                if not (a == b and ka == "literal"):
+                    if there.setdefault(a, b) != b:
+                        break
+                else:
+                    literals += 1
+                equal &= a == b
+                if n + 1 >= least and (equal or literals >= max(4, (n + 1) / 3)):
+                    best = max(best, n + 1)
+    return best
+
+
+def test_reparameterised_questions_are_found(spark):
+    items, made = planted.parameterised(240)
+    around = [(i, f"{tricky.text(i, 30 + i % 20)} {t} {tricky.text(500 + i, 20)}") for i, t in made]
+    clean = [(1000 + i, tricky.text(2000 + i, 200)) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find(spark.createDataFrame(around + clean, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id for r in found if r.doc_id == r.item_id} == {i for i, _ in made} and not any(r.doc_id >= 1000 for r in found)
+    got = {(r.doc_id, r.item_id): r.matched_tokens for r in found}
+    some = range(0, 240, 17)
+    texts, asked = dict(around), dict(items)
+    for i in some:
+        for j in some:
+            item = plain_tokens(asked[j])
+            want = plain_longest(item, plain_tokens(texts[i]), min(13, len(item)))
+            assert got.get((i, j), 0) == want, (i, j)
+
+
+def test_names_at_sentence_starts_and_equal_new_values(spark):
+    item = "Alice has 12 apples in her basket. Bob gives 5 pears to Alice today. How many fruits does Alice have?"
+    other = item.replace("Alice", "Carol").replace("Bob", "Dave").replace("12", "9").replace("5", "9")
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    made = [(1, f"x {other} y"), (2, f"x {other.replace('to Carol', 'to Nina')} y"), (None, f"x {item}"), (None, "an innocent text of some words that nobody asked about at all")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontam.find(docs, bench).collect()}
+    assert {k for k in found if k[1] == 2} == {(1, 2), (2, 2), (None, 2)} and found[1, 1].matched_tokens == 20 and not found[1, 1].exact
+    assert found[2, 1].matched_tokens < 20 and found[None, 1].exact
+    assert [r.text for r in decontam.drop_contaminated(docs, bench).collect()] == [made[3][1]]
+
+
+def test_boilerplate_brings_no_item_by_itself(spark):
+    boiler = "please answer the question below in one short sentence"
+    asked = [(i, f"{boiler} {tricky.text(3000 + i, 16)}") for i in range(100)]
+    items = decontam.canonical_items(spark.createDataFrame(asked, "item_id long, text string"))
+    kept = decontam.item_windows(items, shared=32).collect()
+    assert {r.item_id for r in kept} == set(range(100)) and len(kept) < decontam.item_windows(items, shared=1000).count()
+    alike = [(i, f"{boiler} {i}") for i in range(100)]  # nothing but boilerplate: all of it stays
+    items = decontam.canonical_items(spark.createDataFrame(alike, "item_id long, text string"))
+    assert {r.item_id for r in decontam.item_windows(items, shared=32).collect()} == set(range(100))
+    docs = spark.createDataFrame([(1, f"x {asked[7][1]} y"), (2, f"x {boiler} more y")], "doc_id long, text string")
+    found = decontam.find(docs, spark.createDataFrame(asked, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 7)}
+
+
 def test_verbatim_passages_whatever_is_a_name(spark):
     item = "Anna went home. Then Bob came late. They sang. Later Carl drove off. Nobody saw Dora leave. Rain fell. Anna slept."
     bare = item.replace(".", "")
