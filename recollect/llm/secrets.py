@@ -13,6 +13,7 @@ document and alternative after the map-side aggregation.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -169,40 +170,37 @@ def _matches(text: Column, rule: Rule) -> tuple[Column, Column, Column]:
     return F.split(text, rule.regex, -1), whole, F.transform(part, lambda x: F.length(x) >= rule.least)
 
 
-_CHUNK = 64
+_CHUNK = 256
 
 
-def _running(lengths: Column) -> Column:
-    """Sum of all elements before each; by chunks, so that many matches stay cheap."""
-    zero = F.lit(0)
-    total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
+def _states(xs: Column, first: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The state after each element. By chunks, as an array that grows is copied at each step."""
+    last = lambda states: F.element_at(states, -1)
     chunks = F.transform(
-        F.sequence(zero, F.floor(F.size(lengths) / _CHUNK).cast("int")), lambda j: total(F.slice(lengths, j * _CHUNK + 1, _CHUNK))
-    )
-    before = F.transform(chunks, lambda x, j: total(F.slice(chunks, F.lit(1), j)))
-    return F.transform(
-        lengths,
-        lambda x, i: F.get(before, F.floor(i / _CHUNK).cast("int"))
-        + total(F.slice(lengths, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK)),
+        F.sequence(F.lit(0), F.floor(F.size(xs) / _CHUNK).cast("int")), lambda j: F.slice(xs, j * _CHUNK + 1, _CHUNK)
     )
+    within = lambda chunk, state: F.aggregate(chunk, F.array(state), lambda a, x: F.concat(a, F.array(step(last(a), x))))
+    parts = F.aggregate(chunks, F.array(F.array(first)), lambda a, c: F.concat(a, F.array(within(c, last(last(a))))))
+    # each part begins with the state that it went on from
+    return F.flatten(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.slice(p, F.lit(2), F.size(p))))
 
 
-def spans(text: Column, rule: Rule, nth: int) -> Column:
-    """array<struct<start, nth, end>> of the rule's matches, in code points, end exclusive."""
+def spans(text: Column, rule: Rule, nth: int, size: Callable[[Column], Column] = F.length) -> Column:
+    """array<struct<start, nth, end>> of the rule's matches, end exclusive; in code points, or what else ``size`` counts."""
     between, whole, good = _matches(text, rule)
-    sizes = F.transform(whole, F.length)
-    gaps = F.transform(F.slice(between, F.lit(1), F.size(whole)), F.length)
-    starts = F.zip_with(_running(F.zip_with(gaps, sizes, lambda g, n: g + n)), gaps, lambda a, g: a + g)
-    found = F.transform(
-        F.arrays_zip(starts.alias("start"), sizes.alias("n"), good.alias("good")),
-        lambda x: F.struct(
-            x["start"].alias("start"), F.lit(nth).alias("nth"), (x["start"] + x["n"]).alias("end"), x["good"].alias("good")
-        ),
-    )
-    return F.transform(
-        F.filter(found, lambda x: x["good"]),
-        lambda x: F.struct(x["start"].alias("start"), x["nth"].alias("nth"), x["end"].alias("end")),
-    )
+    found = F.transform(F.arrays_zip(between.alias("gap"), whole.alias("own")), lambda x: F.struct(size(x["gap"]).alias("gap"), size(x["own"]).alias("own")))
+    # what is between comes once more often than matches
+    found = F.slice(found, F.lit(1), F.size(whole))
+    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+    at = _states(found, none, lambda s, x: F.struct((s["end"] + x["gap"]).alias("start"), (s["end"] + x["gap"] + x["own"]).alias("end")))
+    kept = F.filter(F.arrays_zip(at.alias("at"), good.alias("good")), lambda x: x["good"])
+    return F.transform(kept, lambda x: F.struct(x["at"]["start"].alias("start"), F.lit(nth).alias("nth"), x["at"]["end"].alias("end")))
+
+
+def _all_spans(rules: tuple[Rule, ...], search: dict[str, Column], size: Callable[[Column], Column] = F.length) -> Column:
+    none = F.expr("CAST(array() AS array<struct<start:int,nth:int,end:int>>)")
+    each = [F.when(search[r.kind], spans(F.col("text"), r, i, size)).otherwise(none) for i, r in enumerate(rules)]
+    return F.array_sort(F.flatten(F.array(*each)))
 
 
 def _flagged(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, dict[str, Column]]:
@@ -227,10 +225,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     of all columns only doc_id and text are read. No documents: no rows.
     """
     joined, search = _flagged(docs.select("doc_id", "text"), rules)
-    none = F.expr("CAST(array() AS array<struct<start:int,nth:int,end:int>>)")
-    each = [F.when(search[r.kind], spans(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
     kinds = F.array(*(F.lit(r.kind) for r in rules))
-    return joined.select("doc_id", F.array_sort(F.flatten(F.array(*each))).alias("_found")).select(
+    return joined.select("doc_id", _all_spans(rules, search).alias("_found")).select(
         "doc_id",
         F.transform(
             "_found", lambda x: F.struct(x["start"].alias("start"), F.get(kinds, x["nth"]).alias("kind"), x["end"].alias("end"))
@@ -238,24 +234,44 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+def _merged(found: Column) -> Column:
+    """array<struct<start, end>> of what sorted spans cover together; spans that only touch stay apart."""
+    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    grown = _states(
+        found,
+        none,
+        lambda s, x: F.when(x["start"] < s["end"], F.struct(s["start"].alias("start"), F.greatest(s["end"], x["end"]).alias("end"))).otherwise(
+            F.struct(x["start"].alias("start"), x["end"].alias("end"))
+        ),
+    )
+    following = F.slice(grown, F.lit(2), F.size(grown))
+    return F.transform(
+        F.filter(F.arrays_zip(grown.alias("own"), following.alias("next")), lambda x: x["next"].isNull() | (x["next"]["start"] != x["own"]["start"])),
+        lambda x: x["own"],
+    )
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """The documents with each match replaced by ``mask``, rule by rule, and n_chars brought up to date.
+    """The documents with what ``scan`` finds replaced by ``mask``, and n_chars brought up to date.
 
-    Other columns, and texts without a match (null ones too), stay as they are.
+    All matches are found in the original text; those that overlap or lie in each other are
+    replaced together, once, so nothing of any of them is left. Other columns, and texts without
+    a match (null and empty ones too), stay as they are; repeated rows are each masked.
     """
     columns = docs.columns
-    (old,) = fresh(docs, "_text")
-    docs = docs.withColumn(old, F.col("text"))
-    joined, search = _flagged(docs, rules)
-    for rule in rules:
-        between, whole, good = _matches(F.col("text"), rule)
-        kept = F.zip_with(whole, good, lambda m, g: F.when(g, F.lit(mask)).otherwise(m))
-        pieces = F.zip_with(between, kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        joined = joined.withColumn("text", F.when(search[rule.kind], F.array_join(pieces, "")).otherwise(F.col("text")))
-    changed = ~F.coalesce(old, F.lit("")).eqNullSafe(F.col("text"))
-    joined = joined.withColumn("text", F.when(changed, F.col("text")).otherwise(F.col(old)))
+    old, cut = fresh(docs, "_text", "_spans")
+    joined, search = _flagged(docs.withColumn(old, F.col("text")), rules)
+    # offsets in bytes: a piece of a binary is found without counting code points before it
+    joined = joined.withColumn(cut, _all_spans(rules, search, F.octet_length)).withColumn(cut, _merged(F.col(cut)))
+    data = F.col("text").cast("binary")
+    piece = lambda a, b: F.substring(data, a + 1, b - a).cast("string")
+    ends = F.concat(F.array(F.lit(0)), F.transform(cut, lambda x: x["end"]))
+    starts = F.concat(F.transform(cut, lambda x: x["start"]), F.array(F.octet_length("text")))
+    clean = F.array_join(F.zip_with(ends, starts, piece), mask)
+    joined = joined.withColumn("text", F.when(F.size(cut) > 0, clean).otherwise(F.col(old)))
     if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col(old) != F.col("text"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn("n_chars", F.when(F.size(cut) > 0, chars).otherwise(F.col("n_chars")))
     return joined.select(*columns)
 
 

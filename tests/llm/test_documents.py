@@ -202,6 +202,28 @@ def test_secret_redaction(spark, docs):
     same([(r.doc_id, r.text) for r in untouched.collect() if r.doc_id != 8], [(r[0], r[1]) for r in tricky.ROWS if r[0] != 8])
 
 
+def test_redaction_leaves_nothing_of_any_span(spark):
+    hexes = "0123456789abcdef" * 2
+    seen = {
+        "assign": "token = 'abcdefgh12'", "access": "AKIAABCDEFGHIJKLMN", "hex": hexes, "github": "ghp_" + hexes + "ZZZZ", "slack": "xoxb-" + hexes,
+        "jwt": f"eyJhbGciOiJIUzI1NiJ9.eyJ{hexes}.SGVsbG9XoxbAKIA0123", "pem": "-----BEGIN EC PRIVATE KEY-----", "stripe": "sk_live_" + hexes,
+        "google": "AIza" + hexes + "abc", "userinfo": f"https://token={hexes}:AKIAABCDEFGHIJKLMN@c",
+    }
+    glue = ("", "=", " = ", ":", "é", " \U0001f600 ")
+    texts = [f"é {a}{glue[(i + j) % 6]}{b} after" for i, a in enumerate(seen.values()) for j, b in enumerate(seen.values())]
+    texts += [f"secret={x}" for x in seen.values()] + [" ".join(seen.values()), "x" + " token=abcdefgh" * 1000]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    spans = {r.doc_id: [(x["start"], x["end"]) for x in r.found] for r in secrets.scan(df).collect()}
+    assert sum(map(bool, spans.values())) > 100
+    for r in secrets.redact(df).collect():
+        text, parts, at, until = texts[r.doc_id], [], 0, -1
+        for a, b in sorted(spans[r.doc_id]):
+            if a >= until:
+                parts.append(text[at:a])
+            at = until = max(until, b)
+        assert r.text == "[SECRET]".join([*parts, text[at:]]), text
+
+
 def test_trigram_queries_hold_for_matches():
     seen = {
         "assign": 'API_key = "abcdefgh1"', "access": "AKIAABCDEFGHIJKLMN", "github": "ghs_" + "b" * 36, "slack": "xoxb-1234567890ab",
