@@ -7,15 +7,24 @@ that none is missing and that the total length is the one stated, and only then
 the HTTP message and its chunked framing.
 
 Archives are written and read through Spark alone, so any store that Spark reaches will
-do. An archive is at most ``records_per_file`` records of ``segment_bytes`` each: a task
-holds one archive or one page, never more.
+do. Each record is a gzip member of its own, so other tools can seek in them; between them
+stands an empty member, as the text writer puts something after each row. An archive is at most
+``records_per_file`` records of ``segment_bytes`` each and begins with a warcinfo record: a
+task holds one archive or one page, never more.
+
+The reader takes archives as they come: header names in any case, with or without a space
+after the colon, unknown record types, members or records that are cut or altered. What it
+can't read it passes over, to the next record that it finds, and counts (``archive_report``).
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,6 +38,9 @@ _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _END = b"\r\n\r\n"
+_INFO = b"software: recollect\r\nformat: WARC File Format 1.1\r\n"
+#: Digits of a length or number in a header.
+_MOST_DIGITS = 18
 
 
 def _cuts(data: bytes, size: int) -> Iterator[bytes]:
@@ -58,6 +70,8 @@ def dechunked(body: bytes) -> bytes | None:
             size = int(body[at:end].split(b";")[0], 16)
         except ValueError:
             return None
+        if size < 0:
+            return None
         if size == 0:
             return b"".join(out)
         piece = body[end + 2 : end + 2 + size]
@@ -78,8 +92,17 @@ def http_payload(block: bytes) -> bytes | None:
 
 
 def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
-    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields if v is not None), f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + _END + block
+    fields = [*fields, ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Length", len(block))]
+    return "\r\n".join(["WARC/1.1", *(f"{k}: {v}" for k, v in fields if v is not None)]).encode() + _END + block + _END
+
+
+def member(data: bytes) -> bytes:
+    """The data as one gzip member; the same bytes each time."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+_BETWEEN = member(b"")
 
 
 def _uri(record: str) -> str:
@@ -91,7 +114,7 @@ def _id(*parts: object) -> str:
 
 
 def _records(row: dict, segment_bytes: int) -> Iterator[bytes]:
-    """The records of a page, without the line ends that close them."""
+    """The records of a page."""
     own = _id(row["page_id"], row["digest"], row["nth"])
     url = row["url"] and row["url"].replace("\r", "%0D").replace("\n", "%0A")
     fields = [
@@ -124,13 +147,22 @@ def _records(row: dict, segment_bytes: int) -> Iterator[bytes]:
         yield _record(of, piece)
 
 
-def _write(segment_bytes: int):
+def _write(segment_bytes: int, records_per_file: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth, made = 0, []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256).to_pylist()
-                made = [x.decode() for row in rows for x in _records(row, segment_bytes)]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
+                for row in batch.slice(i, 256).to_pylist():
+                    for record in _records(row, segment_bytes):
+                        data = member(record)
+                        if nth % records_per_file == 0:  # the writer begins a file here
+                            info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", _id("warcinfo", record)), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields")]
+                            data = member(_record(info, _INFO)) + data
+                        made.append(data)
+                        nth += 1
+                yield batch_of()
+                made = []
 
     return run
 
@@ -144,6 +176,8 @@ def write_archives(
 ) -> None:
     """Write a record for each row of pages (page_id, url, html) to gzipped archives in ``path``.
 
+    The files are named as Spark's text writer names them; their content is that of .warc.gz files.
+
     Of equal payloads of at least ``least_revisit_bytes`` bytes the one with the smallest
     page_id (null last) is a response and the others revisit it; of repeated rows with that
     page_id the first is the response. Shorter payloads are all responses. Null html is
@@ -160,10 +194,13 @@ def write_archives(
     nth = F.row_number().over(Window.partitionBy("row").orderBy("digest"))
     own = F.col("page_id").eqNullSafe(F.col("first")) & (F.col("nth") == 1)
     joined = joined.withColumn("nth", nth).withColumn("refers_to", F.when(F.col("shared") & ~own, F.col("first")))
-    records = joined.select("page_id", "url", "html", "digest", "nth", "refers_to").mapInArrow(_write(segment_bytes), "value string")
+    records = joined.select("page_id", "url", "html", "digest", "nth", "refers_to")
+    records = records.mapInArrow(_write(segment_bytes, records_per_file), "value binary").select(F.col("value").cast("string"))
+    # bytes pass through the text writer as they are; so does the separator in a one-byte encoding
     (
-        records.write.option("lineSep", _END.decode())
-        .option("compression", "gzip")
+        records.write.option("encoding", "ISO-8859-1")
+        .option("lineSep", _BETWEEN.decode("latin-1"))
+        .option("compression", "none")
         .option("maxRecordsPerFile", records_per_file)
         .text(path)
     )
@@ -175,26 +212,115 @@ RECORD_SCHEMA = (
 )
 
 
-def parse_archive(data: bytes) -> Iterator[dict]:
-    """The records of an archive, framed by their Content-Length."""
+_START = re.compile(rb"(?:(?<=\n)|\A)WARC/\d+\.\d+[ \t]*\r?\n")
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.isascii() and text.isdigit() and len(text) <= _MOST_DIGITS else None
+
+
+def _page(text: str | None) -> int | None:
+    return _number(text) if text is None or not text.startswith("-") else (lambda n: None if n is None else -n)(_number(text[1:]))
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; the first of a name counts, folded lines are joined."""
+    out: dict[str, str] = {}
+    last = None
+    for line in head.decode(errors="replace").replace("\r\n", "\n").split("\n"):
+        if line[:1] in (" ", "\t") and last is not None:
+            out[last] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        last = name.strip().lower() if colon and name.strip().lower() not in out else None
+        if last is not None:
+            out[last] = value.strip()
+    return out
+
+
+def _head_end(data: bytes, at: int) -> tuple[int, int] | None:
+    """Where the header that starts at ``at`` ends and its block begins."""
+    ends = [(x, n) for mark, n in ((_END, 4), (b"\n\n", 2)) if (x := data.find(mark, at)) >= 0]
+    return min(ends) if ends else None
+
+
+def parse_archive(data: bytes) -> Iterator[dict | None]:
+    """The records of an archive's bytes, framed by their Content-Length; None for each piece that can't be read.
+
+    After such a piece it goes on at the next line that begins a record. Of all types, those
+    that read_archives has no use for too.
+    """
     at = 0
     while at < len(data):
-        end = data.index(_END, at)
-        fields = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        size = int(fields["Content-Length"])
-        number, total, page = (fields.get(k) for k in ("WARC-Segment-Number", "WARC-Segment-Total-Length", "Page-Id"))
+        if data[at : at + 1] in (b"\r", b"\n"):  # line ends between records, however many
+            at += 1
+            continue
+        start = _START.match(data, at)
+        head = _head_end(data, start.end()) if start else None
+        fields = _fields(data[start.end() : head[0]]) if head else {}
+        size = _number(fields.get("content-length"))
+        number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+        record, kind = fields.get("warc-record-id"), fields.get("warc-type")
+        if size is None or not record or not kind or (number is not None and not _number(number)) or head[0] + head[1] + size > len(data):
+            yield None
+            again = _START.search(data, at + 1)
+            if not again:
+                return
+            at = again.start()
+            continue
+        begin = head[0] + head[1]
         yield {
-            "record_id": fields["WARC-Record-ID"],
-            "kind": fields["WARC-Type"],
-            "page_id": int(page) if page is not None else None,
-            "url": fields.get("WARC-Target-URI"),
-            "refers_to": fields.get("WARC-Refers-To"),
-            "origin": fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"]),
-            "number": int(number) if number is not None else None,
-            "total": int(total) if total is not None else None,
-            "block": data[end + 4 : end + 4 + size],
+            "record_id": record,
+            "kind": kind.lower(),
+            "page_id": _page(fields.get("page-id")),
+            "url": fields.get("warc-target-uri"),
+            "refers_to": fields.get("warc-refers-to"),
+            "origin": fields.get("warc-segment-origin-id", record),
+            "number": _number(number),
+            "total": _number(total),
+            "block": data[begin : begin + size],
         }
-        at = end + 4 + size + len(_END)
+        at = begin + size
+
+
+_MAGIC = b"\x1f\x8b\x08"
+
+
+def unpacked(data: bytes) -> Iterator[bytes | None]:
+    """The contents of runs of whole gzip members; None for each that is cut or altered. Other data is given as it is."""
+    if data[:3] != _MAGIC:
+        yield data
+        return
+    parts: list[bytes] = []
+    at = 0
+    while 0 <= at < len(data):
+        packer = zlib.decompressobj(31)
+        try:
+            part = packer.decompress(memoryview(data)[at:])
+        except zlib.error:
+            part = None
+        if part is not None and packer.eof:
+            parts.append(part)
+            at = len(data) - len(packer.unused_data)
+            if len(packer.unused_data) and data[at : at + 3] != _MAGIC:
+                at = data.find(_MAGIC, at)
+            continue
+        if parts:
+            yield b"".join(parts)
+        parts = []
+        yield None
+        at = data.find(_MAGIC, at + 1)
+    if parts:
+        yield b"".join(parts)
+
+
+def read_records(data: bytes) -> Iterator[dict | None]:
+    """The records of an archive, packed or not; None for each piece that can't be read."""
+    for part in unpacked(data):
+        if part is None:
+            yield None
+        else:
+            yield from parse_archive(part)
 
 
 _ARROW_RECORD = pa.schema(
@@ -209,13 +335,28 @@ _ARROW_RECORD = pa.schema(
 )
 
 
+_DAMAGED = dict.fromkeys(_ARROW_RECORD.names) | {"kind": "damaged"}
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            data = content.as_buffer().to_pybytes()
-            records = parse_archive(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-            while rows := [x for _, x in zip(range(512), records)]:  # noqa: B905
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_RECORD)
+            records = read_records(content.as_buffer().to_pybytes())
+            while rows := list(islice(records, 512)):
+                yield pa.RecordBatch.from_pylist([x or _DAMAGED for x in rows], schema=_ARROW_RECORD)
+
+
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds = [Counter("damaged" if x is None else x["kind"] for x in read_records(c.as_buffer().to_pybytes())) for c in batch.column("content")]
+        rows = [(path, kind, n) for path, own in zip(batch.column("path").to_pylist(), kinds, strict=True) for kind, n in sorted(own.items())]
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["path", "kind", "n"])
+
+
+def archive_report(spark: SparkSession, path: str) -> DataFrame:
+    """(path, kind, n): the records of each archive by type; ``damaged`` counts the pieces that were passed over."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_report, "path string, kind string, n long")
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +371,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     One row per response or revisit of the archives in ``path``, segments put together.
     The payload of a revisit is empty; that of a record with a missing segment, a wrong
-    total length or broken framing is null. Copies of a segment count once.
+    total length or broken framing is null. Copies of a segment count once. Records of other
+    types, and pieces that can't be read, are passed over. No archives: no rows.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     records = files.mapInArrow(_parse, RECORD_SCHEMA)
-    whole = records.where("number IS NULL").select("record_id", "kind", "page_id", "url", "refers_to", "block")
+    whole = records.where("number IS NULL AND kind IN ('response', 'revisit')").select("record_id", "kind", "page_id", "url", "refers_to", "block")
     parts = F.array_distinct(F.array_sort(F.collect_list(F.struct("number", "total", "block"))))
     cut = (
         records.where("number IS NOT NULL")
@@ -243,11 +385,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             *(F.max(F.when(F.col("number") == 1, F.col(x))).alias(x) for x in ("kind", "page_id", "url", "refers_to")),
             parts.alias("parts"),
         )
-        .where("kind IS NOT NULL")
+        .where("kind IN ('response', 'revisit')")
     )
     joined = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
     stated = F.element_at("parts", -1)
-    good = (F.size("parts") == stated["number"]) & (stated["total"] == F.octet_length("joined"))
+    # numbers from 1 on without a gap; the last one states the total
+    good = (F.size("parts") == stated["number"]) & (F.element_at("parts", 1)["number"] == 1) & (stated["total"] == F.octet_length("joined"))
     cut = cut.withColumn("joined", joined).select(
         F.col("origin").alias("record_id"), "kind", "page_id", "url", "refers_to", F.when(good, F.col("joined")).alias("block")
     )

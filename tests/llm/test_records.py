@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import random
 
 import pyarrow as pa
 import pytest
@@ -96,7 +97,7 @@ def test_broken_records_are_told(spark, tmp_path):
         head("open", a, one), seg(2, b, "open"), head("cut", block[:-9]), head("whole", b"HTTP/1.1 200 OK\r\n\r\nplain"),
     ]
     (tmp_path / "w").mkdir()
-    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(gzip.compress(x + b"\r\n\r\n") for x in archive))
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in archive))
     got = {r.record_id: r.payload for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
     assert got == {"<good>": bytearray(b"payload " * 20), "<gap>": None, "<wrong>": None, "<open>": None, "<cut>": None, "<whole>": bytearray(b"plain")}
 
@@ -104,3 +105,66 @@ def test_broken_records_are_told(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/w")
     assert warc.read_archives(spark, f"file://{tmp_path}/w").count() == 0
+
+
+def test_one_member_a_record_and_a_warcinfo_each(spark, tmp_path):
+    written(spark, f"file://{tmp_path}/w", segment_bytes=1000, records_per_file=100)
+    files = [x for x in (tmp_path / "w").iterdir() if x.name.startswith("part-")]
+    assert len(files) >= 3
+    for file in files:
+        parts = [x for x in warc.unpacked(file.read_bytes())]
+        assert len(parts) == 1 and parts[0] == gzip.decompress(file.read_bytes())
+        records = list(warc.parse_archive(parts[0]))
+        assert records[0]["kind"] == "warcinfo" and [r["kind"] for r in records].count("warcinfo") == 1 and 2 <= len(records) <= 101
+        assert file.read_bytes().count(warc._MAGIC) >= 2 * len(records) - 1
+    report = {(r.kind): r.n for r in warc.archive_report(spark, f"file://{tmp_path}/w").groupBy("kind").agg({"n": "sum"}).toDF("kind", "n").collect()}
+    assert report["warcinfo"] == len(files) and report["response"] + report["revisit"] == len(PAGES) and "damaged" not in report
+
+
+def test_foreign_records(spark, tmp_path):
+    head = b"WARC/1.0\r\n"
+    made = [
+        head + b"warc-type:Response\r\nWARC-Record-ID:<a>\r\ncontent-length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nplain\r\n\r\n",
+        head + b"WARC-Type: request\r\nWARC-Record-ID: <b>\r\nContent-Length: 3\r\n\r\nGET\r\n\r\n",
+        head + b"WARC-Type: response\r\nWARC-Record-ID: <c>\r\nContent-Length: many\r\n\r\nlost\r\n\r\n",
+        head + b"no colon here\r\nWARC-Type: metadata\r\nWARC-Record-ID: <d>\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+        head + b"WARC-Type: response\r\nWARC-Record-ID: <e>\r\nWARC-Target-URI: http://x/\r\n y\r\nContent-Length: 21\r\n\r\nHTTP/1.1 200 OK\r\n\r\nxy\r\n\r\n",
+        head + b"WARC-Type: response\r\nWARC-Record-ID: <f>\r\nContent-Length: 99999\r\n\r\ncut",
+    ]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(b"junk\r\n" + b"".join(made))
+    (tmp_path / "w" / "b.warc.gz").write_bytes(gzip.compress(made[0]) + gzip.compress(made[1])[:-6] + gzip.compress(made[4].replace(b"<e>", b"<g>")) + b"rest")
+    (tmp_path / "w" / "empty").write_bytes(b"")
+    got = sorted((r.record_id, bytes(r.payload), r.url) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect())
+    assert got == [("<a>", b"plain", None), ("<a>", b"plain", None), ("<e>", b"xy", "http://x/ y"), ("<g>", b"xy", "http://x/ y")]
+    report = {(r.path.rsplit("/", 1)[1], r.kind): r.n for r in warc.archive_report(spark, f"file://{tmp_path}/w").collect()}
+    assert report["a.warc", "damaged"] == 3 and report["b.warc.gz", "damaged"] == 1 and report["a.warc", "request"] == 1
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_cut_and_altered_archives_are_read(packed):
+    rng = random.Random(8)
+    rows = [{"page_id": i, "digest": f"{i:032x}", "nth": 1, "url": "http://a/", "html": f"page {i} " * (i * 20 + 1), "refers_to": None} for i in range(12)]
+    records = [x for r in rows for x in warc._records(r, 1000)]
+    whole = b"".join(map(warc.member, records)) if packed else b"".join(records)
+    known = {r["record_id"]: r["block"] for r in warc.read_records(whole)}
+    assert len(known) == len(records) and None not in list(warc.read_records(whole))
+    for _ in range(300):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(data))
+            kind = rng.randrange(4)
+            if kind == 0:
+                data[at] ^= 1 << rng.randrange(8)
+            elif kind == 1:
+                del data[at : at + rng.randint(1, 400)]
+            elif kind == 2:
+                data[at:at] = rng.randbytes(rng.randint(1, 60))
+            else:
+                del data[max(1, at) :]
+        found = list(warc.read_records(bytes(data)))
+        assert all(r is None or isinstance(r["block"], bytes) for r in found)
+        for r in found:  # decoding never fails either
+            warc.http_payload(r["block"]) if r else None
+        if packed:  # a checksum stands over each record, so what is read is what was written
+            assert all(known.get(r["record_id"]) == r["block"] for r in found if r)
