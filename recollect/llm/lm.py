@@ -8,11 +8,8 @@ an arc with its probability, and a failure arc with MU / (c(h) + MU) leads from
 One traversal from left to right carries the state and adds up the logarithms.
 
 The automaton of a large corpus fits no single machine, so each block of documents gets
-the part that its own n-grams touch. A block sends its distinct n-grams, hashed to 64 bits
-and dealt to buckets by hash, with their counts in training texts; a bucket adds up the
-blocks' counts and answers in the order asked. What travels is packed in a few rows per
-block, texts are shuffled once, and frequent words are one entry per block. Two n-grams
-share a hash with a chance of about n^2 / 2^64 for n distinct ones.
+the part that its own n-grams touch: it asks for the counts of its distinct n-grams in
+training texts (see ``_ranges``).
 """
 
 from __future__ import annotations
@@ -27,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm._text import string_column, words
+from recollect.llm._ranges import Network, blocks_of, counted, counts_of, mix64, texts_of
+from recollect.llm._text import words
 
-ORDER, MU = 2, 200.0
+ORDER, MU = 3, 50.0
 #: Rows whose crc32(doc_id as text) has this remainder are held out of the counts.
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block.
@@ -43,12 +41,6 @@ def held_out(doc_id: int | None, folds: int = FOLDS, fold: int = HELD_OUT) -> bo
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
-def _mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 @dataclass
 class Block:
     """The tokens of some documents and their distinct n-grams.
@@ -67,7 +59,7 @@ class Block:
     counts: np.ndarray = None
 
     @classmethod
-    def of(cls, ids: list, texts: Iterator[bytes], order: int) -> Block:
+    def of(cls, ids: list, texts: Iterator[bytes], order: int, bits: int = 64) -> Block:
         numbers: dict[bytes, int] = {}
         number, parts = numbers.setdefault, []
         for text in texts:
@@ -82,7 +74,7 @@ class Block:
         n = len(numbers)
         word_hash = np.fromiter((xxhash.xxh64_intdigest(x) for x in numbers), np.uint64, n)
         block.grams, block.before, block.last = [tokens], [np.zeros(n, np.int64)], [np.arange(n)]
-        hashes, counts = [word_hash | np.uint64(1)], [np.bincount(tokens[train], minlength=n)]
+        hashes, counts = [word_hash], [np.bincount(tokens[train], minlength=n)]
         level = word_hash
         for k in range(1, order):
             at = np.flatnonzero(place >= k)
@@ -92,95 +84,19 @@ class Block:
             block.grams.append(here)
             block.before.append(pairs // n if n else pairs)
             block.last.append(pairs % n if n else pairs)
-            level = _mix64(level[block.before[k]] * np.uint64(0x9E3779B97F4A7C15) + word_hash[block.last[k]])
-            hashes.append(level & ~np.uint64(1))  # the lowest bit tells words from longer n-grams
+            level = mix64(level[block.before[k]] * np.uint64(0x9E3779B97F4A7C15) + word_hash[block.last[k]])
+            hashes.append(level)
             counts.append(np.bincount(inverse[train[at]], minlength=len(pairs)))
-        block.hashes, block.counts = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
+        # the lowest bit tells words from longer n-grams
+        cut = [(x >> np.uint64(64 - bits)) & ~np.uint64(1) for x in hashes]
+        cut[0] |= np.uint64(1)
+        block.hashes, block.counts = np.concatenate(cut), np.concatenate(counts).astype(np.int64)
         return block
 
-    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams in order of bucket, then hash; where each bucket starts and ends)."""
-        order = np.argsort(self.hashes)
-        edges = (np.arange(buckets + 1, dtype=object) << 64) // buckets
-        cuts = np.searchsorted(self.hashes[order], np.array([int(x) for x in edges[1:-1]], np.uint64))
-        return order, np.concatenate([[0], cuts, [len(order)]])
-
-
-def _pack_hashes(sorted_hashes: np.ndarray) -> bytes:
-    """Differences of a sorted run, transposed by byte so that their leading zeros compress."""
-    return np.diff(sorted_hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpack_hashes(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """One byte each; larger counts apart."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
-
-
-def _unpack_counts(low: bytes, high: bytes) -> np.ndarray:
-    out = np.frombuffer(low, np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(high, np.int64)
-    return out
-
-
-ASK_SCHEMA = "bucket int, block int, hashes binary, low binary, high binary"
-ANSWER_SCHEMA = "block int, bucket int, low binary, high binary, tokens long, types long, ones long, twos long"
-
 
-def _block_of(table: pa.Table, order: int) -> Block:
-    # the passes may see a block's rows in another order; questions and answers go by hash
-    table = table.combine_chunks()
-    texts = (t.as_buffer().to_pybytes() for b in table.to_batches() for t in string_column(b, "text"))
-    return Block.of(table.column("doc_id").to_pylist(), texts, order)
-
-
-def _ask(order: int, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = _block_of(table, order)
-        by, cuts = block.by_bucket(buckets)
-        hashes, counts = block.hashes[by], block.counts[by]
-        runs = list(zip(cuts[:-1], cuts[1:], strict=True))
-        packed = [_pack_counts(counts[a:b]) for a, b in runs]
-        number = table.column("block")[0].as_py()
-        return pa.table(
-            {
-                "bucket": pa.array(range(buckets), pa.int32()),
-                "block": pa.array([number] * buckets, pa.int32()),
-                "hashes": pa.array([_pack_hashes(hashes[a:b]) for a, b in runs], pa.binary()),
-                "low": pa.array([x for x, _ in packed], pa.binary()),
-                "high": pa.array([x for _, x in packed], pa.binary()),
-            }
-        )
-
-    return run
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    asked = [_unpack_hashes(x.as_py()) for x in table.column("hashes")]
-    own = [_unpack_counts(a.as_py(), b.as_py()) for a, b in zip(table.column("low"), table.column("high"), strict=True)]
-    hashes, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    sums = np.bincount(inverse, np.concatenate(own), len(hashes)).astype(np.int64)
-    of_words = sums[(hashes & np.uint64(1)).astype(bool)]
-    totals = {
-        "tokens": of_words.sum(),
-        "types": (of_words > 0).sum(),
-        "ones": (of_words == 1).sum(),
-        "twos": (of_words == 2).sum(),
-    }
-    ends = np.cumsum([len(x) for x in asked])
-    packed = [_pack_counts(sums[x]) for x in np.split(inverse, ends[:-1])]
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "bucket": table.column("bucket"),
-            "low": pa.array([x for x, _ in packed], pa.binary()),
-            "high": pa.array([x for _, x in packed], pa.binary()),
-            **{k: pa.array([int(v)] * len(packed), pa.int64()) for k, v in totals.items()},
-        }
-    )
+def _block_of(row: dict, order: int, bits: int) -> Block:
+    ends, data = np.frombuffer(row["ends"], np.int64).tolist(), zstandard.ZstdDecompressor().decompress(row["data"])
+    return Block.of(row["ids"], (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), order, bits)
 
 
 class Automaton:
@@ -208,9 +124,10 @@ class Automaton:
                 lower = p[block.last[1]]
                 suffix.append(block.last[1])
             else:
-                index = {key: i for i, key in enumerate(zip(block.before[k - 1].tolist(), block.last[k - 1].tolist(), strict=True))}
-                lookup = zip(suffix[k - 1][block.before[k]].tolist(), block.last[k].tolist(), strict=True)
-                suffix.append(np.fromiter((index[x] for x in lookup), np.int64, len(block.last[k])))
+                # n-grams of a level are in order of the one before and the last word
+                words_ = len(block.last[0])
+                known = block.before[k - 1] * words_ + block.last[k - 1]
+                suffix.append(np.searchsorted(known, suffix[k - 1][block.before[k]] * words_ + block.last[k]))
                 lower = p[suffix[k]]
             p = (levels[k] + mu * lower) / (context + mu)
             weights = np.log10(p)
@@ -242,16 +159,13 @@ SCORE_SCHEMA = (
 )
 
 
-def _score(order: int, mu: float):
+def _score(order: int, mu: float, bits: int):
     def run(answers: pa.Table, table: pa.Table) -> pa.Table:
-        block = _block_of(table, order)
-        answers = answers.sort_by("bucket")
-        by, _ = block.by_bucket(answers.num_rows)
+        row = table.to_pylist()[0]
+        block = Block.of(row["ids"], texts_of(row), order, bits)
+        by = np.argsort(block.hashes)
         counts = np.empty(len(by), np.int64)
-        counts[by] = np.concatenate(
-            [_unpack_counts(a.as_py(), b.as_py()) for a, b in zip(answers.column("low"), answers.column("high"), strict=True)]
-        )
-        totals = [sum(answers.column(k).to_pylist()) for k in ("tokens", "types", "ones", "twos")]
+        counts[by], totals = counts_of(answers)
         model = Automaton(block, counts, *totals, mu)
         tokens, types = totals[:2]
         c = counts[: len(block.last[0])][block.grams[0]]
@@ -276,7 +190,7 @@ def _score(order: int, mu: float):
     return run
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int = BLOCK_BYTES, fan: int | None = None) -> DataFrame:
     """Score every whole text by the model of the texts that are not held out; see SCORE_SCHEMA.
 
     Tokens are the words, A-Z lower-cased, then one end. base_score is the add-one unigram
@@ -286,9 +200,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU, block_b
     nothing to learn from: all tokens are unknown.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = docs.groupBy("block").applyInArrow(_ask(order, blocks), ASK_SCHEMA)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, ANSWER_SCHEMA)
-    return answers.groupBy("block").cogroup(docs.groupBy("block")).applyInArrow(_score(order, mu), SCORE_SCHEMA)
+    blocks, net = blocks_of(docs, block_bytes, order)
+    net = net if fan is None else Network.of(net.ranges, net.bits, fan)
+
+    def distinct(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        block = Block.of(row["ids"], texts_of(row), order, net.bits)
+        by = np.argsort(block.hashes)
+        return block.hashes[by], block.counts[by]
+
+    answers = counted(blocks, distinct, net)
+    return answers.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_score(order, mu, net.bits), SCORE_SCHEMA)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from recollect.llm import decontam, fingerprint, licenses, lm, mixing, quality, secrets, similar, simhash
+from recollect.llm import _ranges, decontam, fingerprint, licenses, lm, mixing, quality, secrets, similar, simhash
 from tests.llm import planted, tricky
 
 BLANK = "\x20\x09-\x0d"
@@ -39,27 +39,48 @@ def in_train(doc_id):
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2
 
 
-def test_lm_is_the_smoothed_model(docs):
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 100_000}, {"block_bytes": 20_000, "fan": 3}])
+def test_lm_is_the_smoothed_model(docs, how):
     tokens = [(r[0], [*words(r[1]), ""]) for r in tricky.ROWS]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, t in tokens:
         if in_train(i):
             one.update(t)
             two.update(zip(t, t[1:], strict=False))
+            three.update(zip(t, t[1:], t[2:], strict=False))
     n, v = sum(one.values()), len(one)
     n1, n2 = (sum(c == k for c in one.values()) for k in (1, 2))
     d, mu = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, lm.MU
     p1 = lambda w: (one[w] - d) / n if one[w] else d * v / n
     p2 = lambda h, w: (two[h, w] + mu * p1(w)) / (one[h] + mu) if h is not None and one[h] else p1(w)
+    p3 = lambda g, h, w: (three[g, h, w] + mu * p2(h, w)) / (two[g, h] + mu) if g is not None and two[g, h] else p2(h, w)
     want = [
         (i, not in_train(i), len(t), sum(one[w] > 0 for w in t), n, round(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), 4),
-         round(sum(math.log10(p2(h, w)) for h, w in zip([None, *t], t, strict=False)), 4))
+         round(sum(math.log10(p3(g, h, w)) for g, h, w in zip([None, None, *t], [None, *t], t, strict=False)), 4))
         for i, t in tokens
     ]
-    got = lm.score_documents(docs, block_bytes=100_000)
+    got = lm.score_documents(docs, **how)
     same([(*r[:5], round(r[5], 4), round(r[6], 4)) for r in rows(got)], want)
 
 
+def test_lm_questions_grow_with_the_corpus():
+    """Rows of a block at each level: FAN at most, however many ranges there are."""
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    for ranges, levels in ((1, 1), (100, 1), (256, 1), (257, 2), (60_000, 2), (10_000_000, 3)):
+        net = _ranges.Network.of(ranges, 48)
+        assert net.levels == levels and net.fan <= _ranges.FAN and net.fan**levels >= ranges
+        rows_, parts = net.asked("7", 0, 0, 0, hashes, np.ones(len(hashes), np.int64)), []
+        assert len(rows_) == net.fan
+        for node, _, _, data, *_ in rows_:
+            level, group, place = map(int, node.split("."))
+            assert level == 1 and group == 0
+            own = _ranges._unpack_hashes(data)
+            assert all(int(x) * net.fan >> 48 == place for x in own)
+            parts.append(own)
+        assert (np.concatenate(parts) == hashes).all()
+
+
 def test_lm_trigrams_sum_to_one():
     texts = [b"a b a c a b d", b"a b a b", b"c a b d d"]
     block = lm.Block.of([None] * 3, iter(texts), 3)
