@@ -32,7 +32,7 @@ from recollect.session import written
 
 #: Rows that a block or a node sends at each level.
 FAN = 256
-SPARE_BITS, LEAST_BITS = 14, 48
+SPARE_BITS, LEAST_BITS = 12, 44
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

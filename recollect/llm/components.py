@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from recollect.session import written
 
+#: Parts that the rows of a group or of equal fingerprints are dealt to.
+SALTS = 16
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Tie each node's larger (or, small star, its smaller) neighbours to its least neighbour."""
@@ -40,3 +43,26 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def _salted(large: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """A join on ``key``, of which ``large`` may have one value in very many rows: they are dealt out by ``by``."""
+    large = large.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return large.join(small, [key, "_salt"], how).drop("_salt")
+
+
+def named_groups(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (doc_id, fp) with component_id, the least doc_id of those that have the same fp or one that ``edges`` (u, v) connect with it.
+
+    Null doc_ids name a group only if it has nothing else. Of the distinct fingerprints only
+    those of several rows or with edges are joined, each side of a hot key dealt to SALTS parts.
+    """
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    found = components(edges).select(F.col("node").alias("fp"), "component")
+    fps = written(fps.join(found, "fp", "left").where("n > 1 OR component IS NOT NULL").select("fp", "first", "component"), "groups")
+    least = fps.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("component_id"))
+    tied = _salted(fps.where("component IS NOT NULL"), least, "component", "fp").select("fp", "component_id")
+    named = tied.unionByName(fps.where("component IS NULL").select("fp", F.col("first").alias("component_id"))).withColumn("_named", F.lit(True))
+    joined = _salted(rows, named, "fp", "doc_id", "left")
+    return joined.select("doc_id", "fp", F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -14,6 +14,7 @@ training texts (see ``_ranges``).
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,7 +32,7 @@ ORDER, MU = 3, 50.0
 #: Rows whose crc32(doc_id as text) has this remainder are held out of the counts.
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 5_000_000
 
 _END = b""  # no word is empty
 
@@ -103,7 +104,7 @@ class Automaton:
     """The backoff automaton of a block, from the corpus counts of its n-grams.
 
     ``arcs[k]`` has for each (k+1)-gram the log10 weight of the arc that reads its last
-    word in the state of its first k words, None if the n-gram was never seen; the state
+    word in the state of its first k words, NaN if the n-gram was never seen; the state
     reached is the n-gram itself (its own longest seen suffix at full order). ``fail[k]``
     has for each (k+1)-gram the weight of its state's failure arc.
     """
@@ -115,7 +116,7 @@ class Automaton:
         unknown = discount * types / tokens if tokens else 1.0
         known = (levels[0] - discount) / max(tokens, 1)
         p = np.where(levels[0] > 0, known, unknown)  # of the word in the state of the empty history
-        self.arcs, self.fail = [np.log10(p).tolist()], []
+        self.arcs, self.fail = [np.log10(p)], []
         suffix = [np.zeros(len(levels[0]), np.int64)]
         for k in range(1, len(levels)):
             context = levels[k - 1][block.before[k]]
@@ -130,26 +131,30 @@ class Automaton:
                 suffix.append(np.searchsorted(known, suffix[k - 1][block.before[k]] * words_ + block.last[k]))
                 lower = p[suffix[k]]
             p = (levels[k] + mu * lower) / (context + mu)
-            weights = np.log10(p)
-            self.arcs.append([w if c else None for w, c in zip(weights.tolist(), (levels[k] > 0).tolist(), strict=True)])
-            self.fail.append(np.log10(mu / (levels[k - 1] + mu)).tolist())
-        self.seen = [(x > 0).tolist() for x in levels[:-1]]
+            self.arcs.append(np.where(levels[k] > 0, np.log10(p), np.nan))
+            self.fail.append(np.log10(mu / (levels[k - 1] + mu)))
+        self.seen = [x > 0 for x in levels[:-1]]
 
-    def score(self, grams: list[list[int]]) -> float:
+    def score(self, grams: list[np.ndarray]) -> float:
         """log10 probability of one text, given the numbers of the n-grams that end at each token.
 
         The state is the longest history that is one, at most order - 1 words; it is carried
         as its length, as its number is that of the n-gram ending at the token before.
         """
-        arcs, fail, seen, total, length = self.arcs, self.fail, self.seen, 0.0, 0
-        most = len(seen)
+        # weights by place in the text; where it is too short for an n-gram none is looked up
+        at_places = lambda x, g: x[g].tolist() if len(x) else [math.nan] * len(g)
+        arcs, fail, seen = ([at_places(x, g) for x, g in zip(of, grams, strict=False)] for of in (self.arcs, self.fail, self.seen))
+        total, length, most = 0.0, 0, len(seen)
         for at in range(len(grams[0])):
-            while length and (weight := arcs[length][grams[length][at]]) is None:
+            weight = arcs[length][at]
+            while weight != weight:  # NaN: no such arc
                 length -= 1
-                total += fail[length][grams[length][at - 1]]
-            total += weight if length else arcs[0][grams[0][at]]
-            length = min(length + 1, most)
-            while length and not seen[length - 1][grams[length - 1][at]]:
+                total += fail[length][at - 1]
+                weight = arcs[length][at]
+            total += weight
+            if length < most:
+                length += 1
+            while length and not seen[length - 1][at]:
                 length -= 1
         return total
 
@@ -173,7 +178,7 @@ def _score(order: int, mu: float, bits: int):
         base = np.add.reduceat(np.log10((c + 1) / (tokens + types + 1)), starts)
         known = np.add.reduceat((c > 0).astype(np.int64), starts)
         scores = [
-            model.score([g[a:b].tolist() for g in block.grams]) for a, b in zip(starts.tolist(), block.ends.tolist(), strict=True)
+            model.score([g[a:b] for g in block.grams]) for a, b in zip(starts.tolist(), block.ends.tolist(), strict=True)
         ]
         return pa.table(
             {

@@ -147,8 +147,8 @@ def test_simhash_keeps_one(docs):
     assert len(texts) == len(set(texts)) and {1, 3, 4, 9, 10, 20, 40} <= {i for i, _ in texts} and 2 not in {i for i, _ in texts}
 
 
-@pytest.mark.parametrize("bucket", [8, 2])
-def test_similar_links_are_exact(spark, bucket):
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 4_000, "cell_bytes": 2_000}])
+def test_similar_links_are_exact(spark, how):
     rng = np.random.default_rng(11)
     made = [(i, r[1]) for i, r in enumerate(tricky.ROWS) if r[0] != 9]
     for seed in range(12):  # one word changed in 50 and in 49 is similarity 41/51 and 40/50, in 48 39/49
@@ -175,7 +175,7 @@ def test_similar_links_are_exact(spark, bucket):
     least = {g: min(i for (i, _), h in zip(made, group, strict=True) if h == g) for g in group}
     assert least[group[[i for i, _ in made].index(141)]] == 140 and least[group[[i for i, _ in made].index(101)]] != 101 - 1
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
-    got = similar.near_duplicates(df, cell_rows=300, bucket=bucket)
+    got = similar.near_duplicates(df, **how)
     same([(r.doc_id, r.component_id) for r in got.collect()], [(i, least[g]) for (i, _), g in zip(made, group, strict=True)])
 
 
