@@ -1,21 +1,25 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints have 64 bits in three blocks. Two that differ in four bits at most differ in
-one bit at most within some block. A block's anchors are the words of a covering code: a
-perfect Hamming code over its first 15 bits times all values of its other bits, so every
-value lies within radius 1 of an anchor. A fingerprint probes at its own anchor and is
-replicated to every anchor within radius 1 + 1: whatever is linked to it probes at one of
+Fingerprints have 64 bits in a few blocks. Two that differ in t bits at most differ in
+t / blocks at most within some block. A block's anchors are the words of a covering code: a
+perfect Hamming code over its first bits times all values of its other bits, so every value
+lies within radius 1 of an anchor. A fingerprint probes at its own anchor and is replicated
+to every anchor within radius 1 + t / blocks: whatever is linked to it probes at one of
 those. Fingerprints are compared per anchor only, in full, so no link is lost or invented.
+Three blocks make few replicas; far more fingerprints take two blocks, with more replicas
+but so many more anchors that less is compared (see CODES).
 
 Equal fingerprints are one, whatever their number of documents. A task sends what it knows
-of an anchor cell as one packed row; an anchor with very many probes is split, its probes
-among salted cells and its replicas to each of them. A cell gives out a spanning star per
-connected group instead of pairs.
+of an anchor cell as one packed row. An anchor with very many probes becomes a grid: its
+probes are dealt to rows, its replicas to columns, and each meets in the cells of its own.
+A cell gives out a spanning star per connected group instead of pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -25,16 +29,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm._text import LOWER_AZ, fresh, string_column
-from recollect.llm.components import components
+from recollect.llm.components import components, named_groups  # noqa: F401
 from recollect.session import written
 
 THRESHOLD, SHINGLE, SEED = 4, 4, 42
-#: Bits of the blocks; the code's length, dimension 11, radius 1.
-BLOCKS, HAMMING, RADIUS = (21, 21, 22), 15, 1
+RADIUS = 1
 #: Shingles turned to bits at a time; pairs compared at a time.
 SHINGLES_AT_ONCE, PAIRS_AT_ONCE = 65_536, 2_000_000
-#: Replicas in an anchor cell; probes of one anchor beyond which it is salted.
-CELL_ROWS, HOT_PROBES = 400_000, 20_000
+#: Replicas in an anchor cell; probes of one anchor beyond which it is a grid; most anchors that are.
+CELL_ROWS, HOT_PROBES, MOST_HOT = 400_000, 20_000, 50_000
+
+
+@dataclass(frozen=True)
+class Code:
+    """The bits of each block, and how many of its first bits the Hamming code is over (15 or 31)."""
+
+    blocks: tuple[int, ...]
+    length: int
+
+    def replicas(self, threshold: int) -> int:
+        """Of each fingerprint, on average and rounded up."""
+        return 1 + sum(sum(map(len, masks)) // (self.length + 1) for masks in map(self.masks(threshold), self.blocks))
+
+    def masks(self, threshold: int):
+        return lambda bits: _masks(bits, RADIUS + threshold // len(self.blocks), self.length)
+
+
+#: From so many distinct fingerprints on: 45 replicas at 2^19 anchors, 350 at 2^28.
+CODES = ((0, Code((21, 21, 22), 15)), (300_000_000, Code((32, 32), 31)))
+
+
+def code_for(n: int) -> Code:
+    """The code for n distinct fingerprints."""
+    return [code for least, code in CODES if n >= least][-1]
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
@@ -77,37 +104,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _masks(bits: int, radius: int) -> list[np.ndarray]:
+@cache
+def _masks(bits: int, radius: int, length: int) -> list[np.ndarray]:
     """By syndrome: the error patterns of weight up to ``radius`` that lead from a block value to an anchor."""
-    out: list[list[int]] = [[] for _ in range(HAMMING + 1)]
+    out: list[list[int]] = [[] for _ in range(length + 1)]
     for weight in range(radius + 1):
         for places in combinations(range(bits), weight):
             syndrome = 0
             for p in places:
-                syndrome ^= p + 1 if p < HAMMING else 0
+                syndrome ^= p + 1 if p < length else 0
             out[syndrome].append(sum(1 << p for p in places))
     return [np.array(x, np.uint64) for x in out]
 
 
-def _syndromes() -> np.ndarray:
-    out = np.zeros(1 << HAMMING, np.uint8)
-    for p in range(HAMMING):
-        out[1 << p : 2 << p] = out[: 1 << p] ^ (p + 1)
+def _syndromes(values: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(values), np.int64)
+    for r in range(length.bit_length()):
+        checked = sum(1 << p for p in range(length) if (p + 1) >> r & 1)
+        out |= (np.bitwise_count(values & np.uint64(checked)).astype(np.int64) & 1) << r
     return out
 
 
-def anchors(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, threshold: int = THRESHOLD, code: Code = CODES[0][1]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor keys, index of the fingerprint, whether it is its own anchor) for unsigned fingerprints.
 
     Own anchors are the nearest ones: an index has one in each block.
     """
-    table, keys, index, own = _syndromes(), [], [], []
+    keys, index, own = [], [], []
     shift = 0
-    for block, bits in enumerate(BLOCKS):
+    for block, bits in enumerate(code.blocks):
         value = (fps >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
         shift += bits
-        syndrome = table[value & np.uint64((1 << HAMMING) - 1)]
-        for s, masks in enumerate(_masks(bits, RADIUS + threshold // len(BLOCKS))):
+        syndrome = _syndromes(value, code.length)
+        for s, masks in enumerate(code.masks(threshold)(bits)):
             rows = np.flatnonzero(syndrome == s)
             nearest = np.uint64(0 if s == 0 else 1 << (s - 1))
             keys.append(((value[rows][:, None] ^ masks) | np.uint64(block << 32)).ravel())
@@ -116,11 +145,23 @@ def anchors(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np
     return np.concatenate(keys), np.concatenate(index), np.concatenate(own)
 
 
-def _own_anchors(threshold: int):
+def own_anchors(fps: np.ndarray, code: Code) -> np.ndarray:
+    """The nearest anchors alone, one in each block."""
+    keys, shift = [], 0
+    for block, bits in enumerate(code.blocks):
+        value = (fps >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        shift += bits
+        syndrome = _syndromes(value, code.length)
+        flip = np.where(syndrome == 0, 0, 1 << np.maximum(syndrome - 1, 0)).astype(np.uint64)
+        keys.append((value ^ flip) | np.uint64(block << 32))
+    return np.concatenate(keys)
+
+
+def _own_anchors(code: Code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, _, own = anchors(batch.column("fp").to_numpy().view(np.uint64), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[own].view(np.int64))], ["anchor"])
+            keys = own_anchors(batch.column("fp").to_numpy().view(np.uint64), code)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["anchor"])
 
     return run
 
@@ -131,34 +172,53 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _replicas(cells: int, hot: dict[int, int], threshold: int):
+#: Replicas that are made at a time.
+REPLICAS_AT_ONCE = 500_000
+
+
+def _in_grids(keys: np.ndarray, of: np.ndarray, own: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(keys, fingerprints, whether they probe, cell of the grid) of rows whose anchors are grids of ``sides`` squared."""
+    mixed = _mix64(of)
+    row = (mixed % sides.astype(np.uint64)).astype(np.int64)
+    column = ((mixed >> np.uint64(32)) % sides.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(keys)), sides)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(sides) - sides, sides)
+    # a replica goes to all cells of its column, in its own row as the probe too, a probe to all of its row
+    down = nth * sides[at] + column[at], own[at] & (nth == row[at])
+    along = row[at] * sides[at] + nth, own[at]
+    more = own[at] & (nth != column[at])
+    at, cell, probes = np.concatenate([at, at[more]]), np.concatenate([down[0], along[0][more]]), np.concatenate([down[1], along[1][more]])
+    return keys[at], of[at], probes, cell
+
+
+def _replicas(cells: int, hot: dict[int, int], threshold: int, code: Code):
     """Rows (cell, keys, fps, own) of packed arrays, one for each cell that a batch reaches."""
     hot_keys = np.array(sorted(hot), np.uint64)
-    hot_salts = np.array([hot[int(k)] for k in hot_keys], np.uint64)
+    hot_sides = np.array([hot[int(k)] for k in hot_keys], np.int64)
+
+    def packed(fps: np.ndarray) -> pa.RecordBatch:
+        keys, index, own = anchors(fps, threshold, code)
+        of, salt = fps[index], np.zeros(len(keys), np.uint64)
+        if len(hot_keys):
+            at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
+            is_hot = hot_keys[at] == keys
+            *grid, place = _in_grids(keys[is_hot], of[is_hot], own[is_hot], hot_sides[at[is_hot]])
+            keys, of, own = (np.concatenate([x[~is_hot], y]) for x, y in zip((keys, of, own), grid, strict=True))
+            salt = np.concatenate([salt[~is_hot], place.astype(np.uint64)])
+        cell = (_mix64(keys + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(cells)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell, keys, of, own, salt = cell[order], keys[order], of[order], own[order], salt[order]
+        cuts = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+        keyed = keys | (salt << np.uint64(36))
+        parts = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (keyed, of, own)]
+        return pa.RecordBatch.from_arrays([pa.array(cell[cuts[:-1]]), *(pa.array(p, pa.binary()) for p in parts)], ["cell", "keys", "fps", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, REPLICAS_AT_ONCE // code.replicas(threshold))
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
-            keys, index, own = anchors(fps, threshold)
-            of = fps[index]
-            salt = np.zeros(len(keys), np.uint64)
-            if len(hot_keys):
-                at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
-                is_hot = hot_keys[at] == keys
-                copies = np.where(is_hot, hot_salts[at], 1).astype(np.int64)
-                first = np.cumsum(copies) - copies
-                nth = np.arange(copies.sum()) - np.repeat(first, copies)
-                home = np.where(is_hot, _mix64(of) % hot_salts[at], 0).astype(np.int64)
-                keys, of, own = np.repeat(keys, copies), np.repeat(of, copies), np.repeat(own, copies) & (np.repeat(home, copies) == nth)
-                salt = nth.astype(np.uint64)
-            cell = (_mix64(keys + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(cells)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            cell, keys, of, own, salt = cell[order], keys[order], of[order], own[order], salt[order]
-            cuts = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
-            names = ["cell", "keys", "fps", "own"]
-            keyed = keys | (salt << np.uint64(36))
-            parts = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (keyed, of, own)]
-            yield pa.RecordBatch.from_arrays([pa.array(cell[cuts[:-1]]), *(pa.array(p, pa.binary()) for p in parts)], names)
+            for i in range(0, len(fps), step):
+                yield packed(fps[i : i + step])
 
     return run
 
@@ -213,14 +273,19 @@ def _compare_cell(threshold: int):
     return run
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD, cell_rows: int = CELL_ROWS, hot_probes: int = HOT_PROBES) -> DataFrame:
-    """Edges (u, v) whose components are those of the link graph over the distinct values of fp."""
+def links(fps: DataFrame, threshold: int = THRESHOLD, cell_rows: int = CELL_ROWS, hot_probes: int = HOT_PROBES, code: Code | None = None) -> DataFrame:
+    """Edges (u, v) whose components are those of the link graph over the distinct values of fp.
+
+    The anchors that are grids are known to all tasks. They are MOST_HOT at most, as no more
+    anchors can have more than a MOST_HOT-th of all probes.
+    """
     n = fps.count()
-    own = fps.select("fp").mapInArrow(_own_anchors(threshold), "anchor long").groupBy("anchor").count()
-    # at most three probes a fingerprint, so there are 3 n / hot_probes such anchors at most
+    code = code or code_for(n)
+    hot_probes = max(hot_probes, len(code.blocks) * n // MOST_HOT)
+    own = fps.select("fp").mapInArrow(_own_anchors(code), "anchor long").groupBy("anchor").count()
     hot = {r["anchor"]: -(-r["count"] // hot_probes) for r in own.where(F.col("count") > hot_probes).collect()}
-    cells = max(1, -(-45 * n // cell_rows))
-    packed = fps.select("fp").mapInArrow(_replicas(cells, hot, threshold), "cell long, keys binary, fps binary, own binary")
+    cells = max(1, -(-code.replicas(threshold) * n // cell_rows))
+    packed = fps.select("fp").mapInArrow(_replicas(cells, hot, threshold, code), "cell long, keys binary, fps binary, own binary")
     return packed.groupBy("cell").applyInArrow(_compare_cell(threshold), "u long, v long")
 
 
@@ -233,13 +298,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Repeated rows keep a row each. Other columns are not read. No documents: no rows.
     """
     docs_fp = written(fingerprints(docs), "simhash")
-    fps = written(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    edges = written(links(fps, threshold), "simhash-links")
-    found = components(edges).select(F.col("node").alias("fp"), "component")
-    grouped = fps.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "component").select("fp", "component_id")
-    return docs_fp.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps = written(docs_fp.select("fp").distinct(), "simhash-distinct")
+    return named_groups(docs_fp, written(links(fps, threshold), "simhash-links"))
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, found: DataFrame | None = None) -> DataFrame:
