@@ -2,8 +2,11 @@
 
 A paragraph (a line) is hashed to a wide vector and a document's fingerprint is the sum of
 its paragraphs' vectors: STRONG lanes of a cryptographic hash modulo 2^64, which tell
-multisets of paragraphs apart, and LANES signed lanes modulo 2^32 that count the
-paragraph's byte windows (a linear count sketch), which tell how alike two documents are.
+multisets of paragraphs apart, and lanes modulo 2^16 that count the paragraph's byte
+windows, which tell how alike two documents are. Those lanes are WIDTH at each of LEVELS
+levels; a level has a quarter of the windows of the one before, by their hashes. Documents
+are compared at the finest level that is not crowded, by which lanes are not zero, so a
+line that occurs a hundred times counts like one that occurs once, whatever is long.
 The order of paragraphs doesn't matter, and paragraphs are inserted and deleted by adding
 and subtracting their vectors, without the rest of the text.
 """
@@ -21,9 +24,14 @@ from pyspark.sql import functions as F
 
 from recollect.llm._text import slices, string_column
 
-STRONG, LANES, WINDOW = 8, 128, 8
-#: Bytes of text hashed at a time.
-SLICE_BYTES = 1_000_000
+STRONG, LEVELS, WIDTH = 8, 10, 128
+LANES = LEVELS * WIDTH
+#: Bytes of a window; those of lines under SHORT bytes, which have few others.
+WINDOW, SHORT_WINDOW, SHORT = 8, 3, 40
+#: Share of the lanes of a level up to which distinct windows, and occurrences, are read from it.
+CROWDED, SPARSE = 0.8, 0.3
+#: Bytes of text hashed at a time, a document taken for DOC_BYTES at least; bytes of a range of documents.
+SLICE_BYTES, DOC_BYTES, CELL_BYTES = 1_000_000, 1_000, 128_000_000
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -35,7 +43,7 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Fingerprints:
-    """Fingerprints of several documents: ``strong`` uint64 (n, STRONG), ``lanes`` uint32 (n, LANES)."""
+    """Fingerprints of several documents: ``strong`` uint64 (n, STRONG), ``lanes`` uint16 (n, LANES)."""
 
     def __init__(self, strong: np.ndarray, lanes: np.ndarray):
         self.strong, self.lanes = strong, lanes
@@ -53,36 +61,67 @@ class Fingerprints:
         return Fingerprints(np.concatenate([self.strong, other.strong]), np.concatenate([self.lanes, other.lanes]))
 
     def hex(self) -> list[str]:
-        both = np.concatenate([self.strong.astype(">u8").view(np.uint8), self.lanes.astype(">u4").view(np.uint8)], axis=1)
+        both = np.concatenate([self.strong.astype(">u8").view(np.uint8), self.lanes.astype(">u2").view(np.uint8)], axis=1)
         text, width = both.tobytes().hex(), 2 * both.shape[1]
         return [text[i : i + width] for i in range(0, len(text), width)]
 
     def likeness(self, other: Fingerprints) -> np.ndarray:
-        """Cosine of the counted windows as the sketches show it, 0 at least; 1 for equal fingerprints."""
-        a, b = (x.lanes.view(np.int32).astype(np.float64) for x in (self, other))
-        size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-        cosine = np.divide((a * b).sum(axis=1), size, out=np.zeros(len(a)), where=size > 0)
+        """Twice the windows that both have by the sum of each one's, as the lanes show it; 1 for equal fingerprints.
+
+        Of distinct windows or of all occurrences, whichever is more: a line that is repeated
+        outweighs the rest in one, and what is said once outweighs a page of one word in the other.
+        """
+        a, b = (x.lanes.reshape(-1, LEVELS, WIDTH) for x in (self, other))
+        row, all_ = np.arange(len(a)), ((a | b) > 0).sum(axis=2)
+        fine = all_ <= CROWDED * WIDTH
+        level = np.where(fine.any(axis=1), fine.argmax(axis=1), LEVELS - 1)
+        # so many distinct windows leave so many lanes at zero
+        counts = ((a[row, level] > 0).sum(axis=1), (b[row, level] > 0).sum(axis=1), all_[row, level])
+        own, its, both = (-np.log1p(-np.minimum(x, WIDTH - 0.5) / WIDTH) for x in counts)
+        distinct = np.divide(2 * (own + its - both), own + its, out=np.zeros(len(own)), where=own + its > 0)
+        # occurrences where few lanes have several windows
+        fine = all_ <= SPARSE * WIDTH
+        level = np.where(fine.any(axis=1), fine.argmax(axis=1), LEVELS - 1)
+        own, its = (x[row, level].astype(np.int64) for x in (a, b))
+        sums = own.sum(axis=1) + its.sum(axis=1)
+        occurring = np.divide(2 * np.minimum(own, its).sum(axis=1), sums, out=np.zeros(len(own)), where=sums > 0)
         equal = (self.strong == other.strong).all(axis=1) & (self.lanes == other.lanes).all(axis=1)
-        return np.where(equal, 1.0, np.clip(cosine, 0.0, 1.0))
-
-
-def _lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, short: np.ndarray, n: int) -> np.ndarray:
-    """Signed counts (n, LANES) of the windows of the paragraphs [starts, ends); a shorter one counts its hash ``short``."""
-    count = np.maximum(ends - starts - WINDOW + 1, 0)
-    at = np.arange(count.sum()) + np.repeat(starts - (np.cumsum(count) - count), count)
-    windows = np.ndarray((max(len(data) - WINDOW + 1, 0),), "<u8", data, strides=(1,))
-    small = np.flatnonzero(count == 0)
-    hashes = _mix64(np.concatenate([windows[at], short[small]]))
-    cell = np.concatenate([np.repeat(owner, count), owner[small]]) * LANES + (hashes >> np.uint64(57)).astype(np.int64)
-    sign = 1.0 - 2.0 * ((hashes >> np.uint64(56)) & np.uint64(1)).astype(np.float64)
-    return np.bincount(cell, sign, n * LANES).reshape(n, LANES)
+        return np.where(equal, 1.0, np.clip(np.maximum(distinct, occurring), 0.0, 1.0))
+
+
+def _counted(lanes: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> None:
+    """Add windows to the lanes (n, LANES) of their documents, at each level that they are on."""
+    n = len(lanes)
+    for level in range(LEVELS):
+        cell = owner * LANES + level * WIDTH + (hashes >> np.uint64(57)).astype(np.int64)
+        lanes += np.bincount(cell, minlength=n * LANES).reshape(n, LANES)
+        on = (hashes >> np.uint64(2 * level)) & np.uint64(3) == 0
+        hashes, owner = hashes[on], owner[on]
+        if not len(hashes):
+            return
+
+
+def _windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, owners) of the windows of ``size`` bytes in the lines [starts, ends), about SLICE_BYTES at a time."""
+    # a longer line is cut into pieces that overlap by a window less one
+    pieces = np.maximum(-(-(ends - starts - size + 1) // SLICE_BYTES), 1)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts, whole, owner = np.repeat(starts, pieces) + nth * SLICE_BYTES, np.repeat(ends, pieces), np.repeat(owner, pieces)
+    count = np.maximum(np.minimum(whole - starts - size + 1, SLICE_BYTES), 0)
+    for lo, hi in slices(np.concatenate([[0], np.cumsum(count)]), SLICE_BYTES):
+        of = np.repeat(np.arange(lo, hi), count[lo:hi])
+        at = np.arange(len(of)) - np.repeat(np.cumsum(count[lo:hi]) - count[lo:hi], count[lo:hi]) + starts[of]
+        value = np.full(len(at), size, np.uint64)
+        for i in range(size):
+            value = (value << np.uint64(8)) ^ data[at + i]
+        yield _mix64(value), owner[of]
 
 
 def fingerprints(texts: list[bytes]) -> Fingerprints:
     """The fingerprint of each UTF-8 text, the sum over its lines."""
     n = len(texts)
-    strong, lanes = np.zeros((n, STRONG), np.uint64), np.zeros((n, LANES), np.int64)
-    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    strong, lanes = np.zeros((n, STRONG), np.uint64), np.zeros((n, LANES), np.uint16)
+    offsets = np.concatenate([[0], np.cumsum([len(t) + DOC_BYTES for t in texts])]).astype(np.int64)
     for first, last in slices(offsets, SLICE_BYTES):
         lines, owner = [], []
         for i in range(first, last):
@@ -97,23 +136,14 @@ def fingerprints(texts: list[bytes]) -> Fingerprints:
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
         of = np.repeat(np.arange(last - first), counts)
-        if len(data) <= 4 * SLICE_BYTES:
-            lanes[first:last] = _lanes(data, starts, ends, of, digests[:, 0], last - first)
-            continue
-        # a very long text: its windows by ranges that overlap by a window less one
-        for lo in range(0, len(data), SLICE_BYTES):
-            hi = min(lo + SLICE_BYTES + WINDOW - 1, len(data))
-            inside = np.flatnonzero((ends > lo) & (starts < hi))
-            whole = lengths[inside] >= WINDOW
-            a, b = np.maximum(starts[inside], lo)[whole] - lo, np.minimum(ends[inside], hi)[whole] - lo
-            long_enough = b - a >= WINDOW
-            lanes[first] += _lanes(
-                data[lo:hi], a[long_enough], b[long_enough], np.zeros(long_enough.sum(), np.int64), digests[:0, 0], 1
-            ).astype(np.int64)[0]
-        tiny = np.flatnonzero(lengths < WINDOW)
-        none = np.zeros(len(tiny), np.int64)
-        lanes[first] += _lanes(data[:0], none, none, none, digests[tiny, 0], 1).astype(np.int64)[0]
-    return Fingerprints(strong, lanes.astype(np.uint32))
+        sums = np.zeros((last - first, LANES), np.int64)
+        for size, inside in ((WINDOW, lengths >= WINDOW), (SHORT_WINDOW, (lengths >= SHORT_WINDOW) & (lengths < SHORT))):
+            for hashes, owners in _windows(data, starts[inside], ends[inside], of[inside], size):
+                _counted(sums, hashes, owners)
+        tiny = np.flatnonzero(lengths < SHORT_WINDOW)
+        _counted(sums, _mix64(digests[tiny, 0]), of[tiny])
+        lanes[first:last] = sums.astype(np.uint16)
+    return Fingerprints(strong, lanes)
 
 
 def edited(text: str, after: str) -> str:
@@ -138,10 +168,10 @@ EDIT_SCHEMA = (
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order, by cell; each is compared with the row after it in its cell."""
     names = [x.split()[0] for x in EDIT_SCHEMA.split(", ")]
-    ids, cells, tails, texts, made = [], [], [], [], Fingerprints(np.zeros((0, STRONG), np.uint64), np.zeros((0, LANES), np.uint32))
+    ids, cells, tails, texts, made = [], [], [], [], Fingerprints(np.zeros((0, STRONG), np.uint64), np.zeros((0, LANES), np.uint16))
     for batch in batches:
         column = string_column(batch, "text")
-        size = np.cumsum(np.concatenate([[0], np.asarray(pa.compute.binary_length(column))]))
+        size = np.cumsum(np.concatenate([[0], np.asarray(pa.compute.binary_length(column)) + DOC_BYTES]))
         for lo, hi in slices(size, 4 * SLICE_BYTES):
             new = column.slice(lo, hi - lo).to_pylist()
             ids += batch.column("doc_id").slice(lo, hi - lo).to_pylist()
@@ -190,12 +220,15 @@ def compare_with_next(docs: DataFrame, cells: int | None = None) -> DataFrame:
     documents: no rows.
 
     Documents are dealt by ranges of doc_id, so texts are shuffled once; the first document
-    of each range also goes, as a tail, to the range before. ``cells`` ranges (as many as
-    shuffle partitions by default) bound what the driver sees: one id each.
+    of each range also goes, as a tail, to the range before. ``cells`` ranges, by default one
+    for each CELL_BYTES of text and as many as shuffle partitions at least, bound what the
+    driver sees: one id each. Rows of one doc_id, or of none, are in one range.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if cells is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CELL_BYTES))
     inner = [i / cells for i in range(1, cells)]
     quantiles = inner and docs.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", inner, 0.2 / cells)
     cell = _cell_of(quantiles or [0.0])
