@@ -95,11 +95,6 @@ class Block:
         return block
 
 
-def _block_of(row: dict, order: int, bits: int) -> Block:
-    ends, data = np.frombuffer(row["ends"], np.int64).tolist(), zstandard.ZstdDecompressor().decompress(row["data"])
-    return Block.of(row["ids"], (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), order, bits)
-
-
 class Automaton:
     """The backoff automaton of a block, from the corpus counts of its n-grams.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,4 +169,6 @@ ORACLE_SQL["op10_warc"] = """
 
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # a script beside the package, so not at import
+
     return corpus_pipeline.run(spark, sf_dir)

@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -525,3 +526,55 @@ def test_empty_tables(spark):
         simhash.keep_one(docs), secrets.redact(docs), quality.keep_good(docs, labels), decontam.drop_contaminated(docs, bench),
     ):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "// ", "# ", "-- "])
+def test_each_license_by_its_own_name(mark):
+    """Every notice, wrapped and commented, is found under its own name and no other."""
+    for name, notices in licenses.NOTICES.items():
+        for notice in notices:
+            lines = textwrap.wrap(notice, 72, break_on_hyphens=False)
+            text = "\n".join(["intro éé", "", *(mark + x for x in lines), "", "and so on"]).encode()
+            assert {x[0] for x in licenses.find_in(text)} == {name}, notice
+
+
+def test_license_windows_and_mentions():
+    one = lambda t: [x[:3] for x in licenses.find_in(t.encode())]
+    bsd2, bsd3 = licenses.TEXTS["BSD-2-Clause"][0], licenses.TEXTS["BSD-3-Clause"][0]
+    said = "Released under the MIT License. " + "one plain sentence follows here. " * 400
+    assert one(said) == [("MIT", 0, 31)]
+    long = "é license words " * 3_000
+    assert one(long + bsd3 + " " + long + bsd2) == [
+        ("BSD-3-Clause", len(long), len(long) + len(bsd3)),
+        ("BSD-2-Clause", 2 * len(long) + len(bsd3) + 1, 2 * len(long) + len(bsd3) + 1 + len(bsd2)),
+    ]
+    assert one("The license of the MIT people, and a general public license.") == []
+
+
+@pytest.mark.parametrize("code", [c for _, c in simhash.CODES])
+def test_simhash_codes_cover(code):
+    """Whatever is within the threshold probes at an anchor that the other is replicated to; also in grids."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = np.array([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 4, replace=False))) for b in base], np.uint64)
+    keys, index, own = simhash.anchors(near, 4, code)
+    probes = simhash.own_anchors(base, code).reshape(len(code.blocks), -1)
+    for i in range(len(base)):
+        assert set(probes[:, i].tolist()) & set(keys[index == i].tolist())
+    assert sorted(keys[own].tolist()) == sorted(simhash.own_anchors(near, code).tolist())
+    assert len(keys) <= code.replicas(4) * len(near) * 1.1
+    one = np.full(30, 5, np.uint64)
+    _, of, probe, cell = simhash._in_grids(one, np.arange(30).astype(np.uint64), np.arange(30) % 2 == 0, np.full(30, 3))
+    met = {(int(a), int(b)) for c in range(9) for a in of[(cell == c) & probe] for b in of[cell == c]}
+    assert {(a, b) for a in range(0, 30, 2) for b in range(30)} <= met and np.bincount(cell, minlength=9).max() < 30
+
+
+def test_likeness_of_repeated_and_of_other_texts():
+    one = lambda t: fingerprint.fingerprints([t.encode()])
+    like = lambda a, b: float(one(a).likeness(one(b))[0])
+    said, other = tricky.text(1, 400), tricky.text(2, 400)
+    repeated = "the same footer on each page\n" * 500
+    assert like(said, said) == 1.0 and like("", "") == 1.0 and like(said, "") < 0.1
+    assert like(said + "\n" + repeated, said) > 0.7 and like(said, fingerprint.edited(said, other)) > 0.5
+    assert like("And " * 3_000, fingerprint.edited("And " * 3_000, said * 30)) >= 0.0
+    assert like(said, " ".join(f"{w}x" for w in reversed(other.split()))) < 0.5
