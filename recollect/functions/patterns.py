@@ -182,4 +182,14 @@ DROPPED_BLOCKS = ("script", "style", "nav", "header", "footer", "aside", "form",
 TYPE_PRIORITY = (
     "profile", "preference", "setup", "project", "goal", "pattern", "entity", "learning", "issue", "fact", "event", "request",
 )
+# What session notes look for.
 TECHNOLOGIES = ("python", "node", "rust", "react", "docker", "sqlite", "express")
+NOTED_PLATFORMS = (
+    (r"wsl|ubuntu|linux", "- Working in WSL/Linux environment confirmed"),
+    (r"windows|native|powershell", "- Working in Windows environment"),
+    (r"wsl.*windows|windows.*wsl", "- Cross-platform: WSL + Windows both referenced"),
+)
+NOTED_PROJECT = r"(?:building|working on|creating) (\w[\w\s-]{1,30}?)(?:\.|,|!|$)"
+
+# What makes a pair of similar statements one of preferences.
+PAIR_PREFERENCES = r"prefer|like|love|hate|dislike|favorite|use |using "

@@ -25,18 +25,18 @@ def lookup(values: dict[str, float], key: Column, default: float) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key), F.lit(default))
 
 
-def categorize(text: Column) -> Column:
-    """The memory type a text suggests; fact if none."""
-    low = F.lower(text)
+def categorize(text: Column, low: Column | None = None) -> Column:
+    """The memory type a text suggests; fact if none. ``low`` is the text in lower case, where it is at hand."""
+    low = F.lower(text) if low is None else low
     out = F.lit("fact")
     for kind, pattern in reversed(P.CATEGORY_PATTERNS):
         out = F.when(low.rlike(pattern), kind).otherwise(out)
     return out
 
 
-def importance(text: Column, kind: Column) -> Column:
+def importance(text: Column, kind: Column, low: Column | None = None) -> Column:
     """0.1 to 1 from the type and signals in the text, clamped at each step."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     by = lambda pattern, x: F.when(low.rlike(pattern), x).otherwise(0.0)
     # each step has the one before it once, so the expression stays as long as the rule
     out = lookup(P.TYPE_IMPORTANCE, kind, P.BASE_IMPORTANCE)
@@ -56,9 +56,9 @@ def _object(text: Column, pattern: str, n: int) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(_group(text, pattern, n)), r"[.!?,;]+$", ""), r"\s+", "_")
 
 
-def attribute(text: Column) -> Column:
+def attribute(text: Column, low: Column | None = None) -> Column:
     """What of the user a text is about, '' if nothing; the entity is then 'user'."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     verb = lambda pattern: F.concat(F.regexp_replace(_group(low, pattern, 1), r"\s+", "_"), F.lit("_"), _object(low, pattern, 2))
     said = _group(low, P.IDENTITY, 0)
     identity = F.when(said.rlike("name|called"), "name").when(said.rlike("work|job|employ"), "employer").otherwise("identity")
@@ -290,3 +290,30 @@ def redirect_target(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("uddg=")) & target.startswith("http"), target).otherwise(
         F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
     )
+
+
+def first_array(content: Column) -> Column:
+    """array<string>: the items, as JSON, of the first array in a model's answer that is one and not empty; else null."""
+    found = F.regexp_extract_all(content, F.lit(r"(?s)\[.*?\]"), F.lit(0))
+    return F.get(F.filter(F.transform(found, lambda x: F.from_json(x, "array<string>")), lambda x: F.size(x) > 0), F.lit(0))
+
+
+def extracted_memories(content: Column, most_chars: int = 500) -> Column:
+    """array<struct<text, type>> of a model's answer: items with both, texts trimmed and cut, unknown types as fact."""
+    item = lambda x: F.struct(
+        F.substring(F.trim(F.get_json_object(x, "$.text")), 1, most_chars).alias("text"),
+        F.when(F.get_json_object(x, "$.type").isin(*P.MEMORY_TYPES), F.get_json_object(x, "$.type")).otherwise("fact").alias("type"),
+    )
+    said = lambda x, name: F.coalesce(F.get_json_object(x, f"$.{name}"), F.lit("")) != ""
+    return F.transform(F.filter(first_array(content), lambda x: said(x, "text") & said(x, "type")), item)
+
+
+def researched_facts(content: Column, least_chars: int = 10, most_chars: int = 500) -> Column:
+    """array<struct<text, importance, source_url>> of a model's answer: texts of over ``least_chars``, importance 0.3 to 0.8."""
+    item = lambda x: F.struct(
+        F.substring(F.trim(F.get_json_object(x, "$.text")), 1, most_chars).alias("text"),
+        F.least(F.lit(0.8), F.greatest(F.lit(0.3), F.coalesce(F.nullif(F.get_json_object(x, "$.importance").try_cast("double"), F.lit(0.0)), F.lit(0.5)))).alias("importance"),
+        F.substring(F.coalesce(F.get_json_object(x, "$.sourceUrl"), F.lit("")), 1, most_chars).alias("source_url"),
+    )
+    first = F.from_json(F.regexp_extract(content, r"(?s)\[.*?\]", 0), "array<string>")
+    return F.transform(F.filter(first, lambda x: F.length(F.trim(F.get_json_object(x, "$.text"))) > least_chars), item)

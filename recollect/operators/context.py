@@ -15,8 +15,11 @@ CHARS_PER_TOKEN, LEAST_TOKENS, MOST_TOKENS, TOKENS = 4, 100, 8_000, 2_000
 def within_budget(rows: DataFrame, by: list[str], order: list[Column], line: Column, chars: int, extra: int = 0) -> DataFrame:
     """The rows of each group while their lines, ``extra`` characters added to each, fit ``chars``.
 
-    Lengths are positive, so a running sum below the budget is the same as stopping at the first overflow.
+    Lengths are positive, so a running sum below the budget is the same as stopping at the
+    first overflow, and no more rows than characters can fit: the best of each task are
+    taken before any group meets.
     """
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= chars // (1 + extra)).drop("_n")
     used = F.sum(F.length(line) + extra).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", used).where(F.col("used") <= chars)
 
@@ -60,13 +63,11 @@ def session_notes(turns: DataFrame) -> DataFrame:
     """(session_id, notes): platform, projects and technologies that a session's turns name."""
     said = turns.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "user_message"))), lambda x: x["user_message"]), " ").alias("said"))
     low = F.lower("said")
-    project = F.regexp_extract_all(low, F.lit(r"(?:building|working on|creating) (\w[\w\s-]{1,30}?)(?:\.|,|!|$)"), F.lit(0))
+    project = F.regexp_extract_all(low, F.lit(P.NOTED_PROJECT), F.lit(0))
     lines = F.concat(
         F.array_compact(
             F.array(
-                F.when(low.rlike("wsl|ubuntu|linux"), "- Working in WSL/Linux environment confirmed"),
-                F.when(low.rlike("windows|native|powershell"), "- Working in Windows environment"),
-                F.when(low.rlike("wsl.*windows|windows.*wsl"), "- Cross-platform: WSL + Windows both referenced"),
+                *(F.when(low.rlike(pattern), note) for pattern, note in P.NOTED_PLATFORMS),
             )
         ),
         F.transform(project, lambda p: F.concat(F.lit("- Project: "), p)),
@@ -96,3 +97,73 @@ def merged_search(abstracts: DataFrame, answers: DataFrame, links: DataFrame, mo
     union = union.where(~F.contains("url", F.lit("duckduckgo.com/y.js")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "position"))
     return union.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "title", "url", "rank")
+
+
+def core_lines(blocks: DataFrame, chars: int) -> DataFrame:
+    """(rank, line) of the core blocks (key, value), by key, as many as fit ``chars``; a line takes its length and one.
+
+    The first chars / 2 blocks are enough, so no window sees more.
+    """
+    line = F.concat(F.lit("[core:"), "key", F.lit("] "), "value")
+    first = blocks.orderBy("key").limit(chars // 2).select("key", line.alias("line"))
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key"))
+    used = F.sum(F.length("line") + 1).over(Window.partitionBy(F.lit(0)).orderBy("key"))
+    return first.withColumn("rank", rank).withColumn("used", used).where(F.col("used") <= chars).select("rank", "line")
+
+
+def recalled_for(queries: DataFrame, hits: DataFrame, rows: DataFrame, edges: DataFrame, blocks: DataFrame, chars: int, entities: int = 3, related: int = 3) -> DataFrame:
+    """(query_id, source, rank, line) for each query (query_id): core blocks, search hits (query_id, id, rank), entity rows, graph neighbours.
+
+    Entity rows are the newest ``entities`` of type entity, where a hit has an entity. Graph rows are
+    where the ``related`` strongest edges (from_id, to_id, relation, strength) of the best hit lead.
+    What an earlier source has isn't there again, and lines stop where the budget ends.
+    """
+    core = core_lines(blocks, chars)  # no longer than the budget, so each query may have a copy
+    memory = rows.select("id", "type", "text", "entity", "created_at", "status")
+    found = hits.select("query_id", "id", "rank").join(memory, "id")
+    search = found.select("query_id", F.lit(1).alias("place"), F.lit("search").alias("source"), "rank", "id", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), "type", F.lit(") "), "text").alias("line"))
+    newest = memory.where("status = 'active' AND type = 'entity'").orderBy(F.col("created_at").desc(), "id").limit(entities)
+    newest = newest.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("created_at").desc(), "id")).alias("rank"), F.concat(F.lit("("), "type", F.lit(") "), "text").alias("line"))
+    named = found.where("entity <> ''").select("query_id").distinct()
+    entity = named.join(F.broadcast(newest)).select("query_id", F.lit(2).alias("place"), F.lit("entity").alias("source"), "rank", "id", "line")
+    best = found.where("rank = 1").select("query_id", F.col("id").alias("from_id"))
+    strong = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("strength").desc(), "to_id", "relation"))
+    led = best.join(edges.select("from_id", "to_id", "relation", "strength"), "from_id").withColumn("rank", strong).where(F.col("rank") <= related)
+    graph = led.join(memory.withColumnRenamed("id", "to_id"), "to_id").select(
+        "query_id", F.lit(3).alias("place"), F.lit("graph").alias("source"), "rank", F.col("to_id").alias("id"), F.concat(F.lit("("), "relation", F.lit("→"), "type", F.lit(") "), "text").alias("line")
+    )
+    own = queries.select("query_id").join(F.broadcast(core)).select("query_id", F.lit(0).alias("place"), F.lit("core").alias("source"), "rank", (-F.col("rank")).cast("long").alias("id"), "line")
+    union = own.unionByName(search).unionByName(entity).unionByName(graph)
+    first = Window.partitionBy("query_id", "id").orderBy("place", "rank")
+    once = union.withColumn("n", F.row_number().over(first)).where("n = 1")
+    return within_budget(once, ["query_id"], [F.col("place"), F.col("rank")], F.col("line"), chars, 1).select("query_id", "source", "rank", "line")
+
+
+def recent_topics(topics: DataFrame, as_of: Column, most: int = 10, seconds: int = 300) -> DataFrame:
+    """(session_id, topic, at): the last ``most`` topics (session_id, topic, at) of each session that are younger than ``seconds``."""
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("at").desc(), F.col("topic")))
+    kept = topics.withColumn("n", rank).where(F.col("n") <= most)
+    return kept.where(F.col("at") > as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))).select("session_id", "topic", "at")
+
+
+def formatted_results(results: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, text) of ranked results (query_id, kind, title, url, snippet, rank), ``most`` of each query."""
+    one = (
+        F.when(F.col("kind") == "abstract", F.concat(F.lit("[Abstract from "), "title", F.lit("]: "), "snippet"))
+        .when(F.col("kind") == "answer", F.concat(F.lit("[Answer]: "), "snippet"))
+        .otherwise(F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "title", F.lit("\n URL: "), "url", F.lit("\n "), "snippet"))
+    )
+    rows = results.where(F.col("rank") <= most).select("query_id", F.struct("rank", one.alias("one")).alias("r"))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["one"]), "\n\n").alias("text"))
+
+
+def result_links(html: Column) -> Column:
+    """array<struct<title, url, snippet>> of a result page: links of class result-link, each with the snippet cell after it; no advertisements."""
+    parts = F.regexp_extract_all(html, F.lit(r"(?is)<a[^>]*class=['\"]result-link['\"][^>]*>.*?(?=<a[^>]*class=['\"]result-link['\"]|\z)"), F.lit(0))
+    bare = lambda x: X.decoded_entities(F.trim(F.regexp_replace(x, r"<[^>]+>", "")))
+    item = lambda x: F.struct(
+        bare(F.regexp_extract(x, r"(?is)^<a[^>]*>(.*?)</a>", 1)).alias("title"),
+        X.redirect_target(F.regexp_extract(x, r"(?is)^<a[^>]*href=['\"]([^'\"]+)['\"]", 1)).alias("url"),
+        F.substring(bare(F.regexp_extract(x, r"(?is)<td[^>]*class=['\"]result-snippet['\"][^>]*>(.*?)</td>", 1)), 1, 300).alias("snippet"),
+    )
+    return F.filter(F.transform(parts, item), lambda r: ~F.contains(r["url"], F.lit("duckduckgo.com/y.js")))

@@ -111,3 +111,20 @@ def raw_text(rows: DataFrame, raw: DataFrame) -> DataFrame:
 def cited(log: DataFrame, new: DataFrame) -> DataFrame:
     """Append citations (memory_id, session, context, cited_at)."""
     return log.unionByName(new.withColumn("context", F.substring("context", 1, CITATION_CHARS)), allowMissingColumns=True)
+
+
+def removed_blocks(blocks: DataFrame, keys: DataFrame) -> DataFrame:
+    """Blocks without those of the keys (key)."""
+    return blocks.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def upserted_vectors(vectors: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
+    """Vectors (id, v) after new ones of the same shape took the place of those of their ids and ``gone`` (id) went."""
+    kept = vectors.join(new.select("id"), "id", "left_anti").unionByName(new.select("id", "v"))
+    return kept.join(gone.select("id"), "id", "left_anti")
+
+
+def to_embed(rows: DataFrame, vectors: DataFrame, most: int = 100) -> DataFrame:
+    """(id, text): what active rows without a vector are embedded by, prefix first, the least ids."""
+    missing = rows.where("status = 'active'").join(vectors.select("id"), "id", "left_anti").orderBy("id").limit(most)
+    return missing.select("id", F.concat(F.when(F.col("context_prefix") != "", F.concat("context_prefix", F.lit(" "))).otherwise(""), "text").alias("text"))

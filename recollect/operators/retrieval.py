@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 from recollect.functions import patterns as P
 from recollect.functions import scoring as S
 from recollect.functions import text as X
+from recollect.session import written
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
-#: Rows of the smaller side of a similarity join up to which it is broadcast.
-BROADCAST_VECTORS = 100_000
+#: Vectors of a block.
+BLOCK = 512
 
 
 def tokens(text: Column) -> Column:
@@ -40,37 +43,28 @@ def bm25(rows: DataFrame, queries: DataFrame, limit: int = 10, status: str | Non
     """(query_id, id, bm25, score, rank): rows with every term of the query, best first.
 
     queries: (query_id, text). The statistics span all rows, the result those of ``status``.
-    score is min-max normalized to 0.3..1 within the query's result. Only the postings of
-    query terms are joined, so a frequent word costs what it occurs and no more.
+    score is min-max normalized to 0.3..1 within the query's result. Only rows with a query's
+    rarest term are looked at for the others, so frequent words cost nothing.
     """
-    wanted = (
-        queries.select("query_id", F.array_distinct(tokens(X.search_terms(F.col("text")))).alias("terms"))
-        .select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    )
+    wanted = queries.select("query_id", F.array_distinct(tokens(X.search_terms(F.col("text")))).alias("terms")).where(F.size("terms") > 0)
+    terms = wanted.select("query_id", F.explode("terms").alias("term"))
     words = rows.select("id", "status", tokens(F.col("text")).alias("words"))
-    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_len"))
-    n, avg_len = corpus.first()
-    needed = wanted.select("term").distinct()
+    n, avg_len = words.agg(F.count("*"), F.avg(F.size("words"))).first()
     # terms are found before rows are told apart by status: document frequencies span all rows
-    found = (
-        words.select("id", "status", F.size("words").alias("len"), F.explode("words").alias("term"))
-        .join(needed, "term", "left_semi")
-        .groupBy("id", "status", "len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    found = words.select("id", "status", F.explode(F.array_distinct("words")).alias("term"))
+    found = written(found.join(terms.select("term").distinct(), "term", "left_semi"), "found-terms")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = terms.join(df, "term", "left").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r"))
+    rarest = rarest.where("r.df IS NOT NULL").select("query_id", F.col("r.term").alias("term"))  # a null comes first
+    active = (lambda x: x) if status is None else (lambda x: x.where(F.col("status") == status))
+    candidates = active(found).join(rarest, "term").select("query_id", "id")
+    whole = candidates.join(active(words).select("id", "words"), "id").join(wanted, "query_id").where(F.size(F.array_except("terms", "words")) == 0)
+    each = whole.select("query_id", "id", "words", F.size("words").alias("len"), F.explode("terms").alias("term"))
+    each = each.select("query_id", "id", "len", "term", F.size(F.filter("words", lambda w: w == F.col("term"))).alias("tf"))
     idf = F.greatest(F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avg_len or 1.0))))
-    active = found if status is None else found.where(F.col("status") == status)
-    scored = (
-        active.join(df, "term")
-        .select("id", "term", part.alias("part"))
-        .join(wanted, "term")
-        .groupBy("query_id", "id", "n_terms")
-        .agg(F.sum("part").alias("bm25"), F.count("*").alias("met"))
-        .where("met = n_terms")
-    )
-    top = _ranked(scored.select("query_id", "id", "bm25"), limit, F.round("bm25", 9).desc(), F.col("id"))
+    scored = each.join(df, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    top = _ranked(scored, limit, F.round("bm25", 9).desc(), F.col("id"))
     return normalized(top)
 
 
@@ -88,47 +82,97 @@ def like_search(rows: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return rows.where("status = 'active'").where(F.col("text").ilike(pattern)).orderBy(F.col("created_at").desc(), "id").limit(limit)
 
 
-def similarities(left: DataFrame, right: DataFrame, floor: float, block: int = 512) -> DataFrame:
+def _blocks(df: DataFrame, block: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, cells, cell, ids, v): the vectors of each value of ``by`` in blocks, one flat array for each."""
+    if by:
+        df = df.join(df.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("long").alias("cells")), list(by))
+    else:
+        df = df.withColumn("cells", F.lit(max(1, -(-df.count() // block))).cast("long"))
+    dealt = df.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))).groupBy(*by, "cells", "cell")
+    rows = dealt.agg(F.collect_list(F.struct("id", "v")).alias("x"))
+    return rows.select(*by, "cells", "cell", F.transform("x", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("x", lambda r: r["v"])).alias("v"))
+
+
+def _multiplied(a: DataFrame, b: DataFrame, by: tuple[str, ...], keep: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(i, j, cosine) where ``keep(i, j, cosine, same block)`` says so, of blocks a, with b_cell, and b: a matrix product for each two."""
+    right = b.select(*by, F.col("cell").alias("b_cell"), F.col("ids").alias("b_ids"), F.col("v").alias("b_v"))
+    met = a.join(right, [*by, "b_cell"]).select("ids", "v", "b_ids", "b_v", (F.col("cell") == F.col("b_cell")).alias("same"))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, x, j, y, same in zip(*(batch[c] for c in ("ids", "v", "b_ids", "b_v", "same")), strict=True):
+                i, j = np.asarray(i, np.int64), np.asarray(j, np.int64)
+                x, y = np.asarray(x, float).reshape(len(i), -1), np.asarray(y, float).reshape(len(j), -1)
+                size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+                cosine = np.divide(x @ y.T, size, out=np.zeros(size.shape), where=size >= 1e-10)
+                p, q = keep(i, j, cosine, same)
+                yield pd.DataFrame({"i": i[p], "j": j[q], "cosine": cosine[p, q]})
+
+    return met.mapInPandas(products, "i long, j long, cosine double")
+
+
+def _with_all(a: DataFrame, cells: int) -> DataFrame:
+    return a.withColumn("b_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+
+
+def similarities(left: DataFrame, right: DataFrame, floor: float, block: int = BLOCK) -> DataFrame:
     """(i, j, cosine) above ``floor`` of left (id, v) and right (id, v), i <> j.
 
     Vectors are packed into blocks and blocks are paired, so the rows that travel are
     blocks, and each pair of blocks is one matrix product in some task. Exact.
     """
+    keep = lambda i, j, cosine, same: np.nonzero((cosine > floor) & (i[:, None] != j[None, :]))
+    return _multiplied(_with_all(_blocks(left, block), max(1, -(-right.count() // block))), _blocks(right, block), (), keep)
 
-    def packed(df: DataFrame, name: str, blocks: int) -> DataFrame:
-        cell = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(f"{name}_cell")
-        return df.select(cell, F.struct("id", "v").alias("x")).groupBy(f"{name}_cell").agg(F.collect_list("x").alias(name))
 
-    left_blocks = max(1, -(-left.count() // block))
-    right_blocks = max(1, -(-right.count() // block))
-    a = packed(left, "a", left_blocks).withColumn("b_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(right_blocks - 1).cast("long"))))
-    pairs = a.join(packed(right, "b", right_blocks), "b_cell").select("a", "b")
+def similar_pairs(rows: DataFrame, floor: float, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """(i, j, cosine) above ``floor``, i < j, of rows (id, v, by) that are equal in ``by``: each two blocks meet once."""
 
-    def products(batches):
-        for batch in batches:
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                (i, x), (j, y) = ((np.array([r["id"] for r in s]), np.array([r["v"] for r in s], float)) for s in (a, b))
-                size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
-                cosine = np.divide(x @ y.T, size, out=np.zeros(size.shape), where=size >= 1e-10)
-                p, q = np.nonzero((cosine > floor) & (i[:, None] != j[None, :]))
-                yield pd.DataFrame({"i": i[p], "j": j[q], "cosine": cosine[p, q]})
+    def keep(i: np.ndarray, j: np.ndarray, cosine: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero((cosine > floor) & ((i[:, None] < j[None, :]) if same else (i[:, None] != j[None, :])))
 
-    return pairs.mapInPandas(products, "i long, j long, cosine double")
+    packed = _blocks(rows, block, by)
+    a = packed.withColumn("b_cell", F.explode(F.sequence(F.col("cell"), F.col("cells") - 1)))
+    return _multiplied(a, packed, by, keep).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cosine")
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int = 10, floor: float = -1.0, active: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k most similar of rows (id, v) to each of queries (id, v), itself left out.
 
     score is the similarity, 0 at least, to three decimals. ``active`` (id), where given,
-    restricts the rows before the top k is taken. Each task keeps k per query of its part.
+    restricts the rows before the top k is taken. Of each block a query keeps its k best
+    there and those equal to the last of them.
     """
     if active is not None:
         rows = rows.join(active.select("id"), "id", "left_semi")
-    found = similarities(queries, rows, floor)
+
+    def keep(i: np.ndarray, j: np.ndarray, cosine: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        ok = (cosine > floor) & (i[:, None] != j[None, :])
+        if cosine.shape[1] > k:
+            ranked = np.where(ok, cosine, -np.inf)
+            ok &= cosine >= np.partition(ranked, -k, axis=1)[:, -k][:, None]
+        return np.nonzero(ok)
+
+    found = _multiplied(_with_all(_blocks(queries, BLOCK), max(1, -(-rows.count() // BLOCK))), _blocks(rows, BLOCK), (), keep)
     top = _ranked(found.select(F.col("i").alias("query_id"), F.col("j").alias("id"), "cosine"), k, F.col("cosine").desc(), F.col("id"))
     return top.select("query_id", "id", F.greatest(F.lit(0.0), X.round_half_up(F.col("cosine"), 3)).alias("score"), "rank")
 
 
+def lookup(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ids (id)."""
+    return rows.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def expanded(rows: DataFrame, variants: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, id, rrf, score, rank): keyword search of several wordings (query_id, variant, text) of each query, fused by rank."""
+    named = variants.select("query_id", "variant", "text", F.xxhash64("query_id", "variant").alias("one"))
+    hits = bm25(rows, named.select(F.col("one").alias("query_id"), "text"), limit * 3).select(F.col("query_id").alias("one"), "id", "rank")
+    hits = hits.join(named.select("one", "query_id", "variant"), "one")
+    scored = hits.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.min(F.struct("variant", "rank")).alias("first"))
+    order = [F.round("rrf", 12).desc(), F.col("first.variant"), F.col("first.rank"), F.col("id")]
+    return _ranked(scored, limit, *order).select("query_id", "id", "rrf", X.round_half_up(F.col("rrf"), 3).alias("score"), "rank")
+
+
 def fused(lists: list[tuple[DataFrame, Column | float]], limit: int = 10, k: int = RRF_K) -> DataFrame:
     """(query_id, id, rrf, score, rank) of ranked lists (query_id, id, rank) and their weights.
 

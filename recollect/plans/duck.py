@@ -117,7 +117,7 @@ STATEMENTS = f"""
     ab AS (SELECT id, session_id, text, lower(coalesce(ws[1], 'alpha')) AS a, lower(coalesce(ws[len(ws)], 'beta')) AS b FROM w),
     statements AS (SELECT id, session_id,
         CASE id % {len(TEMPLATES)} {' '.join(f'WHEN {n} THEN {_fill(t)}' for n, t in enumerate(TEMPLATES))} END
-        || CASE WHEN (id // {len(TEMPLATES)}) % 2 = 0 THEN '.' || chr(10) || text ELSE '' END AS text FROM ab)"""
+        || '.' || chr(10) || coalesce(text, '') AS text FROM ab)"""
 
 ENRICHED = f"""{STATEMENTS},
     e1 AS (SELECT *, {category('text')} AS type FROM statements),

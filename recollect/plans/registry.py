@@ -118,15 +118,15 @@ def missing_vectors(spark, d):
 
 # --- retrieval ---------------------------------------------------------------
 
-QUERY_TEXTS = r"""
-    queries AS (SELECT item_id AS query_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[a-z]{2,3}$'))))[1:3], ' ') AS text FROM benchmark),
+QUERY_TEXTS = """
+    queries AS (SELECT item_id AS query_id, text FROM benchmark),
     asked AS (SELECT * FROM queries WHERE text <> '')"""
 BM25 = rf"""{QUERY_TEXTS},
     words AS (SELECT id, status, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM memories),
     corpus AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM words),
     tf AS (SELECT id, status, len(ws) AS len, t.term, count(*) AS tf FROM words, unnest(ws) AS t(term) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    wanted AS (SELECT DISTINCT query_id, u.term FROM asked, unnest(string_split({D.terms('text')}, ' ')) AS u(term)),
+    wanted AS (SELECT DISTINCT query_id, u.term FROM asked, unnest(string_split(lower({D.terms('text')}), ' ')) AS u(term)),
     n_terms AS (SELECT query_id, count(*) AS n_terms FROM wanted GROUP BY 1),
     part AS (SELECT query_id, id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS part
         FROM tf JOIN df USING (term) JOIN wanted USING (term), corpus WHERE status = 'active'),
@@ -135,10 +135,8 @@ BM25 = rf"""{QUERY_TEXTS},
 
 
 def _asked(spark, d) -> DataFrame:
-    """Three short words of each benchmark item, in order."""
-    words = F.filter(retrieval.tokens(F.col("text")), lambda w: w.rlike("^[a-z]{2,3}$"))
-    text = F.array_join(F.slice(F.array_sort(F.array_distinct(words)), 1, 3), " ")
-    return M.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text")).where("text <> ''")
+    """The whole text of each benchmark item."""
+    return M.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").where("text <> ''")
 
 
 @query(
@@ -258,7 +256,7 @@ def stated_values(spark, d):
 
 
 @query(
-    f"""WITH {D.MEMORIES}, {PAIRS}, says AS (SELECT id, regexp_matches(lower(text), 'prefer|like|love|hate|dislike|favorite|always|never') AS s FROM memories WHERE type <> 'general')
+    f"""WITH {D.MEMORIES}, {PAIRS}, says AS (SELECT id, regexp_matches(lower(text), 'prefer|like|love|hate|dislike|favorite|use |using ') AS s FROM memories WHERE type <> 'general')
     SELECT i, j, round(c, 6) AS cosine FROM pairs JOIN says a ON a.id = i JOIN says b ON b.id = j WHERE c > {CONTRADICTION} AND (a.s OR b.s)"""
 )
 def contradicting_pairs(spark, d):
@@ -332,17 +330,21 @@ def consolidation_summaries(spark, d):
 
 
 @query(
-    f"""WITH {D.MEMORIES}, {CONTRADICTIONS}, {_AGAIN}, {D.VECTORS},
+    f"""WITH {D.MEMORIES}, {CONTRADICTIONS}, {_AGAIN}, {CLUSTERS},
     own AS (SELECT vectors.* FROM vectors JOIN memories USING (id) WHERE status = 'active'),
     copies AS (SELECT a.id, min(b.id) AS by_ FROM own a, own b WHERE a.id < b.id AND {D.cosine('a.v', 'b.v')} > {DUPLICATE} GROUP BY a.id),
     clash AS (SELECT id, superseded_by AS clash FROM judged WHERE reason IS NOT NULL),
-    joined AS (SELECT m.id, m.status, m.superseded_by AS was, m.type, coalesce(by_, clash) AS b, new_type,
+    summed AS (SELECT (SELECT max(id) FROM memories) + 1 + cluster AS new_id, id FROM clustered),
+    named AS (SELECT new_id, min((least(coalesce({_PRIORITY}, 0), 10), type)) AS best FROM summed JOIN memories USING (id) GROUP BY new_id),
+    joined AS (SELECT m.id, m.status, m.superseded_by AS was, m.type, coalesce(new_id, clash, by_) AS b, new_type,
         m.status = 'active' AND recall_count = 0 AND created_at < {D.NOW} - to_days(90) AS old
-        FROM memories m LEFT JOIN copies USING (id) LEFT JOIN clash USING (id) LEFT JOIN (SELECT id, new_type FROM changes) USING (id) WHERE status <> 'invalid')
-    SELECT id, CASE WHEN b IS NOT NULL THEN 'superseded' WHEN old THEN 'archived' ELSE status END AS status, coalesce(b, was) AS superseded_by, coalesce(new_type, type) AS type FROM joined"""
+        FROM memories m LEFT JOIN copies USING (id) LEFT JOIN clash USING (id) LEFT JOIN summed USING (id)
+        LEFT JOIN (SELECT id, new_type FROM changes) USING (id) WHERE status <> 'invalid')
+    SELECT id, CASE WHEN b IS NOT NULL THEN 'superseded' WHEN old THEN 'archived' ELSE status END AS status, coalesce(b, was) AS superseded_by, coalesce(new_type, type) AS type FROM joined
+    UNION ALL SELECT new_id, 'active', NULL, CASE WHEN best[1] = 10 THEN 'fact' ELSE best[2] END FROM named"""
 )
 def maintenance_run(spark, d):
-    return maintenance.next_state(M.memories(spark, d), M.vectors(spark, d), M.as_of(), DUPLICATE)
+    return maintenance.next_state(M.memories(spark, d), M.vectors(spark, d), M.as_of(), DUPLICATE, CONSOLIDATION, 0.75)
 
 
 # --- graph and provenance ----------------------------------------------------
@@ -406,7 +408,16 @@ def stated_relations(spark, d):
     return graph.stated_relations(M.memories(spark, d))
 
 
-@query()
+_LINKED = BM25[len(QUERY_TEXTS) :]
+
+
+@query(
+    f"""WITH {D.MEMORIES}, {RELATIONS}, said AS (SELECT r.* FROM relations r JOIN memories m ON m.id = r.id AND m.status = 'active'),
+    asked AS (SELECT DISTINCT object AS query_id, object AS text FROM said){_LINKED},
+    l AS (SELECT s.id AS from_id, b.id AS to_id, relation FROM said s JOIN ranked b ON b.query_id = s.object WHERE b.rank <= 2 AND b.id <> s.id
+        QUALIFY row_number() OVER (PARTITION BY s.id, relation, s.object ORDER BY b.rank) = 1)
+    SELECT * FROM l"""
+)
 def edges_by_text(spark, d):
     return graph.linked_by_text(M.memories(spark, d))
 
@@ -687,8 +698,13 @@ def _requests(spark, d) -> DataFrame:
 
 
 @query(
-    """SELECT event_id AS id, count(*) OVER w AS recent, count(*) OVER w <= 2 AS allowed FROM events
-    WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW)"""
+    """WITH RECURSIVE n AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r(user_id, event_id, k, recent, kept) AS (
+        SELECT user_id, event_id, k, 0::BIGINT, [us] FROM n WHERE k = 1
+        UNION ALL SELECT n.user_id, n.event_id, n.k, len(list_filter(kept, lambda x: n.us - x <= 21600000000)),
+            CASE WHEN len(list_filter(kept, lambda x: n.us - x <= 21600000000)) < 2 THEN list_append(list_filter(kept, lambda x: n.us - x <= 21600000000), n.us) ELSE list_filter(kept, lambda x: n.us - x <= 21600000000) END
+        FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+    SELECT event_id AS id, recent, recent < 2 AS allowed FROM r"""
 )
 def fetch_limit(spark, d):
     return ingest.fetch_limited(_requests(spark, d), 6 * 3600, 2).select("id", "recent", "allowed")
@@ -708,3 +724,6 @@ def request_windows(spark, d):
 def session_gaps(spark, d):
     found = ingest.sessions(_requests(spark, d), 3600)
     return found.select("key", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")), "n")
+
+
+from recollect.plans import more  # noqa: E402, F401  registers its queries

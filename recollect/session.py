@@ -27,13 +27,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, a single machine) a temporary
-    folder is chosen and remembered in the session.
+    Only where the setting is missing on a single machine (as in tests) a temporary folder is
+    chosen and remembered in the session; on a cluster there is no such folder to choose.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("recollect.scratch.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("recollect.scratch.dir", root)
     return root.rstrip("/")

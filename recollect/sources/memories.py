@@ -79,16 +79,18 @@ def as_of() -> Column:
 
 def enrich(rows: DataFrame, keep_type: bool = False) -> DataFrame:
     """Add type (unless kept), importance, entity, attribute and context_prefix to (id, session_id, text, ...)."""
+    text, low = F.col("text"), F.col("_low")
+    rows = rows.withColumn("_low", F.lower(text))  # once for all rules
     if not keep_type:
-        rows = rows.withColumn("type", X.categorize(F.col("text")))
-    rows = rows.withColumn("importance", X.importance(F.col("text"), F.col("type"))).withColumn("attribute", X.attribute(F.col("text")))
+        rows = rows.withColumn("type", X.categorize(text, low))
+    rows = rows.withColumn("importance", X.importance(text, F.col("type"), low)).withColumn("attribute", X.attribute(text, low)).drop("_low")
     rows = rows.withColumn("entity", F.when(F.col("attribute") != "", "user").otherwise(""))
     prefix = X.context_prefix(F.col("type"), F.col("entity"), F.col("attribute"), F.col("session_id"))
     return rows.withColumn("context_prefix", prefix)
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, session_id, text): a templated statement per document, in every other block of 20 with the whole text after it."""
+    """(id, session_id, text): a templated statement per document and the whole text after it."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
@@ -101,8 +103,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, template in enumerate(TEMPLATES):
         filled = F.replace(F.replace(F.lit(template), F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b"))
         said = F.when(F.col("id") % len(TEMPLATES) == n, filled).otherwise(said)
-    whole = F.floor(F.col("id") / len(TEMPLATES)) % 2 == 0
-    return docs.select("id", "session_id", F.when(whole, F.concat(said, F.lit(".\n"), "text")).otherwise(said).alias("text"))
+    return docs.select("id", "session_id", F.concat(said, F.lit(".\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ set of keys that are active. Within a micro-batch a key's events are taken in ti
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -80,10 +81,29 @@ def research_throttled(topics: DataFrame, gap: int = TOPIC_GAP_SECONDS, most: in
 
 
 def fetch_limited(fetches: DataFrame, seconds: int = 60, most: int = MOST_FETCHES) -> DataFrame:
-    """Add ``recent``, the fetches of the key in the ``seconds`` up to each, and ``allowed`` to a batch (key, ts, id)."""
-    at = F.unix_micros("ts")
-    w = Window.partitionBy("key").orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return fetches.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= most)
+    """(key, ts, id, recent, allowed) of a batch (key, ts, id): ``recent`` are the key's allowed fetches in the ``seconds`` before.
+
+    Refused fetches don't count, so each decision needs the ones before it: a key's rows go
+    through one task in order of time, then id, with ``most`` times kept.
+    """
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, kept = None, deque()
+        for batch in batches:
+            recent, allowed = [], []
+            for own, at in zip(batch["key"], batch["at"], strict=True):
+                if own != key:
+                    key, kept = own, deque()
+                while kept and at - kept[0] > seconds * 1_000_000:
+                    kept.popleft()
+                recent.append(len(kept))
+                allowed.append(len(kept) < most)
+                if allowed[-1]:
+                    kept.append(at)
+            yield batch.drop(columns="at").assign(recent=recent, allowed=allowed)
+
+    rows = fetches.select("key", "ts", "id", F.unix_micros("ts").alias("at")).repartition("key").sortWithinPartitions("key", "ts", "id")
+    return rows.mapInPandas(step, "key string, ts timestamp, id long, recent long, allowed boolean")
 
 
 def request_windows(requests: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from recollect.operators import graph, maintenance, mutations, retrieval
+from recollect import session
+from recollect.operators import context, graph, maintenance, mutations, retrieval
 from recollect.plans import registry
 from recollect.sources import memories as M
 from recollect.streaming import ingest
@@ -186,3 +187,66 @@ def test_embedding_sink_retries(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 5 and len(tries) == 3
+
+
+def test_fetches_that_were_refused_dont_count(spark):
+    rows = [("a", at(s), i) for i, s in enumerate((0, 10, 20, 30, 61, 62, 71))] + [("b", at(0), 20), ("b", at(0), 21), ("b", at(0), 22)]
+    got = ingest.fetch_limited(spark.createDataFrame(rows, "key string, ts timestamp, id long"), 60, 2).collect()
+    assert {r.id for r in got if r.allowed} == {0, 1, 4, 6, 20, 21}
+    assert {r.id: r.recent for r in got}[3] == 2
+
+
+def test_maintenance_steps_in_their_order(spark):
+    """A contradiction replaces what a duplicate set; a summary replaces both; its members have one."""
+    v = [[1.0, 0.0], [1.0, 0.001], [0.0, 1.0], [0.01, 1.0], [0.02, 1.0], [0.5, 0.5]]
+    said = ["I prefer vim for work", "I prefer emacs for work", *["I use a tool for work"] * 3, "plain"]
+    rows = [(i, "s", "fact", said[i], "active", None, '{"use_count":0}', at(i), 1, 0.9 if i < 2 else 0.2, "user" if i < 5 else "", "p" if i < 2 else "" if i == 5 else f"q{i}") for i in range(6)]
+    schema = "id long, session_id string, type string, text string, status string, superseded_by long, metadata string, created_at timestamp, recall_count long, importance double, entity string, attribute string"
+    df = spark.createDataFrame(rows, schema).withColumn("context_prefix", F.lit(""))
+    got = {r.id: (r.status, r.superseded_by) for r in maintenance.next_state(df, spark.createDataFrame(list(enumerate(v)), "id long, v array<double>"), M.as_of()).collect()}
+    assert got[0] == ("superseded", 1) and got[1] == ("active", None) and got[5] == ("active", None)
+    assert {got[i] for i in (2, 3, 4)} == {("superseded", 8)} and got[8] == ("active", None) and len(got) == 7
+
+
+def test_pairs_that_state_uses(spark):
+    rows = spark.createDataFrame([(0, "fact", "I use X"), (1, "fact", "so be it"), (2, "fact", "never again"), (3, "general", "I like X")], "id long, type string, text string")
+    v = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(4)], "id long, v array<double>")
+    assert {(r.i, r.j) for r in maintenance.contradicting_pairs(rows, v).collect()} == {(0, 1), (0, 2)}
+
+
+def test_pairs_by_key_and_best_in_block(spark):
+    v, df = vectors(spark)
+    c = cosines(v)
+    keyed = df.withColumn("e", F.col("id") % 3)
+    got = [(r.i, r.j) for r in retrieval.similar_pairs(keyed, 0.1, ("e",), block=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 == j % 3 and c[i, j] > 0.1}
+    near = retrieval.knn(df, df, 3).collect()
+    want = {(i, j) for i in range(60) for j in sorted((j for j in range(60) if j != i), key=lambda j: (-c[i, j], j))[:3]}
+    assert {(r.query_id, r.id) for r in near} == want
+
+
+def test_result_page_and_notes(spark):
+    page = (
+        "<a rel=\"nofollow\" href='//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.org%2Fa&rut=1' class='result-link'>A &amp; <b>B</b></a>\n<td class='result-snippet'>says <b>it</b></td>"
+        "<a class=\"result-link\" href=\"https://duckduckgo.com/y.js?ad=1\">Ad</a><td class='result-snippet'>buy</td><a class='result-link' href='https://y.org/'>Y</a>"
+    )
+    got = spark.createDataFrame([(page,)], "html string").select(context.result_links(F.col("html")).alias("r")).first().r
+    assert [tuple(r) for r in got] == [("A & B", "https://x.org/a", "says it"), ("Y", "https://y.org/", "")]
+    turns = [("s", 1, "I am building a small parser."), ("s", 2, "on Ubuntu with Docker"), ("t", 1, "hello")]
+    notes = {r.session_id: r.notes for r in context.session_notes(spark.createDataFrame(turns, "session_id string, turn long, user_message string")).collect()}
+    assert "- Uses: docker" in notes["s"] and "- Working in WSL/Linux environment confirmed" in notes["s"] and "- Project: building a small parser" in notes["s"] and notes["t"] == ""
+
+
+def test_scratch_folder_has_to_be_named_on_a_cluster():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert session.scratch_root(Session()) == "hdfs://x/y"
