@@ -238,10 +238,13 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
 def _head_end(data: bytes, at: int) -> tuple[int, int] | None:
-    """Where the header that starts at ``at`` ends and its block begins."""
-    ends = [(x, n) for mark, n in ((_END, 4), (b"\n\n", 2)) if (x := data.find(mark, at)) >= 0]
-    return min(ends) if ends else None
+    """Where the header that starts at ``at`` ends, and how long the empty line is. No byte past that is looked at."""
+    end = _HEAD_END.search(data, at)
+    return (end.start(), end.end() - end.start()) if end else None
 
 
 def parse_archive(data: bytes) -> Iterator[dict | None]:
@@ -286,6 +289,23 @@ def parse_archive(data: bytes) -> Iterator[dict | None]:
 _MAGIC = b"\x1f\x8b\x08"
 
 
+#: Bytes of packed data read at a time; what is read past a member's end is copied.
+_PACKED_BYTES = 4_096
+
+
+def _first_member(data: bytes, at: int) -> tuple[bytes | None, int]:
+    """(content of the gzip member at ``at``, where it ends); None if it is cut or altered."""
+    packer, out, read = zlib.decompressobj(31), [], at
+    while not packer.eof and read < len(data):
+        piece = data[read : read + _PACKED_BYTES]
+        try:
+            out.append(packer.decompress(piece))
+        except zlib.error:
+            return None, at
+        read += len(piece)
+    return (b"".join(out), read - len(packer.unused_data)) if packer.eof else (None, at)
+
+
 def unpacked(data: bytes) -> Iterator[bytes | None]:
     """The contents of runs of whole gzip members; None for each that is cut or altered. Other data is given as it is."""
     if data[:3] != _MAGIC:
@@ -294,15 +314,11 @@ def unpacked(data: bytes) -> Iterator[bytes | None]:
     parts: list[bytes] = []
     at = 0
     while 0 <= at < len(data):
-        packer = zlib.decompressobj(31)
-        try:
-            part = packer.decompress(memoryview(data)[at:])
-        except zlib.error:
-            part = None
-        if part is not None and packer.eof:
+        part, end = _first_member(data, at)
+        if part is not None:
             parts.append(part)
-            at = len(data) - len(packer.unused_data)
-            if len(packer.unused_data) and data[at : at + 3] != _MAGIC:
+            at = end
+            if at < len(data) and data[at : at + 3] != _MAGIC:
                 at = data.find(_MAGIC, at)
             continue
         if parts:
