@@ -317,16 +317,18 @@ _PRIORITY = "list_position([" + ", ".join(map(D.lit, P.TYPE_PRIORITY)) + "], typ
 
 
 @query(
-    f"""WITH {D.MEMORIES}, {CLUSTERS}, m AS (SELECT cluster, memories.*, least(coalesce({_PRIORITY}, 0), 10) AS r FROM clustered JOIN memories USING (id))
-    SELECT cluster, string_agg(text, ' | ' ORDER BY created_at, id) AS text, CASE WHEN min(r) = 10 THEN 'fact' ELSE min((r, type))[2] END AS type,
-        least(1.0::DOUBLE, max(importance) + 0.2::DOUBLE) AS importance, array_to_string(list(id ORDER BY id), ',') AS sources,
-        'Consolidated ' || count(*) || ' memories about ' || min(entity) || ':' AS context_prefix FROM m GROUP BY cluster"""
+    f"""WITH {D.MEMORIES}, {CLUSTERS}, m AS (SELECT cluster, memories.*, least(coalesce({_PRIORITY}, 0), 10) AS r FROM clustered JOIN memories USING (id)),
+    h AS (SELECT cluster, CASE WHEN min(r) = 10 THEN 'fact' ELSE min((r, type))[2] END AS type, least(1.0::DOUBLE, max(importance) + 0.2::DOUBLE) AS importance,
+        'Consolidated ' || count(*) || ' memories about ' || min(entity) || ':' AS context_prefix FROM m GROUP BY cluster),
+    p AS (SELECT cluster, id, text, created_at, coalesce(sum(length(text) + 3) OVER (PARTITION BY cluster ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 16000000 AS part FROM m)
+    SELECT cluster, CAST(part AS BIGINT) AS part, string_agg(text, ' | ' ORDER BY created_at, id) AS text, any_value(type) AS type, any_value(importance) AS importance,
+        array_to_string(list(id ORDER BY id), ',') AS sources, any_value(context_prefix) AS context_prefix FROM p JOIN h USING (cluster) GROUP BY cluster, part"""
 )
 def consolidation_summaries(spark, d):
     rows = M.memories(spark, d)
     made = maintenance.summaries(rows, maintenance.clusters(rows, M.vectors(spark, d), CONSOLIDATION, 0.75))
     sources = F.array_join(F.transform("source_memory_ids", lambda x: x.cast("string")), ",").alias("sources")
-    return made.select("cluster", "text", "type", "importance", sources, "context_prefix")
+    return made.select("cluster", "part", "text", "type", "importance", sources, "context_prefix")
 
 
 @query(

@@ -91,13 +91,14 @@ def enrich(rows: DataFrame, keep_type: bool = False) -> DataFrame:
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, session_id, text): a templated statement per document and the whole text after it."""
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
+    # the last word is looked for from the end
+    first, last = F.regexp_extract("text", "[A-Za-z]{3,}", 0), F.regexp_extract("text", "(?s)^.*(?<![A-Za-z])([A-Za-z]{3,})", 1)
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("session_id"),
         "text",
-        F.lower(F.coalesce(F.get(words, F.lit(0)), F.lit("alpha"))).alias("a"),
-        F.lower(F.coalesce(F.get(words, F.size(words) - 1), F.lit("beta"))).alias("b"),
+        F.lower(F.coalesce(F.nullif(first, F.lit("")), F.lit("alpha"))).alias("a"),
+        F.lower(F.coalesce(F.nullif(last, F.lit("")), F.lit("beta"))).alias("b"),
     )
     said = F.lit("")
     for n, template in enumerate(TEMPLATES):

@@ -83,6 +83,40 @@ def test_duplicates_are_the_greedy_pass(spark):
     assert small == {(i, j) for i in range(60) for j in range(60) if i != j and c[i, j] > 0.5}
 
 
+def test_summaries_come_in_parts(spark):
+    kinds = ["event", "project", "odd", "fact"]
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=-i)
+    rows = [(i, day(i // 3), None if i == 5 else "x" * (i % 7) + str(i), kinds[i % 4], i / 100, f"e{i % 2}") for i in range(40)]
+    members = [(i % 2, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, created_at timestamp, text string, type string, importance double, entity string")
+    pairs = spark.createDataFrame(members, "cluster long, id long")
+    for chars in (1, 20, 10_000):
+        want = {}
+        for c in (0, 1):
+            at = 0
+            for r in sorted((r for r in rows if r[0] % 2 == c), key=lambda r: (r[1], r[0])):
+                want.setdefault((c, at // chars), []).append(r)
+                at += len(r[2] or "") + 3
+        got = {(r.cluster, r.part): r for r in maintenance.summaries(df, pairs, chars).collect()}
+        assert {k: (r.text, r.source_memory_ids) for k, r in got.items()} == {k: (" | ".join(r[2] for r in v if r[2] is not None), sorted(r[0] for r in v)) for k, v in want.items()}
+        assert {(r.cluster, r.type, round(r.importance, 6), r.context_prefix) for r in got.values()} == {
+            (0, "odd", 0.58, "Consolidated 20 memories about e0:"),
+            (1, "project", 0.59, "Consolidated 20 memories about e1:"),
+        }
+    assert maintenance.summaries(df, pairs.limit(0)).count() == 0
+
+
+def test_words_as_patterns_say(spark):
+    from recollect.functions import patterns as P
+    from recollect.functions import text as X
+
+    lists = [p for _, p in P.CATEGORY_PATTERNS] + [P.CRITICAL, P.IDENTITY_HINT, P.UNCERTAIN]
+    texts = [(t,) for p in lists for w in p.split("|") for t in (w, f"a{w}b", w[1:], f"\n{w}\n{w}")] + [("",), (None,)]
+    df = spark.createDataFrame(texts, "t string")
+    for p in lists:
+        assert df.where(~X.says(F.col("t"), p).eqNullSafe(F.col("t").rlike(p))).isEmpty(), p
+
+
 def test_mmr_is_greedy(spark):
     v, df = vectors(spark)
     c = cosines(v)
