@@ -100,10 +100,8 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.coalesce(F.nullif(first, F.lit("")), F.lit("alpha"))).alias("a"),
         F.lower(F.coalesce(F.nullif(last, F.lit("")), F.lit("beta"))).alias("b"),
     )
-    said = F.lit("")
-    for n, template in enumerate(TEMPLATES):
-        filled = F.replace(F.replace(F.lit(template), F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b"))
-        said = F.when(F.col("id") % len(TEMPLATES) == n, filled).otherwise(said)
+    template = F.coalesce(F.get(F.array(*map(F.lit, TEMPLATES)), (F.col("id") % len(TEMPLATES)).cast("int")), F.lit(""))
+    said = F.replace(F.replace(template, F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b"))
     return docs.select("id", "session_id", F.concat(said, F.lit(".\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
