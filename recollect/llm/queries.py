@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontam, fingerprint, licenses, lm, mixing, quality, secrets, simhash, warc
+from recollect.llm import chat, decontam, fingerprint, lexical, licenses, lm, mixing, phrases, quality, secrets, simhash, warc
 from recollect.session import scratch_root, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,6 +167,63 @@ ORACLE_SQL["op10_warc"] = """
         CASE WHEN k > 1 AND n >= 100 THEN f END AS refers_to FROM r"""
 
 
+@_query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_phrases"] = r"""
+    WITH w AS (
+        SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(x, '[ \t]+'), lambda y: y <> '') AS words FROM (
+            SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\n\x0B\f\r]')) AS x FROM documents)
+    ), g AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+        FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(words) >= k
+    ), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 10),
+    cuts AS (
+        SELECT c.*, j, array_to_string(words[1:j], ' ') AS head, array_to_string(words[j + 1:k], ' ') AS tail
+        FROM c, (SELECT unnest([1, 2]) AS j) WHERE j < k
+    ), s AS (
+        SELECT cuts.*, h.f AS l, t.f AS r, CAST((CAST(a AS HUGEINT) * a * 1000000) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+        FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail
+    ), m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    inside AS (
+        SELECT lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase, a AS longer FROM c WHERE k = 3
+    ), kept AS (
+        SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = m.lang AND i.phrase = m.phrase AND 100 * i.longer >= 50 * m.a)
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000"""
+
+
+@_query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(_table(spark, sf_dir, "documents"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.search(index, items).withColumnRenamed("query_id", "item_id")
+
+
+ORACLE_SQL["op13_lexical"] = r"""
+    WITH t AS (
+        SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+        UNION ALL SELECT 'q', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+    ), w AS (SELECT kind, id, unnest(regexp_extract_all(x, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM t),
+    p AS (SELECT id AS doc_id, term, count(*) AS tf FROM w WHERE kind = 'd' GROUP BY ALL),
+    n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+    c AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+    df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    m AS (SELECT doc_id, 10 + (90 * n * big_n) // big_l AS m FROM n, c),
+    q AS (SELECT DISTINCT id AS item_id, term FROM w WHERE kind = 'q'),
+    s AS (
+        SELECT item_id, p.doc_id, CAST(sum(CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df.df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+        FROM q JOIN p ON p.term = q.term JOIN df ON df.term = q.term JOIN m ON m.doc_id = p.doc_id, c GROUP BY ALL
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # a script beside the package, so not at import
