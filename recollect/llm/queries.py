@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontam, fingerprint, lexical, licenses, lm, mixing, phrases, quality, secrets, simhash, warc
+from recollect.llm import chat, decontam, fingerprint, lexical, licenses, lm, mixing, phrases, quality, repeats, secrets, simhash, warc
 from recollect.session import scratch_root, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,11 @@ ORACLE_SQL["op11_phrases"] = r"""
     SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000"""
 
 
+@_query
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove(_table(spark, sf_dir, "documents")))
+
+
 @_query
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build(_table(spark, sf_dir, "documents"))
