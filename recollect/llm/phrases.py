@@ -184,7 +184,11 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, absorbed: int = AB
     its occurrences. Products are decimals of 38 digits. Equal scores go by a, then by phrase in
     bytes. Null texts are empty, null languages ``und``; repeated rows count each; no phrases, no rows.
     """
-    sums, sizes = counts(docs, 3, least)
+    return ranked(*counts(docs, MOST, least), top, absorbed)
+
+
+def ranked(sums: DataFrame, sizes: DataFrame, top: int = TOP, absorbed: int = ABSORBED) -> DataFrame:
+    """The scoring part of ``mine``: from what ``counts`` gives to the best of each language."""
     candidates = sums.where("words > 1").select("lang", "words", "phrase", F.col("f").alias("a"))
     cut = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cut = cut.select(
