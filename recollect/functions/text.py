@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -241,6 +242,26 @@ def compressed(text: Column, level: int) -> Column:
     return F.when(F.size(sentences) == 0, text).otherwise(F.array_join(F.slice(words, 1, 8), " "))
 
 
+def _marked() -> tuple[str, str]:
+    """Letters that are a letter and marks, and those letters."""
+    apart = ((chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000))
+    both = [(c, d[0]) for c, d in apart if len(d) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])]
+    return "".join(c for c, _ in both), "".join(d for _, d in both)
+
+
+_MARKED, _PLAIN = _marked()
+
+
+def folded(text: Column) -> Column:
+    """The text without marks on letters."""
+    return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{Mn}+", "")
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case runs of letters, digits and underscores, without marks."""
+    return F.regexp_extract_all(folded(F.lower(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def search_terms(query: Column) -> Column:
     """A query without search syntax: only word characters and single spaces."""
     out = F.regexp_replace(query, r"\w+:", "")

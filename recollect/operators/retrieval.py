@@ -13,27 +13,13 @@ from recollect.functions import patterns as P
 from recollect.functions import scoring as S
 from recollect.functions import text as X
 from recollect.session import written
+from recollect.sources.text_index import TextIndex
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
 #: Vectors of a block.
 BLOCK = 512
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-
-
-def postings(rows: DataFrame) -> DataFrame:
-    """(id, term, tf, len) of all rows, whatever their status: the corpus counts every one."""
-    words = rows.select("id", tokens(F.col("text")).alias("words"))
-    return (
-        words.select("id", F.size("words").alias("len"), F.explode("words").alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    )
-
-
 def _ranked(df: DataFrame, limit: int, *order: Column, by: str = "query_id") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= limit)
@@ -46,9 +32,9 @@ def bm25(rows: DataFrame, queries: DataFrame, limit: int = 10, status: str | Non
     score is min-max normalized to 0.3..1 within the query's result. Only rows with a query's
     rarest term are looked at for the others, so frequent words cost nothing.
     """
-    wanted = queries.select("query_id", F.array_distinct(tokens(X.search_terms(F.col("text")))).alias("terms")).where(F.size("terms") > 0)
+    wanted = queries.select("query_id", F.array_distinct(X.tokens(X.search_terms(X.folded(F.col("text"))))).alias("terms")).where(F.size("terms") > 0)
     terms = wanted.select("query_id", F.explode("terms").alias("term"))
-    words = rows.select("id", "status", tokens(F.col("text")).alias("words"))
+    words = rows.select("id", "status", X.tokens(F.col("text")).alias("words"))
     n, avg_len = words.agg(F.count("*"), F.avg(F.size("words"))).first()
     # terms are found before rows are told apart by status: document frequencies span all rows
     found = words.select("id", "status", F.explode(F.array_distinct("words")).alias("term"))
@@ -136,11 +122,12 @@ def similar_pairs(rows: DataFrame, floor: float, by: tuple[str, ...] = (), block
     return _multiplied(a, packed, by, keep).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cosine")
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int = 10, floor: float = -1.0, active: DataFrame | None = None) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int = 10, floor: float = -1.0, active: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score, rank): the k most similar of rows (id, v) to each of queries (id, v), itself left out.
 
     score is the similarity, 0 at least, to three decimals. ``active`` (id), where given,
-    restricts the rows before the top k is taken. Of each block a query keeps its k best
+    restricts the rows before the top k is taken, ``by`` those of a query to rows that are
+    equal in these columns of both. Of each block a query keeps its k best
     there and those equal to the last of them.
     """
     if active is not None:
@@ -153,7 +140,10 @@ def knn(queries: DataFrame, rows: DataFrame, k: int = 10, floor: float = -1.0, a
             ok &= cosine >= np.partition(ranked, -k, axis=1)[:, -k][:, None]
         return np.nonzero(ok)
 
-    found = _multiplied(_with_all(_blocks(queries, BLOCK), max(1, -(-rows.count() // BLOCK))), _blocks(rows, BLOCK), (), keep)
+    right = _blocks(rows, BLOCK, by)
+    left = _blocks(queries, BLOCK, by)
+    left = left.join(right.select(*by, F.col("cell").alias("b_cell")), list(by)) if by else _with_all(left, max(1, -(-rows.count() // BLOCK)))
+    found = _multiplied(left, right, by, keep)
     top = _ranked(found.select(F.col("i").alias("query_id"), F.col("j").alias("id"), "cosine"), k, F.col("cosine").desc(), F.col("id"))
     return top.select("query_id", "id", F.greatest(F.lit(0.0), X.round_half_up(F.col("cosine"), 3)).alias("score"), "rank")
 
@@ -163,10 +153,15 @@ def lookup(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def expanded(rows: DataFrame, variants: DataFrame, limit: int = 10) -> DataFrame:
+def keyword_hits(index: TextIndex, rows: DataFrame, queries: DataFrame, limit: int = 10, match: str = "any") -> DataFrame:
+    """(query_id, id, bm25, score, rank) of active rows by the stored index; see ``TextIndex.search`` and ``normalized``."""
+    return normalized(index.search(queries, limit, match, rows.where("status = 'active'")))
+
+
+def expanded(index: TextIndex, rows: DataFrame, variants: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, id, rrf, score, rank): keyword search of several wordings (query_id, variant, text) of each query, fused by rank."""
     named = variants.select("query_id", "variant", "text", F.xxhash64("query_id", "variant").alias("one"))
-    hits = bm25(rows, named.select(F.col("one").alias("query_id"), "text"), limit * 3).select(F.col("query_id").alias("one"), "id", "rank")
+    hits = keyword_hits(index, rows, named.select(F.col("one").alias("query_id"), "text"), limit * 3).select(F.col("query_id").alias("one"), "id", "rank")
     hits = hits.join(named.select("one", "query_id", "variant"), "one")
     scored = hits.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.min(F.struct("variant", "rank")).alias("first"))
     order = [F.round("rrf", 12).desc(), F.col("first.variant"), F.col("first.rank"), F.col("id")]
@@ -191,13 +186,29 @@ def fused(lists: list[tuple[DataFrame, Column | float]], limit: int = 10, k: int
     return _ranked(scored, limit, *order).select("query_id", "id", "rrf", X.round_half_up(F.col("rrf"), 3).alias("score"), "rank")
 
 
-def hybrid(rows: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, limit: int = 10) -> DataFrame:
-    """Keyword and vector search, fused by weights that depend on what kind of query it is."""
+def hybrid(
+    index: TextIndex, rows: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, limit: int = 10, as_of: Column | None = None, rerank: bool = False
+) -> DataFrame:
+    """(query_id, id, rrf, score, rank): keyword and vector search, fused by weights that depend on what kind of query it is.
+
+    queries: (query_id, text) and, to ask within one session each, session_id: rows of others are
+    left out before anything is ranked. With ``as_of`` there is ``decayed``, the fused score by
+    type, age, recalls and uses; ``rerank`` orders the fused list of 3 x limit by it.
+    """
     kind = queries.select("query_id", X.intent(F.col("text")).alias("intent"))
     weight = lambda at: F.element_at(F.create_map(*(F.lit(x) for n, w in P.INTENT_WEIGHTS.items() for x in (n, w[at]))), F.col("intent"))
-    words = bm25(rows, queries, limit * 3).join(kind, "query_id")
-    near = knn(query_vectors, vectors, limit * 3, 0.0, rows.where("status = 'active'")).join(kind, "query_id")
-    return fused([(near, weight(1)), (words, weight(0))], limit)
+    active = rows.where("status = 'active'")
+    by = ("session_id",) if "session_id" in queries.columns else ()
+    words = normalized(index.search(queries, limit * 3, "any", active, by))
+    own = query_vectors.join(queries.select(F.col("query_id").alias("id"), *by), "id") if by else query_vectors
+    near = knn(own, vectors.join(active.select("id", *by), "id"), limit * 3, 0.0, None, by)
+    found = fused([(near.join(kind, "query_id"), weight(1)), (words.join(kind, "query_id"), weight(0))], limit * 3 if rerank else limit)
+    if as_of is None:
+        return found
+    of = decay(found.join(rows.drop("rank", "score"), "id"), as_of, F.col("rrf"))
+    if rerank:
+        of = _ranked(of.drop("rank"), limit, F.col("decayed").desc(), F.round("rrf", 12).desc(), F.col("id"))
+    return of.select("query_id", "id", "rrf", "score", "decayed", "rank")
 
 
 def mmr(hits: DataFrame, vectors: DataFrame, k: int = 5, balance: float = 0.7) -> DataFrame:

@@ -150,10 +150,11 @@ EDGES = f"""
         CASE WHEN k % 7 = 2 THEN {NOW} - to_days(CAST(k % 50 - 10 AS INT)) END AS valid_until FROM raw_edges)"""
 
 TURNS = """
-    turns AS (SELECT CAST(u.conv_id AS VARCHAR) AS session_id, u.turn,
-        CASE WHEN (u.conv_id + u.turn) % 7 = 0 THEN 'ok' WHEN (u.conv_id + u.turn) % 7 = 1 THEN 'I prefer dark mode for reading' ELSE u.text END AS user_message,
-        coalesce(r.text, '') AS assistant_response
-        FROM conversations u LEFT JOIN conversations r ON u.conv_id = r.conv_id AND u.turn + 1 = r.turn AND r.role = 'assistant' WHERE u.role = 'user')"""
+    real_turns AS (SELECT u.conv_id, u.turn, u.text AS user_message, coalesce(r.text, '') AS assistant_response
+        FROM conversations u LEFT JOIN conversations r ON u.conv_id = r.conv_id AND u.turn + 1 = r.turn AND r.role = 'assistant' WHERE u.role = 'user'),
+    turns AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, user_message, assistant_response FROM real_turns
+        UNION ALL SELECT CAST(conv_id AS VARCHAR), -1 - turn, CASE (conv_id + turn) % 7 WHEN 0 THEN 'ok' ELSE 'I prefer dark mode for reading' END, ''
+        FROM real_turns WHERE (conv_id + turn) % 7 IN (0, 1))"""
 
 
 def cosine(a: str, b: str) -> str:

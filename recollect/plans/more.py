@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions import text as X
 from recollect.operators import context, graph, mutations, retrieval
 from recollect.plans import duck as D
-from recollect.plans.registry import BM25, DAY, KNN, QUERY_STEP, RELEASE, _STOP, _asked, _day, query
+from recollect.plans.registry import ANY, DAY, KNN, QUERY_STEP, RELEASE, _STOP, _asked, _day, query
 from recollect.sources import memories as M
 
 
@@ -25,26 +25,26 @@ def vector_search(spark, d):
     return retrieval.knn(v.where(F.col("id") % QUERY_STEP == 0), v, 10, 0.3)
 
 
-_KEYWORDS = f"array_to_string(list_filter(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{{2,}}'), lambda w: NOT list_contains({_STOP}, lower(w)))[1:2], ' ')"
-_BY_KEYWORDS = BM25.replace("SELECT item_id AS query_id, text FROM benchmark", f"SELECT item_id AS query_id, {_KEYWORDS} AS text FROM benchmark")
+_KEYWORDS = f"array_to_string(list_filter(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{{2,}}'), lambda w: NOT list_contains({_STOP}, lower(w)))[1:5], ' ')"
+_BY_KEYWORDS = ANY.replace("SELECT item_id AS query_id, text FROM benchmark", f"SELECT item_id AS query_id, {_KEYWORDS} AS text FROM benchmark")
 
 
 def _keywords(spark, d) -> DataFrame:
-    """The first two keywords of each benchmark item."""
-    words = F.array_join(F.slice(X.keywords(F.col("text")), 1, 2), " ")
+    """The keywords of each benchmark item."""
+    words = F.array_join(X.keywords(F.col("text")), " ")
     return M.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("text")).where("text <> ''")
 
 
 @query(f"WITH {D.MEMORIES}, {_BY_KEYWORDS} SELECT query_id, id, round(bm25, 6) AS bm25, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10")
 def keyword_search(spark, d):
-    found = retrieval.bm25(M.memories(spark, d), _keywords(spark, d), 10)
+    found = retrieval.keyword_hits(M.text_index(spark, d), M.memories(spark, d), _keywords(spark, d), 10)
     return found.select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 
 
 @query(
-    f"""WITH {D.MEMORIES}, {BM25}, a AS (SELECT query_id, id, 0 AS variant, rank FROM ranked WHERE rank <= 30),
+    f"""WITH {D.MEMORIES}, {ANY}, a AS (SELECT query_id, id, 0 AS variant, rank FROM ranked WHERE rank <= 30),
     k AS (SELECT * FROM (WITH {_BY_KEYWORDS} SELECT query_id, id, 1 AS variant, rank FROM ranked WHERE rank <= 30)),
     f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min((variant, rank)) AS first FROM (SELECT * FROM a UNION ALL SELECT * FROM k) GROUP BY 1, 2)
     SELECT query_id, id, round(rrf, 9) AS rrf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first, id) AS INT) AS rank FROM f QUALIFY rank <= 10"""
@@ -52,7 +52,7 @@ def keyword_search(spark, d):
 def expanded_search(spark, d):
     """Each benchmark item by its whole text and by its keywords."""
     variants = _asked(spark, d).withColumn("variant", F.lit(0)).unionByName(_keywords(spark, d).withColumn("variant", F.lit(1)))
-    found = retrieval.expanded(M.memories(spark, d), variants, 10)
+    found = retrieval.expanded(M.text_index(spark, d), M.memories(spark, d), variants, 10)
     return found.select("query_id", "id", F.round("rrf", 9).alias("rrf"), "rank")
 
 
@@ -109,7 +109,7 @@ def release_answer(spark, d):
 
 
 @query(
-    f"""WITH {D.MEMORIES}, {_CORE}, {_BY_KEYWORDS}, {_CHAIN},
+    f"""WITH {D.MEMORIES}, {_CORE}, {ANY}, {_CHAIN},
     c AS (SELECT '[core:' || key || '] ' || value AS line, row_number() OVER (ORDER BY key) AS rank, sum(length('[core:' || key || '] ' || value) + 1) OVER (ORDER BY key) AS used FROM core),
     s AS (SELECT query_id, id, r.rank, type, text, entity FROM ranked r JOIN memories USING (id) WHERE r.rank <= 5),
     e AS (SELECT id, '(' || type || ') ' || text AS line, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM memories WHERE status = 'active' AND type = 'entity' QUALIFY rank <= 3),
@@ -124,8 +124,8 @@ def release_answer(spark, d):
 )
 def recall_for_queries(spark, d):
     """What is put before each query: core blocks, hits, entities, neighbours, in 2,000 characters."""
-    rows, asked = M.memories(spark, d), _keywords(spark, d)
-    hits = retrieval.bm25(rows, asked, 5)
+    rows, asked = M.memories(spark, d), _asked(spark, d)
+    hits = retrieval.keyword_hits(M.text_index(spark, d), rows, asked, 5)
     return context.recalled_for(asked, hits, rows, graph.same_entity_edges(rows), _core(spark, d), 2_000)
 
 

@@ -122,11 +122,11 @@ QUERY_TEXTS = """
     queries AS (SELECT item_id AS query_id, text FROM benchmark),
     asked AS (SELECT * FROM queries WHERE text <> '')"""
 BM25 = rf"""{QUERY_TEXTS},
-    words AS (SELECT id, status, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM memories),
+    words AS (SELECT id, status, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}_]+') AS ws FROM memories),
     corpus AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM words),
     tf AS (SELECT id, status, len(ws) AS len, t.term, count(*) AS tf FROM words, unnest(ws) AS t(term) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    wanted AS (SELECT DISTINCT query_id, u.term FROM asked, unnest(string_split(lower({D.terms('text')}), ' ')) AS u(term)),
+    wanted AS (SELECT DISTINCT query_id, u.term FROM asked, unnest(string_split(lower({D.terms('strip_accents(text)')}), ' ')) AS u(term) WHERE u.term <> ''),
     n_terms AS (SELECT query_id, count(*) AS n_terms FROM wanted GROUP BY 1),
     part AS (SELECT query_id, id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS part
         FROM tf JOIN df USING (term) JOIN wanted USING (term), corpus WHERE status = 'active'),
@@ -134,17 +134,30 @@ BM25 = rf"""{QUERY_TEXTS},
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rank FROM hit)"""
 
 
+#: Rows with some of the words rank too.
+ANY = BM25.replace(" HAVING count(*) = (SELECT n_terms FROM n_terms x WHERE x.query_id = part.query_id)", "")
+
+
 def _asked(spark, d) -> DataFrame:
     """The whole text of each benchmark item."""
     return M.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").where("text <> ''")
 
 
-@query(
-    f"""WITH {D.MEMORIES}, {BM25}, top AS (SELECT *, min(bm25) OVER w AS lo, max(bm25) OVER w AS hi FROM ranked WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id))
-        SELECT query_id, id, round(bm25, 6) AS bm25, {D.rounded('CASE WHEN lo = hi THEN 1.0::DOUBLE ELSE 0.3::DOUBLE + 0.7::DOUBLE * (bm25 - lo) / (hi - lo) END', 3)} AS score, CAST(rank AS INT) AS rank FROM top"""
-)
+_TOP = f"""top AS (SELECT *, min(bm25) OVER w AS lo, max(bm25) OVER w AS hi FROM ranked WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id))
+    SELECT query_id, id, round(bm25, 6) AS bm25, {D.rounded('CASE WHEN lo = hi THEN 1.0::DOUBLE ELSE 0.3::DOUBLE + 0.7::DOUBLE * (bm25 - lo) / (hi - lo) END', 3)} AS score, CAST(rank AS INT) AS rank FROM top"""
+
+
+@query(f"WITH {D.MEMORIES}, {ANY}, {_TOP}")
 def bm25_search(spark, d):
-    found = retrieval.bm25(M.memories(spark, d), _asked(spark, d), 10)
+    """Rows that say some of what a whole item says."""
+    found = retrieval.keyword_hits(M.text_index(spark, d), M.memories(spark, d), _asked(spark, d), 10)
+    return found.select("query_id", "id", F.round("bm25", 6).alias("bm25"), "score", "rank")
+
+
+@query(f"WITH {D.MEMORIES}, {BM25}, {_TOP}")
+def all_terms_search(spark, d):
+    """Rows that say all of it."""
+    found = retrieval.keyword_hits(M.text_index(spark, d), M.memories(spark, d), _asked(spark, d), 10, "all")
     return found.select("query_id", "id", F.round("bm25", 6).alias("bm25"), "score", "rank")
 
 
@@ -159,25 +172,45 @@ def knn_search(spark, d):
     return retrieval.knn(v.where(F.col("id") % QUERY_STEP == 0), v, 10)
 
 
-@query(
-    f"""WITH {D.MEMORIES}, {BM25}, {D.VECTORS},
+def _hybrid(session: str = "") -> str:
+    """Common table expressions up to the fused list g (query_id, id, rrf, place)."""
+    words = ANY.replace("WHERE status = 'active'", "WHERE status = 'active' AND (SELECT session_id FROM memories m WHERE m.id = tf.id) = (SELECT session_id FROM scopes s WHERE s.query_id = wanted.query_id)") if session else ANY
+    near = "JOIN scopes s ON s.query_id = asked.query_id AND s.session_id = m.session_id" if session else ""
+    return f"""{D.MEMORIES}, {session}{words}, {D.VECTORS},
     kind AS (SELECT query_id, {D.intent('text')} AS intent FROM asked),
-    sims AS (SELECT q.id AS query_id, r.id AS id, {D.cosine('q.v', 'r.v')} AS c FROM vectors q JOIN asked ON q.id = query_id, vectors r JOIN memories m ON r.id = m.id AND m.status = 'active' WHERE q.id <> r.id),
+    sims AS (SELECT q.id AS query_id, r.id AS id, {D.cosine('q.v', 'r.v')} AS c FROM vectors q JOIN asked ON q.id = query_id, vectors r JOIN memories m ON r.id = m.id AND m.status = 'active' {near} WHERE q.id <> r.id),
     near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM sims WHERE c > 0.0),
     lists AS (
         SELECT query_id, id, 0 AS list, rank, CASE intent WHEN 'identifier' THEN 0.15 WHEN 'exact' THEN 0.3 WHEN 'conceptual' THEN 0.7 ELSE 0.45 END::DOUBLE / (60 + rank) AS part FROM near JOIN kind USING (query_id) WHERE rank <= 30
         UNION ALL SELECT query_id, id, 1, rank, CASE intent WHEN 'identifier' THEN 0.85 WHEN 'exact' THEN 0.7 WHEN 'conceptual' THEN 0.3 ELSE 0.55 END::DOUBLE / (60 + rank) FROM ranked JOIN kind USING (query_id) WHERE rank <= 30),
     f AS (SELECT query_id, id, sum(part) AS rrf, min((list, rank)) AS first FROM lists GROUP BY 1, 2),
-    g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first, id) AS place FROM f)
-    SELECT query_id, id, round(rrf, 9) AS rrf, {D.rounded('rrf', 3)} AS score, CAST(place AS INT) AS rank FROM g WHERE place <= 10"""
-)
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first, id) AS place FROM f)"""
+
+
+@query(f"WITH {_hybrid()} SELECT query_id, id, round(rrf, 9) AS rrf, {D.rounded('rrf', 3)} AS score, CAST(place AS INT) AS rank FROM g WHERE place <= 10")
 def hybrid_search(spark, d):
     asked, v = _asked(spark, d), M.vectors(spark, d)
     own = v.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi")
-    found = retrieval.hybrid(M.memories(spark, d), v, asked, own, 10)
+    found = retrieval.hybrid(M.text_index(spark, d), M.memories(spark, d), v, asked, own, 10)
     return found.select("query_id", "id", F.round("rrf", 9).alias("rrf"), "score", "rank")
 
 
+_SCOPES = """scopes AS (SELECT item_id AS query_id, (SELECT source FROM documents WHERE doc_id = item_id) AS session_id FROM benchmark),"""
+
+
+@query(
+    f"""WITH {_hybrid(_SCOPES)}, d AS (SELECT query_id, id, rrf, {D.decayed('rrf')} AS decayed FROM g JOIN memories USING (id) WHERE place <= 30)
+    SELECT query_id, id, round(rrf, 9) AS rrf, decayed, CAST(row_number() OVER (PARTITION BY query_id ORDER BY decayed DESC, round(rrf, 12) DESC, id) AS INT) AS rank FROM d QUALIFY rank <= 10"""
+)
+def hybrid_in_session(spark, d):
+    """Hybrid search within the session of the row with the item's number, ranked by what has decayed least."""
+    rows, v = M.memories(spark, d), M.vectors(spark, d)
+    asked = _asked(spark, d).join(rows.select(F.col("id").alias("query_id"), "session_id"), "query_id")
+    own = v.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi")
+    found = retrieval.hybrid(M.text_index(spark, d), rows, v, asked, own, 10, M.as_of(), rerank=True)
+    return found.select("query_id", "id", F.round("rrf", 9).alias("rrf"), "decayed", "rank")
+
+
 @query()
 def mmr_rerank(spark, d):
     v = M.vectors(spark, d)

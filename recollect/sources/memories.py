@@ -6,13 +6,16 @@ engine can make the same tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.functions import patterns as P
 from recollect.functions import text as X
-from recollect.session import written
+from recollect.session import scratch_root, written
+from recollect.sources.text_index import TextIndex
 
 MEMORY_SCHEMA = T.StructType(
     [
@@ -127,6 +130,17 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STORED[key]
 
 
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The full-text index of the memory table, stored like it once per application and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex.create(memories(spark, sf_dir).select("id", "text"), f"{scratch_root(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def derived_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched statements with status, lineage, age, validity and recalls."""
     recalls = citations(spark, sf_dir).where("kind = 'view'").groupBy("memory_id").agg(F.count("*").alias("recalls"))
@@ -192,23 +206,24 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, turn, user_message, assistant_response): each user row with the assistant row that follows it.
 
-    Every seventh turn says something trivial and every seventh after it something to keep.
+    Before every seventh of them there is one that says something trivial, and before every
+    seventh after those one that says something to keep, both with a turn of their own below 0.
     """
     rows = table(spark, sf_dir, "conversations").alias("u")
     reply = table(spark, sf_dir, "conversations").alias("r")
-    said = F.expr(
-        "CASE WHEN (u.conv_id + u.turn) % 7 = 0 THEN 'ok' WHEN (u.conv_id + u.turn) % 7 = 1 THEN 'I prefer dark mode for reading' ELSE u.text END"
-    )
-    return (
+    real = (
         rows.join(reply, F.expr("u.conv_id = r.conv_id AND u.turn + 1 = r.turn AND r.role = 'assistant'"), "left")
         .where("u.role = 'user'")
         .select(
-            F.col("u.conv_id").cast("string").alias("session_id"),
+            F.col("u.conv_id").alias("conv"),
             F.col("u.turn").alias("turn"),
-            said.alias("user_message"),
+            F.col("u.text").alias("user_message"),
             F.coalesce("r.text", F.lit("")).alias("assistant_response"),
         )
     )
+    more = real.withColumn("n", F.pmod(F.col("conv") + F.col("turn"), F.lit(7))).where("n < 2")
+    more = more.select("conv", (-1 - F.col("turn")).alias("turn"), F.when(F.col("n") == 0, "ok").otherwise("I prefer dark mode for reading").alias("user_message"), F.lit("").alias("assistant_response"))
+    return real.unionByName(more).select(F.col("conv").cast("string").alias("session_id"), "turn", "user_message", "assistant_response")
 
 
 def valid_for_store(rows: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
