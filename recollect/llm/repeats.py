@@ -75,6 +75,9 @@ class Segments:
         self.length, self.data = length, b"".join(texts)
         ends = np.cumsum([len(x) for x in texts]).astype(np.int64)
         raw = np.frombuffer(self.data, np.uint8)
+        inside = np.ones(len(raw), bool)
+        for size, end in zip(map(len, texts), ends.tolist(), strict=True):
+            inside[max(end - size, end - length + 1) : end] = False
         starts, lasts, anchors = [], [], []
         for at in range(0, max(0, len(raw) - length + 1), CHUNK_BYTES):
             part = raw[at : at + CHUNK_BYTES + length - 1]
@@ -83,12 +86,12 @@ class Segments:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[part] * _powers(_BASE, len(part)), dtype=np.uint64)])
             grams = mix64((sums[gram:] - sums[:-gram]) * _powers(_INVERSE, len(part) - gram + 1))
             place = _least_in_window((grams >> np.uint64(32)).astype(np.uint32), length - gram + 1).astype(np.int64) + at
-            start = np.arange(at, at + len(place))
-            own = np.searchsorted(ends, start, "right")
-            inside = start + length <= ends[np.minimum(own, len(ends) - 1)]
-            start, place, own = start[inside], place[inside], own[inside]
+            start = np.flatnonzero(inside[at : at + len(place)])
+            place = place[start]
+            start = start + at
             if len(start):
-                new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])]))
+                # texts are apart by the places where no window fits
+                new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]))
                 starts.append(start[new])
                 lasts.append(start[np.append(new[1:], len(start)) - 1])
                 anchors.append(place[new])
