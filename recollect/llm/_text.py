@@ -51,6 +51,12 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending, by sorting."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def word_counts(column: pa.Array, limit: int = 8_000_000) -> np.ndarray:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in each text."""
     offsets, data = buffers(column)

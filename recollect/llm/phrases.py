@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -23,16 +24,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm._ranges import Network, counted, counts_of, mix64
-from recollect.llm._text import string_column
+from recollect.llm._text import distinct, string_column
 from recollect.session import written
 
 MOST, LEAST, TOP = 3, 10, 2000
 #: A candidate goes where some longer one has this share of its occurrences, in percent.
 ABSORBED = 50
 #: Bytes of text in a shard, and those that a task holds back for shards of all languages.
-SHARD_BYTES, HELD_BYTES = 8_000_000, 48_000_000
-#: Cells of the sketch for each byte of text; a text has fewer phrases than bytes.
-CELLS = 0.5
+SHARD_BYTES, HELD_BYTES = 12_000_000, 48_000_000
+#: Cells of the sketch for each byte of text, which are about as many as there are distinct phrases.
+CELLS = 0.15
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Piece ends become line feeds, tabs spaces.
@@ -79,19 +80,25 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(lang)
 
 
+def _joined(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with a word after them."""
+    return mix64(phrase * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
 class Grams:
     """The words of a shard and its phrases of each length: 64-bit hashes by place, 0 where a piece ends before."""
 
     def __init__(self, row: dict, most: int):
         self.text = zstandard.ZstdDecompressor().decompress(row["data"])
-        names: dict[bytes, int] = {b"\n": 0}
-        number = names.setdefault
-        tokens = self.text.split(b" ")  # a word, or the line feed between two pieces; empty at both ends
-        self.tokens = np.fromiter((number(t, len(names)) for t in tokens if t), np.int64)
-        self.names = list(names)
+        tokens = [t for t in self.text.split(b" ") if t]  # a word, or the line feed between two pieces
+        distinct_ = dict.fromkeys(tokens)
+        distinct_.pop(b"\n", None)
+        self.names = [b"\n", *distinct_]
+        number = {x: i for i, x in enumerate(self.names)}
+        self.tokens = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
         seed = xxhash.xxh64_intdigest((row["lang"] or "").encode())
-        of_name = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in self.names), np.uint64, len(names))
-        word = of_name[self.tokens]
+        self.of_name = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in self.names), np.uint64, len(self.names))
+        word = self.of_name[self.tokens]
         good = self.tokens > 0
         self.hashes = [np.where(good, word, np.uint64(0))]
         for k in range(1, most):
@@ -99,32 +106,35 @@ class Grams:
                 break
             good = good[:-1] & (self.tokens[k:] > 0)
             before = self.hashes[-1][: len(good)]
-            self.hashes.append(np.where(good, mix64(before * np.uint64(0x9E3779B97F4A7C15) + word[k:]), np.uint64(0)))
+            self.hashes.append(np.where(good, _joined(before, word[k:]), np.uint64(0)))
 
     def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(cells that phrases of the shard fall into, ascending, how many of its phrases do)."""
         every = np.concatenate([h[h > 0] for h in self.hashes])
         return np.unique(every >> np.uint64(64 - bits), return_counts=True)
 
-    def candidates(self, bits: int, cells: np.ndarray, bounds: np.ndarray, least: int) -> list[list[bytes]]:
-        """The distinct phrases of each length whose cell's sum reaches ``least``, as words joined by spaces."""
+    def candidates(self, bits: int, cells: np.ndarray, bounds: np.ndarray, least: int) -> list[np.ndarray]:
+        """The distinct phrases of each length whose cell's sum reaches ``least``: a row of word numbers each."""
         out = []
         for k, hashes in enumerate(self.hashes):
             at = np.flatnonzero(hashes)
-            at = at[bounds[np.searchsorted(cells, hashes[at] >> np.uint64(64 - bits))] >= least]
-            words = np.stack([self.tokens[at + i] for i in range(k + 1)], axis=1)
-            # distinct by their words, not by a hash
-            distinct = np.unique(words, axis=0) if k == 0 else self._distinct(words)
-            out.append([b" ".join(self.names[i] for i in row) for row in distinct.tolist()])
+            # distinct by their words, not by a hash; a shard has too few words for a number to overflow
+            key = np.zeros(len(at), np.uint64)
+            for i in range(k + 1):
+                key = key * np.uint64(len(self.names)) + self.tokens[at + i].astype(np.uint64)
+            key = distinct(key)
+            words = np.empty((len(key), k + 1), np.int64)
+            for i in range(k, -1, -1):
+                rest = key // np.uint64(len(self.names))
+                key, words[:, i] = rest, key - rest * np.uint64(len(self.names))
+            of = self.of_name[words[:, 0]]
+            for i in range(1, k + 1):
+                of = _joined(of, self.of_name[words[:, i]])
+            by = np.argsort(of)  # so that the cells are gone through in order
+            at = np.searchsorted(cells, of[by] >> np.uint64(64 - bits))
+            out.append(words[by[bounds[at] >= least]])
         return out
 
-    def _distinct(self, words: np.ndarray) -> np.ndarray:
-        by = np.lexsort(words.T[::-1])
-        words = words[by]
-        new = np.ones(len(words), bool)
-        new[1:] = (words[1:] != words[:-1]).any(axis=1)
-        return words[new]
-
 
 def _counted(bits: int, most: int, least: int):
     """Counts of the candidates of a shard in that shard."""
@@ -134,24 +144,26 @@ def _counted(bits: int, most: int, least: int):
         grams = Grams(row, most)
         cells, _ = grams.cells(bits)
         found = grams.candidates(bits, cells, counts_of(answers)[0], least)
-        of_words = np.bincount(grams.tokens, minlength=len(grams.names))
-        number = {x: i for i, x in enumerate(grams.names)}
-        phrases, counts = [found[0]], [np.array([of_words[number[x]] for x in found[0]], np.int64)]
-        longer = [x for level in found[1:] for x in level]
-        if longer:
-            automaton = ahocorasick.Automaton()
-            for i, phrase in enumerate(longer):
-                automaton.add_word(f" {phrase.decode('latin-1')} ", i)  # a letter a byte
+        counts = [np.bincount(grams.tokens, minlength=len(grams.names))[found[0][:, 0]]]
+        longer = found[1:]
+        if sum(map(len, longer)):
+            automaton, letters = ahocorasick.Automaton(), [x.decode("latin-1") for x in grams.names]  # a letter a byte
+            i = 0
+            for level in longer:
+                for words in level.tolist():
+                    automaton.add_word(f" {' '.join([letters[w] for w in words])} ", i)
+                    i += 1
             automaton.make_automaton()
-            matches = np.fromiter((i for _, i in automaton.iter(grams.text.decode("latin-1"))), np.int64)
-            phrases.append(longer)
-            counts.append(np.bincount(matches, minlength=len(longer)))
-        every = [x for level in phrases for x in level]
+            matches = np.bincount(np.fromiter((i for _, i in automaton.iter(grams.text.decode("latin-1"))), np.int64), minlength=i)
+            counts += np.split(matches, np.cumsum([len(x) for x in longer])[:-1])
+        names = pa.array(grams.names, pa.binary())
+        phrases = [pc.binary_join_element_wise(*(names.take(pa.array(level[:, j])) for j in range(level.shape[1])), b" ") for level in found[: len(counts)]]
+        size = sum(map(len, phrases))
         return pa.table(
             {
-                "lang": pa.array([row["lang"]] * len(every), pa.string()),
-                "words": pa.array([x.count(b" ") + 1 for x in every], pa.int32()),
-                "phrase": pa.array(every, pa.binary()).cast(pa.string()),
+                "lang": pa.array([row["lang"]] * size, pa.string()),
+                "words": pa.array(np.repeat(np.arange(1, len(phrases) + 1), [len(x) for x in phrases]), pa.int32()),
+                "phrase": pa.chunked_array(phrases, pa.binary()).cast(pa.string()),
                 "f": pa.array(np.concatenate(counts), pa.int64()),
             }
         )
