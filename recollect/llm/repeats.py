@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm._firsts import answers_of, firsts
 from recollect.llm._ranges import Network, blocks_of, mix64, texts_of
+from recollect.llm._text import distinct
 from recollect.session import written
 
 LENGTH, GRAM = 100, 32
@@ -142,7 +143,7 @@ def _found(length: int, gram: int, bins: int, hot: int, occurrences: bool):
         block, ids = row["block"], _ids(row)
         own = Segments(texts_of(row), length, gram)
         counts, first = answers_of(answers)
-        hashes = np.unique(np.concatenate([own.anchors, own.hashes]))
+        hashes = distinct(np.concatenate([own.anchors, own.hashes]))
         of_anchor, of_text = counts[np.searchsorted(hashes, own.anchors)], np.searchsorted(hashes, own.hashes)
         docs, start, stop = ids[own.doc], own.first - own.base, own.last - own.base + length
         # of equal segments in this block the first, if this block has the first of all
@@ -271,7 +272,7 @@ def _hot_covered(length: int):
         spans = np.frombuffer(row["spans"], np.int64).reshape(-1, 4)
         of, offset, hashes = _windows(row, length)
         counts, first = answers_of(answers)
-        place = np.searchsorted(np.unique(hashes), hashes)
+        place = np.searchsorted(distinct(hashes), hashes)
         by = np.lexsort((spans[of, 1] + offset, spans[of, 0], spans[of, 3], hashes))
         head = np.zeros(len(by), bool)
         head[by[np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])]] = True
@@ -336,11 +337,11 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes:
     of_hot = found.where("kind = 'hot'").select("block", "spans", "data")
     if not of_hot.isEmpty():
 
-        def distinct(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def of_windows(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             of, _, hashes = _windows(row, length)
             return _smallest(hashes, np.frombuffer(row["spans"], np.int64).reshape(-1, 4)[of, 3])
 
-        answers = firsts(of_hot, distinct, net)
+        answers = firsts(of_hot, of_windows, net)
         covers = covers.unionByName(answers.groupBy("block").cogroup(of_hot.groupBy("block")).applyInArrow(_hot_covered(length), COVER_SCHEMA))
     return covers.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_without, KEPT_SCHEMA)
 
