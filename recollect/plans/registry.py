@@ -396,6 +396,30 @@ def graph_traverse(spark, d):
     return graph.traverse(M.edges(spark, d), starts, M.as_of())
 
 
+_REACH = f"""{D.EDGES}, open_edges AS (SELECT * FROM edges WHERE valid_until IS NULL OR valid_until > {D.NOW}),
+    walk AS (WITH RECURSIVE g(start, node, depth, parent, relation) AS (
+        SELECT DISTINCT from_id, from_id, 0, NULL::BIGINT, NULL::VARCHAR FROM edges
+        UNION ALL SELECT DISTINCT g.start, e.to_id, g.depth + 1, g.node, e.relation FROM g JOIN open_edges e ON e.from_id = g.node WHERE g.depth < 4) SELECT * FROM g),
+    tree AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY depth, parent, relation) = 1),
+    way AS (WITH RECURSIVE p(start, node, depth, path) AS (
+        SELECT start, node, 0, CAST(node AS VARCHAR) FROM tree WHERE depth = 0
+        UNION ALL SELECT t.start, t.node, t.depth, p.path || '-' || t.relation || '->' || t.node FROM p JOIN tree t ON t.start = p.start AND t.parent = p.node AND t.depth = p.depth + 1) SELECT * FROM p)"""
+
+
+@query(f"WITH {_REACH} SELECT start, node, depth, parent, relation FROM tree")
+def graph_reached(spark, d):
+    """What each node of the graph reaches within four steps, each node once."""
+    edges = M.edges(spark, d)
+    return graph.reached(edges, edges.select(F.col("from_id").alias("start")), M.as_of(), 4)
+
+
+@query(f"WITH {_REACH} SELECT start, node, depth, path FROM way")
+def graph_paths(spark, d):
+    """The ways there."""
+    edges = M.edges(spark, d)
+    return graph.paths(graph.reached(edges, edges.select(F.col("from_id").alias("start")), M.as_of(), 4))
+
+
 @query(
     f"""WITH {D.EDGES}, open_edges AS (SELECT * FROM edges WHERE valid_until IS NULL OR valid_until > {D.NOW}), nodes AS (SELECT n_nationkey + {M.NATION} AS node FROM nation)
     SELECT CAST(node AS BIGINT) AS node, to_id AS other, relation, strength, 'out' AS direction FROM open_edges JOIN nodes ON from_id = node
