@@ -32,6 +32,8 @@ MOST, LEAST, TOP = 3, 10, 2000
 ABSORBED = 50
 #: Bytes of text in a shard, and those that a task holds back for shards of all languages.
 SHARD_BYTES, HELD_BYTES = 12_000_000, 48_000_000
+#: Bytes of text for each range of cells.
+RANGE_BYTES = 4_000_000
 #: Cells of the sketch for each byte of text, which are about as many as there are distinct phrases.
 CELLS = 0.15
 
@@ -90,12 +92,14 @@ class Grams:
 
     def __init__(self, row: dict, most: int):
         self.text = zstandard.ZstdDecompressor().decompress(row["data"])
-        tokens = [t for t in self.text.split(b" ") if t]  # a word, or the line feed between two pieces
-        distinct_ = dict.fromkeys(tokens)
-        distinct_.pop(b"\n", None)
-        self.names = [b"\n", *distinct_]
-        number = {x: i for i, x in enumerate(self.names)}
-        self.tokens = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+        # each token, a word or the line feed between two pieces, has one space after it
+        ends = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 0x20).astype(np.int32) + 1
+        tokens = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(self.text)]).dictionary_encode()
+        names = [x[:-1] for x in tokens.dictionary.to_pylist()]
+        line = names.index(b"\n") if b"\n" in names else len(names)
+        self.names = [b"\n", *names[:line], *names[line + 1 :]]
+        self.tokens = tokens.indices.to_numpy().astype(np.int64)
+        self.tokens = np.where(self.tokens == line, 0, self.tokens + (self.tokens < line))
         seed = xxhash.xxh64_intdigest((row["lang"] or "").encode())
         self.of_name = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in self.names), np.uint64, len(self.names))
         word = self.of_name[self.tokens]
@@ -180,7 +184,7 @@ def counts(docs: DataFrame, most: int = MOST, least: int = LEAST) -> tuple[DataF
     shards = written(docs.mapInArrow(_shards, SHARD_SCHEMA), "phrase-shards")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(60, max(16, int(size * CELLS).bit_length()))
-    net = Network.of(max(1, -(-size // SHARD_BYTES)), bits)
+    net = Network.of(max(1, -(-size // RANGE_BYTES)), bits)
     answers = counted(shards.select("block", "lang", "data"), lambda row: Grams(row, most).cells(bits), net)
     own = answers.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_counted(bits, most, least), COUNT_SCHEMA)
     sums = own.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
