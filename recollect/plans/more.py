@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import text as X
-from recollect.operators import context, graph, mutations, retrieval
+from recollect.operators import context, graph, limits, mutations, retrieval
 from recollect.plans import duck as D
 from recollect.plans.registry import ANY, DAY, KNN, QUERY_STEP, RELEASE, _STOP, _asked, _day, query
+from recollect.session import scratch_root
 from recollect.sources import memories as M
+from recollect.sources.store import Store
+from recollect.sources.vector_index import VectorIndex
 
 
 @query(f"WITH {D.MEMORIES} SELECT id, type, status FROM memories WHERE id IN (SELECT item_id FROM benchmark)")
@@ -229,3 +234,44 @@ def strongest_neighbours(spark, d):
     edges = M.edges(spark, d)
     nodes = edges.select(F.col("from_id").alias("node")).distinct()
     return graph.strongest(graph.neighbours(edges, nodes, M.as_of()), 3).select("node", "other", "relation", "strength", "rank")
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT DISTINCT user_id, epoch_us(ts) AS us FROM events),
+    s(user_id, us) AS (SELECT user_id, min(us) FROM t GROUP BY 1
+        UNION ALL SELECT s.user_id, (SELECT min(t.us) FROM t WHERE t.user_id = s.user_id AND t.us >= s.us + 86400000000) FROM s WHERE s.us IS NOT NULL),
+    e AS (SELECT event_id, user_id, ts, (SELECT max(s.us) FROM s WHERE s.user_id = events.user_id AND s.us <= epoch_us(ts)) AS start FROM events)
+    SELECT event_id AS id, start, row_number() OVER (PARTITION BY user_id, start ORDER BY ts, event_id) <= 3 AS allowed FROM e"""
+)
+def rate_limit(spark, d):
+    """Three events a day of each user, days counted from the first event on."""
+    rows = M.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    return limits.rate_limited(rows, 86_400, 3).select("id", F.unix_micros("start").alias("start"), "allowed")
+
+
+@query(f"WITH {KNN} SELECT query_id, id, round(c, 6) AS cosine, CAST(rank AS INT) AS rank FROM near WHERE rank <= 10")
+def indexed_vector_search(spark, d):
+    """What knn_search finds, by the stored index."""
+    v = M.vectors(spark, d)
+    index = VectorIndex.create(v, f"{scratch_root(spark)}/vectors-{uuid.uuid4().hex}")
+    found = index.search(v.where(F.col("id") % QUERY_STEP == 0), 10)
+    return found.select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query(
+    f"""WITH {D.MEMORIES}, hits AS (SELECT memory_id AS id, count(*) AS n FROM citations WHERE kind = 'error' AND memory_id % 100 < 10 GROUP BY 1),
+    u AS (SELECT * FROM memories UNION ALL BY NAME SELECT id + 5000000 AS id, * EXCLUDE (id) FROM memories WHERE id % 50 = 7)
+    SELECT u.id, CASE WHEN u.type = 'event' AND u.id % 100 < 10 THEN 'archived' ELSE status END AS status,
+        recall_count + coalesce(n, 0) AS recall_count, round(CASE WHEN n IS NULL THEN importance ELSE least(1.0::DOUBLE, importance + 0.01::DOUBLE * n) END, 6) AS importance
+    FROM u LEFT JOIN hits ON hits.id = u.id"""
+)
+def stored_changes(spark, d):
+    """The table after recalls, changes of status and new rows, each a commit that writes the parts it touches."""
+    rows = M.memories(spark, d)
+    store = Store.create(rows, f"{scratch_root(spark)}/store-{uuid.uuid4().hex}", 10)
+    few = F.col("id") % 100 < 10
+    hits = M.citations(spark, d).where("kind = 'error'").select(F.col("memory_id").alias("id")).where(few)
+    store.change(hits, mutations.recalled)
+    store.change(rows.where("type = 'event'").where(few).select("id", F.lit("archived").alias("new_status")), mutations.with_status)
+    store.append(rows.where("id % 50 = 7").withColumn("id", F.col("id") + 5_000_000))
+    return store.read().select("id", "status", "recall_count", F.round("importance", 6).alias("importance"))

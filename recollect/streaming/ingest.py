@@ -10,14 +10,14 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WINDOW_SECONDS, MOST_REQUESTS = 60, 120
 MOST_FETCHES = 10
 TOPIC_GAP_SECONDS, MOST_TOPICS, IDLE_SECONDS = 30, 50, 3600
-BATCH_ROWS, MOST_TRIES = 10, 3
+BATCH_ROWS, MOST_TRIES, MOST_QUEUED = 10, 3, 1000
 
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -136,6 +136,67 @@ def embedding_sink(stream: DataFrame, embed: Callable[[DataFrame], DataFrame], p
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
 
 
+def embed_queue(
+    stream: DataFrame, embed: Callable[[list[str]], list[list[float]]], path: str, checkpoint: str, most: int = MOST_QUEUED, size: int = BATCH_ROWS, tries: int = MOST_TRIES
+):
+    """Start writing vectors of a stream (id, text): ``size`` texts at a time, each row once, whatever fails.
+
+    Of a micro-batch the first ``most`` ids are embedded, the others are dropped as from a full queue. A call
+    that fails is tried ``tries`` times; if it still fails, its rows are tried one by one, and those that fail are dead
+    letters. Everything of micro-batch N is in ``batch=N`` of the folders ``vectors``, ``dead`` and ``dropped``, which is
+    written over if it is run again, so a lost process starts at the batch it was at and nothing is there twice.
+    ``ledger`` has a row for each finished batch; batches without one are not to be read.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def tried(texts: list[str]) -> list[list[float]]:
+            for attempt in range(tries):
+                try:
+                    return embed(texts)
+                except Exception:
+                    if attempt + 1 == tries:
+                        raise
+
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at : at + size]
+                try:
+                    yield pd.DataFrame({"id": part["id"], "v": tried(part["text"].tolist()), "error": None})
+                    continue
+                except Exception:  # which of them is it?
+                    pass
+                for i, text in zip(part["id"], part["text"], strict=True):
+                    try:
+                        yield pd.DataFrame({"id": [i], "v": tried([text]), "error": [None]})
+                    except Exception as failure:
+                        yield pd.DataFrame({"id": [i], "v": [None], "error": [f"{type(failure).__name__}: {failure}"]})
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        queued = batch.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).persist()
+        try:
+            last = queued.orderBy("id").limit(most).agg(F.max("id"), F.count("*")).first()
+            taken = queued.where(F.col("id") <= F.lit(last[0])) if last[1] else queued
+            done = taken.mapInPandas(rows, "id long, v array<double>, error string")
+            done.write.mode("overwrite").parquet(f"{path}/made/batch={number}")
+            done = spark.read.schema("id long, v array<double>, error string").parquet(f"{path}/made/batch={number}")
+            done.where("v IS NOT NULL").select("id", "v").write.mode("overwrite").parquet(f"{path}/vectors/batch={number}")
+            done.where("v IS NULL").select("id", "error").write.mode("overwrite").parquet(f"{path}/dead/batch={number}")
+            queued.where(F.col("id") > F.lit(last[0])).select("id").write.mode("overwrite").parquet(f"{path}/dropped/batch={number}")
+            spark.createDataFrame([(number, last[1])], "number long, taken long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger/batch={number}")
+        finally:
+            queued.unpersist()
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
+
+
+def embedded(spark: SparkSession, path: str) -> DataFrame:
+    """(id, v) of the finished batches of ``embed_queue``; the last of an id that came again."""
+    found = spark.read.option("basePath", f"{path}/vectors").parquet(f"{path}/vectors")
+    ledger = spark.read.option("basePath", f"{path}/ledger").parquet(f"{path}/ledger").select("batch")
+    return found.join(F.broadcast(ledger), "batch", "left_semi").groupBy("id").agg(F.max_by("v", "batch").alias("v"))
+
+
 def maintenance_loop(stream: DataFrame, run: Callable[[], None], checkpoint: str, every: str = "5 minutes"):
     """Start calling ``run`` after micro-batches with rows, one at a time and not more often than ``every``."""
 
