@@ -189,6 +189,8 @@ NOTED_PLATFORMS = (
     (r"windows|native|powershell", "- Working in Windows environment"),
     (r"wsl.*windows|windows.*wsl", "- Cross-platform: WSL + Windows both referenced"),
 )
+NOTES_FRAME = ("CRITICAL_CONTEXT:\n", "\n\nKEY_FACTS:\n", "\n\nADVICE: Continue based on the preserved context above.")
+NO_NOTES = "CRITICAL_CONTEXT: No critical context detected.\nADVICE: Proceed normally."
 NOTED_PROJECT = r"(?:building|working on|creating) (\w[\w\s-]{1,30}?)(?:\.|,|!|$)"
 
 # What makes a pair of similar statements one of preferences.

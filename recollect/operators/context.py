@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from recollect.functions import patterns as P
 from recollect.functions import text as X
 from recollect.operators.retrieval import decay
+from recollect.sources.memories import enrich
 
 CHARS_PER_TOKEN, LEAST_TOKENS, MOST_TOKENS, TOKENS = 4, 100, 8_000, 2_000
+#: Turns that a compression is about; characters of a message that are stored.
+MOST_NOTED, SYNCED_CHARS = 50, 500
 
 
 def within_budget(rows: DataFrame, by: list[str], order: list[Column], line: Column, chars: int, extra: int = 0) -> DataFrame:
@@ -53,15 +56,29 @@ def synced(turns: DataFrame, user_chars: int = 500, assistant_chars: int = 500)
     return user.unionByName(reply)
 
 
+def stored_turns(turns: DataFrame, chars: int = SYNCED_CHARS) -> DataFrame:
+    """Memories (session_id, turn, role, type, text, importance, entity, attribute, context_prefix, metadata) that turns leave behind.
+
+    Either message of a turn is stored unless it is trivial itself. The type of a user's comes from all it says,
+    the rest from what is kept of it; what the assistant says is a fact.
+    """
+    said = lambda column, role, kind: turns.where(~X.is_skipped(F.col(column))).select(
+        "session_id", "turn", F.lit(role).alias("role"), kind.alias("type"), F.substring(F.trim(column), 1, chars).alias("text")
+    )
+    both = said("user_message", "user", X.categorize(F.col("user_message"))).unionByName(said("assistant_response", "assistant", F.lit("fact")))
+    origin = F.to_json(F.struct(F.col("role").alias("source"), F.lit("sync").alias("extraction_method"), F.col("session_id").alias("origin_session_id")))
+    return enrich(both, keep_type=True).withColumn("metadata", origin)
+
+
 def last_turns(turns: DataFrame, most: int) -> DataFrame:
     """The latest ``most`` turns of each session."""
     n = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("turn").desc()))
     return turns.withColumn("n", n).where(F.col("n") <= most).drop("n")
 
 
-def session_notes(turns: DataFrame) -> DataFrame:
-    """(session_id, notes): platform, projects and technologies that a session's turns name."""
-    said = turns.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "user_message"))), lambda x: x["user_message"]), " ").alias("said"))
+def session_notes(turns: DataFrame, most: int = MOST_NOTED, products: tuple[str, ...] = ()) -> DataFrame:
+    """(session_id, notes): platform, projects and technologies, ``products`` among them, that a session's last ``most`` turns name."""
+    said = last_turns(turns, most).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "user_message"))), lambda x: x["user_message"]), " ").alias("said"))
     low = F.lower("said")
     project = F.regexp_extract_all(low, F.lit(P.NOTED_PROJECT), F.lit(0))
     lines = F.concat(
@@ -71,11 +88,18 @@ def session_notes(turns: DataFrame) -> DataFrame:
             )
         ),
         F.transform(project, lambda p: F.concat(F.lit("- Project: "), p)),
-        F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), f"- Uses: {t}") for t in P.TECHNOLOGIES))),
+        F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), f"- Uses: {t}") for t in (*P.TECHNOLOGIES, *products)))),
     )
     return said.select("session_id", F.array_join(lines, "\n").alias("notes"))
 
 
+def compression_answer(turns: DataFrame, most: int = MOST_NOTED, products: tuple[str, ...] = ()) -> DataFrame:
+    """(session_id, answer): the notes of each session in the frame that a compression is answered with."""
+    notes = F.col("notes")
+    framed = F.concat(F.lit(P.NOTES_FRAME[0]), notes, F.lit(P.NOTES_FRAME[1]), notes, F.lit(P.NOTES_FRAME[2]))
+    return session_notes(turns, most, products).select("session_id", F.when(notes == "", P.NO_NOTES).otherwise(framed).alias("answer"))
+
+
 def recall_lines(sources: list[tuple[str, DataFrame]], chars: int) -> DataFrame:
     """(session_id, source, id, line) of several sources in their order, each id once, within a budget."""
     union = None

@@ -16,6 +16,8 @@ from recollect.session import written
 from recollect.sources.text_index import TextIndex
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
+#: Hits that a search by pattern gives at most, whatever it is asked for.
+MOST_HITS = 50
 #: Vectors of a block.
 BLOCK = 512
 
@@ -64,10 +66,23 @@ def normalized(hits: DataFrame) -> DataFrame:
 
 def like_search(rows: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Active rows that contain the query in either case, newest first."""
+    limit = min(max(limit, 1), MOST_HITS)
     pattern = "%" + query.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_") + "%"
     return rows.where("status = 'active'").where(F.col("text").ilike(pattern)).orderBy(F.col("created_at").desc(), "id").limit(limit)
 
 
+def pages(rows: DataFrame, by: str, offset: int, limit: int) -> DataFrame:
+    """(by, id, place, total): places offset + 1 to offset + limit of the active rows of each ``by``, newest first, and how many there are.
+
+    Totals are counted apart, so that each task sends no more than a page of each.
+    """
+    active = rows.where("status = 'active'")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.col("created_at").desc(), "id"))
+    first = active.select(by, "id", "created_at").withColumn("place", place).where(F.col("place") <= offset + limit).where(F.col("place") > offset)
+    totals = active.groupBy(by).agg(F.count("*").alias("total")).withColumnRenamed(by, "_by")
+    return first.join(totals, F.col(by).eqNullSafe(F.col("_by"))).select(by, "id", "place", "total")
+
+
 def _blocks(df: DataFrame, block: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, cells, cell, ids, v): the vectors of each value of ``by`` in blocks, one flat array for each."""
     if by:

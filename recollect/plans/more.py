@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions import patterns as P
 from recollect.functions import text as X
 from recollect.operators import context, graph, limits, mutations, retrieval
 from recollect.plans import duck as D
@@ -259,19 +260,74 @@ def indexed_vector_search(spark, d):
 
 
 @query(
-    f"""WITH {D.MEMORIES}, hits AS (SELECT memory_id AS id, count(*) AS n FROM citations WHERE kind = 'error' AND memory_id % 100 < 10 GROUP BY 1),
+    f"""WITH {D.MEMORIES}, hits AS (SELECT memory_id AS id, count(*) AS n FROM citations WHERE kind = 'error' AND memory_id // 250 % 4 = 1 GROUP BY 1),
     u AS (SELECT * FROM memories UNION ALL BY NAME SELECT id + 5000000 AS id, * EXCLUDE (id) FROM memories WHERE id % 50 = 7)
-    SELECT u.id, CASE WHEN u.type = 'event' AND u.id % 100 < 10 THEN 'archived' ELSE status END AS status,
+    SELECT u.id, CASE WHEN u.type = 'event' AND u.id // 250 % 4 = 1 THEN 'archived' ELSE status END AS status,
         recall_count + coalesce(n, 0) AS recall_count, round(CASE WHEN n IS NULL THEN importance ELSE least(1.0::DOUBLE, importance + 0.01::DOUBLE * n) END, 6) AS importance
     FROM u LEFT JOIN hits ON hits.id = u.id"""
 )
 def stored_changes(spark, d):
     """The table after recalls, changes of status and new rows, each a commit that writes the parts it touches."""
     rows = M.memories(spark, d)
-    store = Store.create(rows, f"{scratch_root(spark)}/store-{uuid.uuid4().hex}", 10)
-    few = F.col("id") % 100 < 10
+    store = Store.create(rows, f"{scratch_root(spark)}/store-{uuid.uuid4().hex}", 250)
+    few = F.col("id") % 1000 >= 250
+    few = few & (F.col("id") % 1000 < 500)
     hits = M.citations(spark, d).where("kind = 'error'").select(F.col("memory_id").alias("id")).where(few)
     store.change(hits, mutations.recalled)
     store.change(rows.where("type = 'event'").where(few).select("id", F.lit("archived").alias("new_status")), mutations.with_status)
     store.append(rows.where("id % 50 = 7").withColumn("id", F.col("id") + 5_000_000))
     return store.read().select("id", "status", "recall_count", F.round("importance", 6).alias("importance"))
+
+
+_NOT_SKIPPED = lambda m: f"NOT (trim({m}) = '' OR (NOT {D.any_of(f'trim({m})', *P.FORCE_SAVE_PATTERNS)} AND {D.any_of(f'trim({m})', *P.SKIP_PATTERNS)}))"
+
+
+@query(
+    f"""WITH {D.TURNS}, s AS (
+        SELECT session_id, turn, 'user' AS role, {D.category('user_message')} AS type, trim(user_message)[1:500] AS text FROM turns WHERE {_NOT_SKIPPED('user_message')}
+        UNION ALL SELECT session_id, turn, 'assistant', 'fact', trim(assistant_response)[1:500] FROM turns WHERE {_NOT_SKIPPED('assistant_response')}),
+    e AS (SELECT *, {D.importance_steps('text', 'type')} AS importance, {D.attribute('text')} AS attribute FROM s),
+    f AS (SELECT *, CASE WHEN attribute <> '' THEN 'user' ELSE '' END AS entity FROM e)
+    SELECT session_id, turn, role, type, text, importance, entity, attribute, {D.prefix('type', 'entity', 'attribute', 'session_id')} AS context_prefix,
+        '{{"source":"' || role || '","extraction_method":"sync","origin_session_id":"' || session_id || '"}}' AS metadata FROM f"""
+)
+def sync_stored(spark, d):
+    """What turns leave in the store, read back from it."""
+    made = context.stored_turns(M.turns(spark, d))
+    rows = made.withColumn("id", F.xxhash64("session_id", "turn", "role")).withColumn("status", F.lit("active"))
+    store = Store.create(rows, f"{scratch_root(spark)}/store-{uuid.uuid4().hex}", 2**60)
+    return store.read("active").drop("id", "status")
+
+
+_PLATFORMS = ", ".join(f"CASE WHEN {D.has('said', p)} THEN {D.lit(n)} END" for p, n in P.NOTED_PLATFORMS)
+_TOOLS = ", ".join(f"CASE WHEN contains(said, '{t}') THEN '- Uses: {t}' END" for t in (*P.TECHNOLOGIES, "tion"))
+_FRAME = [D.lit(x) for x in P.NOTES_FRAME]
+
+
+@query(
+    f"""WITH {D.TURNS}, l AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= 50),
+    s AS (SELECT session_id, lower(string_agg(user_message, ' ' ORDER BY turn)) AS said FROM l GROUP BY 1),
+    n AS (SELECT session_id, array_to_string(list_concat(list_filter([{_PLATFORMS}], lambda x: x IS NOT NULL), list_concat(
+        list_transform(regexp_extract_all(said, {D.lit(P.NOTED_PROJECT)}), lambda p: '- Project: ' || p), list_filter([{_TOOLS}], lambda x: x IS NOT NULL))), chr(10)) AS notes FROM s)
+    SELECT session_id, CASE WHEN notes = '' THEN {D.lit(P.NO_NOTES)} ELSE {_FRAME[0]} || notes || {_FRAME[1]} || notes || {_FRAME[2]} END AS answer FROM n"""
+)
+def compression_answers(spark, d):
+    """The notes of each session; a syllable stands in for a product's name."""
+    return context.compression_answer(M.turns(spark, d), products=("tion",))
+
+
+@query(
+    """WITH p AS (SELECT page_id, k, url, trim(replace(replace(substring(coalesce(html, ''), 1, 400 * k), '<', ' '), '>', ' ')) AS s FROM pages, (SELECT unnest([1, 3]) AS k) WHERE url IS NOT NULL)
+    SELECT page_id, 'T&' || k || ' ' || page_id AS title, url,
+        replace(replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')[1:300] AS snippet FROM p"""
+)
+def result_page_links(spark, d):
+    """Links of result pages made of the pages: an advertisement between two results, redirects, entities, markup in titles."""
+    pages = M.table(spark, d, "pages").where("url IS NOT NULL")
+    bare = lambda k: F.translate(F.substring(F.coalesce("html", F.lit("")), 1, 400 * k), "<>", "  ")
+    link = lambda k, to: F.concat(
+        F.lit(f'<a rel="nofollow" href="{to}'), F.url_encode("url"), F.lit(f"&rut={k}\" class='result-link'>T&amp;{k} <b>"), F.col("page_id").cast("string"),
+        F.lit("</b></a><td class='result-snippet'>"), bare(k), F.lit("</td>"),
+    )
+    page = F.concat(link(1, "//duckduckgo.com/l/?uddg="), link(2, "//duckduckgo.com/y.js?u="), link(3, "//duckduckgo.com/l/?uddg="))
+    return pages.select("page_id", F.explode(context.result_links(page)).alias("r")).select("page_id", "r.title", "r.url", "r.snippet")

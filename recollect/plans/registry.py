@@ -69,25 +69,20 @@ def stats_breakdown(spark, d):
     return counts.withColumn("active_total", F.expr("sum(CASE WHEN status = 'active' THEN n END) OVER ()"))
 
 
-@query(
-    f"""WITH {D.MEMORIES}, s AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id) AS place, count(*) OVER (PARTITION BY session_id) AS total
-        FROM memories WHERE status = 'active') SELECT session_id, id, place, total FROM s WHERE place BETWEEN 6 AND 25"""
-)
+def _pages_sql(by: str) -> str:
+    """The second page of 20 after 5 rows of every ``by``, newest first, with its total."""
+    return f"""WITH {D.MEMORIES}, s AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY created_at DESC, id) AS place, count(*) OVER (PARTITION BY {by}) AS total
+        FROM memories WHERE status = 'active') SELECT {by}, id, place, total FROM s WHERE place BETWEEN 6 AND 25"""
+
+
+@query(_pages_sql("session_id"))
 def session_pages(spark, d):
-    """The second page of 20 after 5 rows of every session, newest first, with the session's total."""
-    w = F.expr("count(*) OVER (PARTITION BY session_id)")
-    place = F.expr("row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id)")
-    rows = M.memories(spark, d).where("status = 'active'").select("session_id", "id", place.alias("place"), w.alias("total"))
-    return rows.where("place BETWEEN 6 AND 25")
+    return retrieval.pages(M.memories(spark, d), "session_id", 5, 20)
 
 
-@query(
-    f"""WITH {D.MEMORIES}, s AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id) AS place FROM memories WHERE status = 'active')
-        SELECT type, id, place FROM s WHERE place <= 20"""
-)
+@query(_pages_sql("type"))
 def type_pages(spark, d):
-    place = F.expr("row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id)")
-    return M.memories(spark, d).where("status = 'active'").select("type", "id", place.alias("place")).where("place <= 20")
+    return retrieval.pages(M.memories(spark, d), "type", 5, 20)
 
 
 @query(f"WITH {D.MEMORIES} SELECT id, {DAY('valid_until')} FROM memories WHERE status = 'active' AND (valid_until IS NULL OR valid_until > {D.NOW})")
@@ -527,7 +522,8 @@ def feedback_boost(spark, d):
     f"""WITH {D.MEMORIES}, p AS (SELECT id AS old_id, id + 2 AS new_id FROM memories WHERE status = 'active' AND id + 2 IN (SELECT id FROM memories) AND type = 'preference')
     SELECT id, CASE WHEN o.new_id IS NOT NULL THEN 'superseded' ELSE status END AS status, coalesce(o.new_id, superseded_by) AS superseded_by,
         strftime(CASE WHEN o.new_id IS NOT NULL THEN {D.NOW} ELSE valid_until END, '%Y-%m-%d') AS valid_until,
-        CASE WHEN n.old_id IS NOT NULL THEN '2024-01-31' END AS valid_from, coalesce(CAST(n.old_id AS VARCHAR), '') AS sources
+        CASE WHEN n.old_id IS NOT NULL THEN '2024-01-31' END AS valid_from, coalesce(CAST(n.old_id AS VARCHAR), '') AS sources,
+        CASE WHEN n.old_id IS NOT NULL THEN '{{"supersedes":' || n.old_id || ',"reason":"newer"}}' ELSE '{{"use_count":' || use_count || '}}' END AS metadata
     FROM memories LEFT JOIN p o ON o.old_id = id LEFT JOIN p n ON n.new_id = id"""
 )
 def supersede(spark, d):
@@ -536,7 +532,7 @@ def supersede(spark, d):
     pairs = rows.where("status = 'active' AND type = 'preference'").select(F.col("id").alias("old_id"), (F.col("id") + 2).alias("new_id"), F.lit("newer").alias("reason"))
     after = mutations.superseded(rows, pairs.join(ids, "new_id", "left_semi"), M.as_of())
     sources = F.coalesce(F.array_join(F.transform("source_memory_ids", lambda x: x.cast("string")), ","), F.lit("")).alias("sources")
-    return after.select("id", "status", "superseded_by", _day("valid_until"), _day("valid_from"), sources)
+    return after.select("id", "status", "superseded_by", _day("valid_until"), _day("valid_from"), sources, "metadata")
 
 
 @query(f"WITH {D.MEMORIES} SELECT id, status FROM memories WHERE status <> 'invalid' OR id IN (SELECT superseded_by FROM memories)")
@@ -711,16 +707,17 @@ def url_rules(spark, d):
 
 
 @query(
-    f"""WITH {_URLS}, u AS (
-        SELECT page_id % 5 AS query_id, 'a' || page_id AS title, url, 0 AS place, page_id AS position FROM urls WHERE page_id < 5
-        UNION ALL SELECT page_id % 5, 'l' || page_id, url, 2, page_id FROM urls WHERE page_id >= 5),
+    f"""WITH {_URLS}, v AS (SELECT page_id, page_id // 16 AS query_id, CASE WHEN page_id % 7 = 3 THEN 'https://duckduckgo.com/y.js?ad=' || page_id ELSE url END AS url FROM urls),
+    u AS (SELECT query_id, substr('aabllllllllllllll', CAST(page_id % 16 + 1 AS INT), 1) || page_id AS title, url, CASE WHEN page_id % 16 < 2 THEN 0 WHEN page_id % 16 = 2 THEN 1 ELSE 2 END AS place, page_id AS position FROM v),
     t AS (SELECT *, CASE WHEN contains(url, 'uddg=') THEN url_decode(regexp_extract(url, 'uddg=([^&]*)', 1)) WHEN starts_with(url, '//') THEN 'https:' || url ELSE url END AS target FROM u)
-    SELECT query_id, title, target AS url, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, position) AS INT) AS rank FROM t QUALIFY rank <= 10"""
+    SELECT query_id, title, target AS url, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, position) AS INT) AS rank FROM t WHERE NOT contains(target, 'duckduckgo.com/y.js') QUALIFY rank <= 10"""
 )
 def web_search_merge(spark, d):
-    rows = _urls(spark, d)
-    part = lambda where, mark: rows.where(where).select((F.col("page_id") % 5).alias("query_id"), F.concat(F.lit(mark), F.col("page_id").cast("string")).alias("title"), "url", F.col("page_id").alias("position"))
-    return context.merged_search(part("page_id < 5", "a"), part("false", "b"), part("page_id >= 5", "l"), 10)
+    """Abstracts, an answer and links, among them advertisements, of searches with sixteen results."""
+    ad = F.concat(F.lit("https://duckduckgo.com/y.js?ad="), F.col("page_id").cast("string"))
+    rows = _urls(spark, d).withColumn("url", F.when(F.col("page_id") % 7 == 3, ad).otherwise(F.col("url"))).withColumn("k", F.col("page_id") % 16)
+    part = lambda where, mark: rows.where(where).select(F.expr("page_id div 16").alias("query_id"), F.concat(F.lit(mark), F.col("page_id").cast("string")).alias("title"), "url", F.col("page_id").alias("position"))
+    return context.merged_search(part("k < 2", "a"), part("k = 2", "b"), part("k > 2", "l"), 10)
 
 
 # --- context, streams --------------------------------------------------------
