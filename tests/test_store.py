@@ -1,7 +1,7 @@
 """The stored table, the limits of requests over stored events, and the queue of rows to embed."""
 
 import random
-from datetime import datetime, timedelta
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +10,6 @@ from recollect.operators import limits, mutations
 from recollect.sources.store import Store
 from recollect.streaming import ingest
 
-START = datetime(2024, 1, 1)
-
 
 def table(spark, n):
     rows = [(i, "active" if i % 5 else "archived", f"t{i}", 0, 0.5) for i in range(n)]
@@ -114,8 +112,6 @@ def test_embed_queue_is_bounded_and_writes_once(spark, tmp_path):
     assert {r.id for r in dead} == bad and all(r.error == "ValueError: bad text" for r in dead)
     assert {r.id for r in spark.read.parquet(folder("out/dropped")).collect()} == set(range(50, 60))
     # a process that died before its batch was noted runs it again
-    import shutil
-
     shutil.rmtree(f"{tmp_path}/cp/commits")
     spark.createDataFrame([(100, "abc")], "id long, text string").write.mode("append").parquet(folder("in"))
     q = ingest.embed_queue(source(), embed, folder("out"), folder("cp"), most=50, size=10, tries=2)
