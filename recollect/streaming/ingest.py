@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recollect.operators.incremental import Lease
+
 WINDOW_SECONDS, MOST_REQUESTS = 60, 120
 MOST_FETCHES = 10
 TOPIC_GAP_SECONDS, MOST_TOPICS, IDLE_SECONDS = 30, 50, 3600
@@ -197,11 +199,20 @@ def embedded(spark: SparkSession, path: str) -> DataFrame:
     return found.join(F.broadcast(ledger), "batch", "left_semi").groupBy("id").agg(F.max_by("v", "batch").alias("v"))
 
 
-def maintenance_loop(stream: DataFrame, run: Callable[[], None], checkpoint: str, every: str = "5 minutes"):
-    """Start calling ``run`` after micro-batches with rows, one at a time and not more often than ``every``."""
+def maintenance_loop(stream: DataFrame, run: Callable[[], None], checkpoint: str, every: str = "5 minutes", lease: Lease | None = None):
+    """Start calling ``run`` after micro-batches with rows, one at a time and not more often than ``every``.
+
+    With a lease, a run that another process is at is left to it; the rows are then seen by
+    the next one, as ``run`` looks at all that has changed.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
+        if batch.isEmpty() or (lease is not None and not lease.take()):
+            return
+        try:
             run()
+        finally:
+            if lease is not None:
+                lease.give()
 
     return stream.writeStream.foreachBatch(one).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()
