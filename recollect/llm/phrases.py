@@ -61,7 +61,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal nth
         nth += 1
         sizes.pop(lang)
-        data = zstandard.ZstdCompressor(level=3).compress(b"\n".join(held.pop(lang)))
+        data = zstandard.ZstdCompressor(level=9).compress(b"\n".join(held.pop(lang)))
         columns = [pa.array([nth], pa.int64()), pa.array([lang]), pa.array([numbers.pop(lang)], pa.int64()), pa.array([data], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "lang", "n_words", "data"])
 
@@ -100,7 +100,7 @@ class Grams:
         self.names = [b"\n", *names[:line], *names[line + 1 :]]
         self.tokens = tokens.indices.to_numpy().astype(np.int64)
         self.tokens = np.where(self.tokens == line, 0, self.tokens + (self.tokens < line))
-        seed = xxhash.xxh64_intdigest((row["lang"] or "").encode())
+        seed = xxhash.xxh64_intdigest(row["lang"].encode())
         self.of_name = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in self.names), np.uint64, len(self.names))
         word = self.of_name[self.tokens]
         good = self.tokens > 0
@@ -162,15 +162,8 @@ def _counted(bits: int, most: int, least: int):
             counts += np.split(matches, np.cumsum([len(x) for x in longer])[:-1])
         names = pa.array(grams.names, pa.binary())
         phrases = [pc.binary_join_element_wise(*(names.take(pa.array(level[:, j])) for j in range(level.shape[1])), b" ") for level in found[: len(counts)]]
-        size = sum(map(len, phrases))
-        return pa.table(
-            {
-                "lang": pa.array([row["lang"]] * size, pa.string()),
-                "words": pa.array(np.repeat(np.arange(1, len(phrases) + 1), [len(x) for x in phrases]), pa.int32()),
-                "phrase": pa.chunked_array(phrases, pa.binary()).cast(pa.string()),
-                "f": pa.array(np.concatenate(counts), pa.int64()),
-            }
-        )
+        keys = [pc.binary_join_element_wise(pa.scalar(row["lang"].encode() + b"\t"), x, b"") for x in phrases]
+        return pa.table({"key": pa.chunked_array(keys, pa.binary()).cast(pa.string()), "f": pa.array(np.concatenate(counts), pa.int64())})
 
     return run
 
@@ -186,8 +179,11 @@ def counts(docs: DataFrame, most: int = MOST, least: int = LEAST) -> tuple[DataF
     bits = min(60, max(16, int(size * CELLS).bit_length()))
     net = Network.of(max(1, -(-size // RANGE_BYTES)), bits)
     answers = counted(shards.select("block", "lang", "data"), lambda row: Grams(row, most).cells(bits), net)
-    own = answers.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_counted(bits, most, least), COUNT_SCHEMA)
-    sums = own.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    own = answers.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_counted(bits, most, least), "key string, f long")
+    # a language and a phrase travel as one string; there is no tab in a phrase
+    sums = own.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    phrase = F.substring_index("key", "\t", -1)
+    sums = sums.select(F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), F.size(F.split(phrase, " ")).alias("words"), phrase.alias("phrase"), "f")
     return written(sums, "phrase-counts"), shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
 
