@@ -21,9 +21,11 @@ from recollect.functions import text as X
 from recollect.session import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-TIERS, CHUNK_ROWS = 32, 512
+TIERS, CHUNK_ROWS = 16, 8192
 #: Postings that are looked at for a first estimate of a query's k-th score, and candidates scored for it.
 SEED_POSTINGS, SEED_ROWS = 1000, 4
+#: Up to so many postings of all queries' terms are added up as they are, which then is less work than finding out what to skip.
+DIRECT_POSTINGS = 20_000_000
 
 POSTINGS = "term string, tier int, chunk long, chunks long, mean double, n long, peak double, posts array<struct<id: long, tf: long, len: int>>, run long"
 TERMS = "term string, df long, run long"
@@ -123,7 +125,7 @@ class TextIndex:
 
     def _posts(self, packed: DataFrame) -> DataFrame:
         """The living postings of rows of postings, other columns kept."""
-        kept = [c for c in packed.columns if c not in ("posts", "n", "peak", "tier", "chunk", "chunks", "mean")]
+        kept = [c for c in packed.columns if c not in ("posts", "n", "peak", "chunk", "chunks", "mean")]
         found = packed.select(*kept, F.explode("posts").alias("p")).select(*kept, "p.id", "p.tf", "p.len")
         if all(r["replaces"] or r["n"] >= 0 for r in self._runs()):
             return found
@@ -150,10 +152,10 @@ class TextIndex:
         places = places.groupBy("chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk")).agg(F.collect_list("id").alias("ids"))
         packed = self._read("postings", POSTINGS).join(asked.select("term").distinct(), "term", "left_semi").join(places, ["chunks", "chunk"])
         packed = packed.where(F.arrays_overlap(F.transform("posts", lambda p: p["id"]), "ids"))
-        posts = F.filter("posts", lambda p: F.array_contains("ids", p["id"]))
-        found = self._posts(packed.select("term", "run", posts.alias("posts")))
+        found = self._posts(packed.select("term", "run", "posts"))
         part = F.col("weight") * _impact(F.col("tf"), F.col("len"), F.lit(mean))
-        each = pairs.join(found, "id").join(asked, ["query_id", "term"])
+        # a row for each candidate and term of its query, not for each term of the candidate
+        each = pairs.join(asked, "query_id").join(found, ["id", "term"])
         return each.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"), F.count("*").alias("found"), F.first("terms").alias("terms"))
 
     def _levels(self, asked: DataFrame, mean: float) -> DataFrame:
@@ -164,14 +166,14 @@ class TextIndex:
         tiers = tiers.groupBy("term", "tier").agg(F.sum("n").alias("n"), F.max(bound).alias("bound"), F.max("chunks").alias("chunks"))
         return asked.join(tiers, "term").select("query_id", "term", "weight", "df", "terms", "tier", "n", "chunks", (F.col("weight") * F.col("bound")).alias("top"))
 
-    def _partial(self, chosen: DataFrame, part: Column, within: Callable[[DataFrame], DataFrame], chunk: Column | None = None) -> DataFrame:
+    def _partial(self, chosen: DataFrame, part: Column, within: Callable[[DataFrame], DataFrame], mean: float, chunk: Column | None = None) -> DataFrame:
         """(query_id, id, partial) over the postings of chosen (query_id, term, tier, ..)."""
         met = self._read("postings", POSTINGS).drop("n", "chunks").join(chosen, ["term", "tier"])
         found = within(self._posts(met if chunk is None else met.where(chunk)))
-        return found.groupBy("query_id", "id").agg(F.sum(part).alias("partial"))
+        return found.groupBy("query_id", "id").agg(F.sum(part).alias("partial"), F.sum(F.col("weight") * _impact(F.col("tf"), F.col("len"), F.lit(mean))).alias("sure"))
 
-    def _candidates(self, asked: DataFrame, limit: int, within: Callable[[DataFrame], DataFrame], mean: float) -> tuple[DataFrame, DataFrame]:
-        """((query_id, id) that can be among the best, (query_id, n, read) of postings)."""
+    def _candidates(self, asked: DataFrame, limit: int, within: Callable[[DataFrame], DataFrame], mean: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """((query_id, id, sure) that can be among the best, (query_id, term, tier, weight) that was skipped, (query_id, postings, read))."""
         levels = written(self._levels(asked, mean), "index-levels")
         part = F.col("weight") * _impact(F.col("tf"), F.col("len"), F.lit(mean))
         # a first estimate: the whole scores of a few rows from the tiers that promise most
@@ -179,7 +181,7 @@ class TextIndex:
         before = F.coalesce(F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         seeds = levels.withColumn("before", before).where(F.col("before") < SEED_POSTINGS)
         some = F.col("chunk") < F.greatest(F.lit(1), F.ceil(F.col("chunks") * SEED_POSTINGS / F.col("n")))
-        seeds = self._partial(seeds.select("query_id", "term", "tier", "weight", "n", "chunks"), part, within, some)
+        seeds = self._partial(seeds.select("query_id", "term", "tier", "weight", "n", "chunks"), part, within, mean, some)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("partial").desc(), "id"))
         seeds = written(seeds.withColumn("rank", rank).where(F.col("rank") <= SEED_ROWS * limit).select("query_id", "id"), "index-seeds")
         by_score = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bm25").desc()))
@@ -195,10 +197,11 @@ class TextIndex:
         of_term = judged.groupBy("query_id", "term").agg(F.max("skipped").alias("skip"))
         unseen = of_term.groupBy("query_id").agg(F.sum("skip").alias("unseen"))
         read = judged.where("skipped = 0").select("query_id", "term", "tier", "weight").join(of_term, ["query_id", "term"])
-        found = self._partial(read, part - F.col("skip"), within).join(level.select("query_id", "least"), "query_id").join(unseen, "query_id")
-        found = found.where(F.col("least").isNull() | (F.col("partial") + F.col("unseen") >= F.col("least"))).select("query_id", "id")
+        found = self._partial(read, part - F.col("skip"), within, mean).join(level.select("query_id", "least"), "query_id").join(unseen, "query_id")
+        found = found.where(F.col("least").isNull() | (F.col("partial") + F.col("unseen") >= F.col("least"))).select("query_id", "id", "sure")
         cost = judged.groupBy("query_id").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("skipped") == 0, F.col("n")).otherwise(0)).alias("read"))
-        return written(found, "index-candidates"), cost
+        rest = judged.where("skipped > 0").select("query_id", "term", "tier", "weight")
+        return written(found, "index-candidates"), rest, cost
 
     def search(self, queries: DataFrame, limit: int = 10, match: str = "any", among: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
         """(query_id, id, bm25, rank) of the ``limit`` best rows for each of queries (query_id, text), exact.
@@ -215,10 +218,20 @@ class TextIndex:
             rarest = asked.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).where("nth = 1")
             packed = self._read("postings", POSTINGS).join(rarest.select("query_id", "term"), "term")
             pairs = self._posts(packed.select("query_id", "run", "posts")).select("query_id", "id")
-            pairs = written(within(pairs), "index-candidates")
+            scored = self._scored(asked, written(within(pairs), "index-candidates"), mean)
+        elif (asked.agg(F.sum("df")).first()[0] or 0) <= DIRECT_POSTINGS:
+            packed = self._read("postings", POSTINGS).join(asked, "term").select("query_id", "weight", "run", "posts")
+            part = F.col("weight") * _impact(F.col("tf"), F.col("len"), F.lit(mean))
+            scored = within(self._posts(packed)).groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
         else:
-            pairs, _ = self._candidates(asked, limit, within, mean)
-        scored = self._scored(asked, pairs, mean)
+            pairs, rest, _ = self._candidates(asked, limit, within, mean)
+            # what the candidates have in the tiers that were skipped
+            tiers = rest.select("term", "tier").distinct()
+            posts = self._posts(self._read("postings", POSTINGS).join(tiers, ["term", "tier"], "left_semi").select("term", "tier", "run", "posts"))
+            wanted = pairs.select("query_id", "id").join(rest.groupBy("query_id", "term").agg(F.collect_set("tier").alias("tiers"), F.first("weight").alias("weight")), "query_id")
+            part = F.col("weight") * _impact(F.col("tf"), F.col("len"), F.lit(mean))
+            more = wanted.join(posts, ["id", "term"]).where(F.array_contains("tiers", F.col("tier"))).groupBy("query_id", "id").agg(F.sum(part).alias("more"))
+            scored = pairs.join(more, ["query_id", "id"], "left").select("query_id", "id", (F.col("sure") + F.coalesce("more", F.lit(0.0))).alias("bm25"))
         scored = scored.where("found = terms") if match == "all" else scored
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "id"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "bm25", "rank")
@@ -227,5 +240,5 @@ class TextIndex:
         """(query_id, postings, read, scored): postings of each query's terms, those a search reads, rows it scores."""
         n, length = self._sizes()
         asked = written(self.weights(queries), "index-asked")
-        pairs, cost = self._candidates(asked, limit, _within(asked, among, ()), max(length, 1) / max(n, 1))
+        pairs, _, cost = self._candidates(asked, limit, _within(asked, among, ()), max(length, 1) / max(n, 1))
         return cost.join(pairs.groupBy("query_id").agg(F.count("*").alias("scored")), "query_id", "left")

@@ -59,6 +59,7 @@ def frame(spark, rows):
 
 def test_search_through_changes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(text_index, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(text_index, "DIRECT_POSTINGS", 0)
     monkeypatch.setattr(text_index, "SEED_POSTINGS", 40)
     rng = random.Random(1)
     rows = {i: text(rng, rng.randint(1, 60)) for i in range(400)} | {400: None, 401: "", 402: "cafe!"}
@@ -79,6 +80,8 @@ def test_search_through_changes(spark, tmp_path, monkeypatch):
     index.update(frame(spark, old), frame(spark, new))
     now |= new
     close(found(index, spark, queries, 5), best(now, queries, 5))
+    monkeypatch.setattr(text_index, "DIRECT_POSTINGS", 10**9)
+    close(found(index, spark, queries, 5), best(now, queries, 5))
     index.merge()
     assert len(index._runs()) == 1
     close(found(index, spark, queries, 5), best(now, queries, 5))
