@@ -41,6 +41,9 @@ _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Piece ends become line feeds, tabs spaces.
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t" + _UPPER, b"\n" * 9 + b" " + _LOWER)
 
+#: Looks for what repeats in the whole shard, as copies do.
+_TIGHT = zstandard.ZstdCompressionParameters.from_level(12, window_log=24, enable_ldm=True)
+
 SHARD_SCHEMA = "block long, lang string, n_words long, data binary"
 COUNT_SCHEMA = "lang string, words int, phrase string, f long"
 
@@ -61,7 +64,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal nth
         nth += 1
         sizes.pop(lang)
-        data = zstandard.ZstdCompressor(level=9).compress(b"\n".join(held.pop(lang)))
+        data = zstandard.ZstdCompressor(compression_params=_TIGHT).compress(b"\n".join(held.pop(lang)))
         columns = [pa.array([nth], pa.int64()), pa.array([lang]), pa.array([numbers.pop(lang)], pa.int64()), pa.array([data], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "lang", "n_words", "data"])
 
@@ -115,7 +118,10 @@ class Grams:
     def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(cells that phrases of the shard fall into, ascending, how many of its phrases do)."""
         every = np.concatenate([h[h > 0] for h in self.hashes])
-        return np.unique(every >> np.uint64(64 - bits), return_counts=True)
+        every >>= np.uint64(64 - bits)
+        every.sort()  # in place, as this is the largest array of a shard
+        new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        return every[new], np.diff(np.append(new, len(every)))
 
     def candidates(self, bits: int, cells: np.ndarray, bounds: np.ndarray, least: int) -> list[np.ndarray]:
         """The distinct phrases of each length whose cell's sum reaches ``least``: a row of word numbers each."""
@@ -148,6 +154,7 @@ def _counted(bits: int, most: int, least: int):
         grams = Grams(row, most)
         cells, _ = grams.cells(bits)
         found = grams.candidates(bits, cells, counts_of(answers)[0], least)
+        del grams.hashes
         counts = [np.bincount(grams.tokens, minlength=len(grams.names))[found[0][:, 0]]]
         longer = found[1:]
         if sum(map(len, longer)):
