@@ -102,8 +102,9 @@ class TextIndex:
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(*paths)
 
     def _write(self, rows: DataFrame, run: int, sign: int, replaces: bool = False) -> None:
-        sizes = rows.agg(F.count("*"), F.sum(F.size(X.tokens(F.coalesce("text", F.lit("")))))).first()
-        self._store(written(counted(rows.where("text IS NOT NULL")), "index-terms"), run, sign, replaces, (sign * sizes[0], sign * (sizes[1] or 0)), rows.select("id"))
+        found = written(counted(rows.where("text IS NOT NULL")), "index-terms")
+        n, length = rows.count(), found.agg(F.sum("tf")).first()[0] or 0
+        self._store(found, run, sign, replaces, (sign * n, sign * length), rows.select("id"))
 
     def _store(self, found: DataFrame, run: int, sign: int, replaces: bool, sizes: tuple[int, int], ids: DataFrame | None = None) -> None:
         at = lambda what: f"{self.path}/{what}/run={run}"
