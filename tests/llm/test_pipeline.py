@@ -50,7 +50,7 @@ def test_near_copies_go(spark):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES if q.startswith("op")} and "pipeline" in queries.QUERIES
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES if q.startswith("op")} and "pipeline" in queries.QUERIES
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
