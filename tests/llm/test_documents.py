@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 import textwrap
 import zlib
@@ -494,6 +495,61 @@ def test_verbatim_passages_whatever_is_a_name(spark):
     assert set(found) == {1, 2, 3, 4, 5} and all(found[i].matched_tokens == found[i].item_tokens and found[i].exact for i in (1, 2, 3, 4))
 
 
+def test_values_of_several_words(spark):
+    asked = planted.of_kinds()
+    bench = spark.createDataFrame([(i, item) for i, (_, item, _) in enumerate(asked)], "item_id long, text string")
+    made = [(i, f"{tricky.text(i, 30)} {text} {tricky.text(900 + i, 20)}") for i, (_, _, text) in enumerate(asked)]
+    rng = random.Random(8)
+    names = [x for kind in planted.KINDS.values() for values in kind for x in values]
+    # prose with as many names and numbers as questions have
+    clean = [(1000 + i, " ".join(w if rng.random() > 0.2 else rng.choice(names) for w in tricky.text(3000 + i, 300).split())) for i in range(100)]
+    found = decontam.find(spark.createDataFrame(made + clean, "doc_id long, text string"), bench).collect()
+    hits = {r.doc_id for r in found if r.doc_id == r.item_id}
+    for kind in planted.OF_KINDS:
+        ours = [i for i, x in enumerate(asked) if x[0] == kind]
+        print(kind, len(hits & set(ours)), len(ours))
+        assert len(hits & set(ours)) >= 0.9 * len(ours)
+    assert len(asked) >= 300 and not any(r.doc_id >= 1000 for r in found)
+    # questions of other templates aren't found
+    same = lambda i, j: i // 10 == j // 10
+    assert all(same(r.doc_id, r.item_id) for r in found)
+
+
+def test_slots_of_words():
+    def slots(text):
+        words, slots = decontam.Canonical().tokens([text.encode()])
+        return slots.kinds.tolist(), np.diff(slots.starts).tolist(), len(words.kinds)
+
+    K = decontam
+    assert slots("to New York by 9") == ([K.LITERAL, K.NAME, K.LITERAL, K.NUMBER], [1, 2, 1, 1], 5)
+    assert slots("60cm") == ([K.MEASURE], [1], 1) and slots("80 cm") == ([K.MEASURE], [2], 2) and slots("twenty one km") == ([K.MEASURE], [3], 3)
+    assert slots("3 m - m") == ([K.MEASURE, K.LITERAL], [2, 1], 3) and slots("3 + 4 = x") == ([K.NUMBER, K.LITERAL, K.NUMBER, K.LITERAL, K.LITERAL], [1, 0, 1, 0, 1], 3)
+    assert slots("IBM says") == ([K.NAME, K.LITERAL], [1, 1], 2) and slots("") == ([], [], 0) and slots("- | +") == ([], [], 0)
+    assert slots("in Rio de Janeiro de") == ([K.LITERAL, K.NAME, K.LITERAL], [1, 3, 1], 5) and slots("Van der la Berg") == ([K.NAME], [4], 4)
+    both = decontam.Canonical().tokens([b"seen New", b"York", b"", b"a"])
+    assert both[1].owner.tolist() == [0, 0, 1, 3] and both[1].starts.tolist() == [0, 1, 2, 3, 4]
+
+
+def test_probes_of_values(spark):
+    boat = "The old boat leaves the quiet harbour of New York at 9 and it reaches the next port after 14 hours."
+    chips = "IBM sells 12 chips to NASA for 300 dollars in May and asks what the buyer will pay for another 40"
+    asked = [(1, boat), (2, chips), (3, "What is the capital of France?"), (4, "New York or Boston in 1999")]
+    changed = [
+        (1, f"x {boat.replace('New York', 'Paris').replace('9', '7').replace('14', '11')} y", 21),
+        (2, f"x {chips.replace('IBM', 'AMD').replace('NASA', 'ESA').replace('12', '15').replace('300', '200').replace('May', 'June')} y", 21),
+        (3, "x What is the capital of Spain? y", 6),
+        (4, "x Paris or Rome in 2004 y", None),
+        # one place for two values of the item stands, one value for two places doesn't
+        (5, f"x {boat.replace('New York', 'San Jose')} y", 21),
+    ]
+    bench = spark.createDataFrame(asked, "item_id long, text string")
+    docs = spark.createDataFrame([x[:2] for x in changed] + [(6, "x What is the capital of France? y"), (6, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontam.find(docs, bench).collect()}
+    assert {k: found[k].matched_tokens if k in found else None for k, _, _ in changed} == {k: n for k, _, n in changed}
+    assert found[6].exact and not found[3].exact and found[1].item_at == 0 and found[1].doc_at == 1
+    assert {r.text for r in decontam.drop_contaminated(docs, bench).collect()} == {changed[2][1], changed[3][1], None}
+
+
 def test_licenses(spark, docs):
     mit = licenses.NOTICES["MIT"][-1]
     made = [
