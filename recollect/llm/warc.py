@@ -24,7 +24,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -247,6 +247,32 @@ def _head_end(data: bytes, at: int) -> tuple[int, int] | None:
     return (end.start(), end.end() - end.start()) if end else None
 
 
+def _frame(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
+    """(header fields, where the block begins, its size) of the record at ``at``; None if it is cut or altered."""
+    start = _START.match(data, at)
+    head = _head_end(data, start.end()) if start else None
+    fields = _fields(data[start.end() : head[0]]) if head else {}
+    size, number = _number(fields.get("content-length")), fields.get("warc-segment-number")
+    stated = fields.get("warc-record-id") and fields.get("warc-type")
+    if size is None or not stated or (number is not None and not _number(number)) or head[0] + head[1] + size > len(data):
+        return None
+    return fields, head[0] + head[1], size
+
+
+def _whole(data: bytes) -> bool:
+    """Whether the bytes are whole records and nothing else."""
+    at = 0
+    while at < len(data):
+        if data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+            continue
+        frame = _frame(data, at)
+        if frame is None:
+            return False
+        at = frame[1] + frame[2]
+    return True
+
+
 def parse_archive(data: bytes) -> Iterator[dict | None]:
     """The records of an archive's bytes, framed by their Content-Length; None for each piece that can't be read.
 
@@ -258,29 +284,25 @@ def parse_archive(data: bytes) -> Iterator[dict | None]:
         if data[at : at + 1] in (b"\r", b"\n"):  # line ends between records, however many
             at += 1
             continue
-        start = _START.match(data, at)
-        head = _head_end(data, start.end()) if start else None
-        fields = _fields(data[start.end() : head[0]]) if head else {}
-        size = _number(fields.get("content-length"))
-        number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
-        record, kind = fields.get("warc-record-id"), fields.get("warc-type")
-        if size is None or not record or not kind or (number is not None and not _number(number)) or head[0] + head[1] + size > len(data):
+        frame = _frame(data, at)
+        if frame is None:
             yield None
             again = _START.search(data, at + 1)
             if not again:
                 return
             at = again.start()
             continue
-        begin = head[0] + head[1]
+        fields, begin, size = frame
+        record = fields["warc-record-id"]
         yield {
             "record_id": record,
-            "kind": kind.lower(),
+            "kind": fields["warc-type"].lower(),
             "page_id": _page(fields.get("page-id")),
             "url": fields.get("warc-target-uri"),
             "refers_to": fields.get("warc-refers-to"),
             "origin": fields.get("warc-segment-origin-id", record),
-            "number": _number(number),
-            "total": _number(total),
+            "number": _number(fields.get("warc-segment-number")),
+            "total": _number(fields.get("warc-segment-total-length")),
             "block": data[begin : begin + size],
         }
         at = begin + size
@@ -306,37 +328,44 @@ def _first_member(data: bytes, at: int) -> tuple[bytes | None, int]:
     return (b"".join(out), read - len(packer.unused_data)) if packer.eof else (None, at)
 
 
-def unpacked(data: bytes) -> Iterator[bytes | None]:
-    """The contents of runs of whole gzip members; None for each that is cut or altered. Other data is given as it is."""
+def members(data: bytes) -> Iterator[bytes | None]:
+    """The content of each gzip member; None for each that is cut or altered. Other data is given as it is."""
     if data[:3] != _MAGIC:
         yield data
         return
-    parts: list[bytes] = []
     at = 0
     while 0 <= at < len(data):
         part, end = _first_member(data, at)
-        if part is not None:
-            parts.append(part)
-            at = end
-            if at < len(data) and data[at : at + 3] != _MAGIC:
-                at = data.find(_MAGIC, at)
-            continue
-        if parts:
-            yield b"".join(parts)
-        parts = []
-        yield None
-        at = data.find(_MAGIC, at + 1)
-    if parts:
-        yield b"".join(parts)
+        yield part
+        at = data.find(_MAGIC, at + 1) if part is None else end
+        if 0 <= at < len(data) and data[at : at + 3] != _MAGIC:
+            at = data.find(_MAGIC, at)
+
+
+def unpacked(data: bytes) -> Iterator[bytes | None]:
+    """The contents of runs of whole gzip members, joined; None for each that is cut or altered."""
+    for whole, run in groupby(members(data), lambda part: part is not None):
+        yield from [b"".join(run)] if whole else run
 
 
 def read_records(data: bytes) -> Iterator[dict | None]:
-    """The records of an archive, packed or not; None for each piece that can't be read."""
-    for part in unpacked(data):
+    """The records of an archive, packed or not; None for each piece that can't be read.
+
+    Members that are whole records are read one by one; only where a record goes on in the next member are they joined.
+    """
+    kept: list[bytes] = []
+    for part in members(data):
+        if kept and (part is None or _START.match(part)) and (part is None or _whole(b"".join(kept))):
+            yield from parse_archive(b"".join(kept))
+            kept = []
         if part is None:
             yield None
+        elif kept or not _whole(part):
+            kept.append(part)
         else:
             yield from parse_archive(part)
+    if kept:
+        yield from parse_archive(b"".join(kept))
 
 
 _ARROW_RECORD = pa.schema(
@@ -378,7 +407,7 @@ def archive_report(spark: SparkSession, path: str) -> DataFrame:
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("block")
-        payloads = [None if x is None else http_payload(x) for x in batch.column(at).to_pylist()]
+        payloads = [None if x is None else http_payload(b"".join(x)) for x in batch.column(at).to_pylist()]
         yield batch.set_column(at, "payload", pa.array(payloads, pa.binary()))
 
 
@@ -392,7 +421,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     records = files.mapInArrow(_parse, RECORD_SCHEMA)
-    whole = records.where("number IS NULL AND kind IN ('response', 'revisit')").select("record_id", "kind", "page_id", "url", "refers_to", "block")
+    whole = records.where("number IS NULL AND kind IN ('response', 'revisit')").select("record_id", "kind", "page_id", "url", "refers_to", F.array("block").alias("block"))
     parts = F.array_distinct(F.array_sort(F.collect_list(F.struct("number", "total", "block"))))
     cut = (
         records.where("number IS NOT NULL")
@@ -403,12 +432,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         )
         .where("kind IN ('response', 'revisit')")
     )
-    joined = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["block"]))
     stated = F.element_at("parts", -1)
     # numbers from 1 on without a gap; the last one states the total
-    good = (F.size("parts") == stated["number"]) & (F.element_at("parts", 1)["number"] == 1) & (stated["total"] == F.octet_length("joined"))
-    cut = cut.withColumn("joined", joined).select(
-        F.col("origin").alias("record_id"), "kind", "page_id", "url", "refers_to", F.when(good, F.col("joined")).alias("block")
-    )
+    good = (F.size("parts") == stated["number"]) & (F.element_at("parts", 1)["number"] == 1) & (stated["total"] == length)
+    # segments are joined where they are decoded, each byte once
+    cut = cut.select(F.col("origin").alias("record_id"), "kind", "page_id", "url", "refers_to", F.when(good, F.col("parts.block")).alias("block"))
     fields = "record_id string, kind string, page_id long, url string, refers_to string, payload binary"
     return whole.union(cut).mapInArrow(_decode, fields)

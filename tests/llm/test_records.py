@@ -168,3 +168,24 @@ def test_cut_and_altered_archives_are_read(packed):
             warc.http_payload(r["block"]) if r else None
         if packed:  # a checksum stands over each record, so what is read is what was written
             assert all(known.get(r["record_id"]) == r["block"] for r in found if r)
+
+
+def test_records_across_members(spark, tmp_path):
+    one = lambda n, x: warc._record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{n}>")], b"HTTP/1.1 200 OK\r\n\r\n" + x)
+    records = [one(i, bytes([65 + i]) * (100 * i)) for i in range(8)]
+    between = b"\r\n\r\n"
+    cut = [records[0] + between, records[1][:40], records[1][40:] + between, records[2] + between + records[3] + between, records[4][:150], records[4][150:], between]
+    data = b"".join(gzip.compress(x) for x in cut) + gzip.compress(records[5] + between)[:-9] + b"".join(gzip.compress(x + between) for x in records[6:])
+    found = list(warc.read_records(data))
+    assert [r and r["record_id"] for r in found] == ["<0>", "<1>", "<2>", "<3>", "<4>", None, "<6>", "<7>"]
+    assert list(warc.read_records(b"".join(x + between for x in records))) == list(warc.read_records(b"".join(gzip.compress(x + between) for x in records)))
+    # a cut record takes its missing bytes from the next one, as its length says; those after that are read
+    lost = gzip.compress(records[7][:-5]) + b"".join(gzip.compress(x + between) for x in records[:3])
+    assert [r and r["record_id"] for r in warc.read_records(lost)] == ["<7>", None, "<1>", "<2>"] and list(warc.read_records(b"")) == []
+
+
+def test_page_of_very_many_segments(spark, tmp_path):
+    html = "".join(f"{i:07d} " for i in range(2 << 20))
+    warc.write_archives(spark.createDataFrame([(1, "http://a", html)], "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    (row,) = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert row.payload == html.encode()
