@@ -286,6 +286,24 @@ def test_mix_reaches_targets(docs):
     same([tuple(r) for r in got], [tuple(r) for r in mixing.mix(docs.repartition(5), group_rows=4, fan_in=2).collect()])
 
 
+def test_mix_comes_near_each_target(spark):
+    rng = random.Random(6)
+    # a hot source, one of few long documents, one of a single document, rows without doc_id
+    made = [(None if i % 4 == 0 else i, "w " * rng.randint(0, 60), "hot") for i in range(3000)]
+    made += [(5000 + i, "w " * rng.randint(500, 3000), "long") for i in range(40)] + [(7000, "w " * 77, "one"), (7001, None, "none")]
+    made += [(8000 + i, "w " * 9, None) for i in range(500)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    for how in ({}, {"group_rows": 64, "fan_in": 3}):
+        got = mixing.mix(docs, **how).collect()
+        largest, taken, target = Counter(), Counter(), {}
+        for r in got:
+            largest[r.source] = max(largest[r.source], r.size)
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            assert r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        assert len(got) == len(made) and all(abs(taken[s] - target[s]) < max(1, largest[s]) for s in target)
+
+
 @pytest.mark.parametrize("pool", [True, False])
 def test_pivot_keeps_sums_and_expectations(pool):
     rng = np.random.default_rng(3)
