@@ -59,3 +59,18 @@ def test_maintenance_loop_runs_alone(spark, tmp_path):
     q.stop()
     assert runs == [False]  # while it ran, nobody else could
     assert lease.take()
+
+
+def test_next_event_in_one_long_range(spark):
+    """60,000 requests in one range take seconds: a frame that shrinks was gone through anew for each of them."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from recollect.operators.adjacent import next_at
+
+    rows = spark.range(60_000).select(F.lit("k").alias("key"), (F.col("id") * 2).alias("at"))
+    began = time.perf_counter()
+    found = next_at(rows, rows.select("key", (F.col("at") + 1).alias("at")), "key", "at", "into")
+    assert found.where("into IS NULL OR into <> at + 1").count() == 1
+    assert time.perf_counter() - began < 60
