@@ -284,3 +284,16 @@ def test_scratch_folder_has_to_be_named_on_a_cluster():
         session.scratch_root(Session())
     Session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
     assert session.scratch_root(Session()) == "hdfs://x/y"
+
+
+def test_many_equal_vectors_give_no_more_than_the_best(spark):
+    """Of vectors that are all alike a query keeps its k least ids, and each id its next: once all of them left the task."""
+    df = spark.range(1200).select("id", F.array(*(F.lit(x) for x in (0.1, 0.7, -0.3))).alias("v"))
+    a, b = retrieval._met(df, df, (), 100)
+    assert retrieval._multiplied(a, b, (), 0.0, 3).groupBy("i", F.pmod(F.xxhash64("j"), F.lit(12))).count().agg(F.max("count")).first()[0] <= 3
+    near = {}
+    for r in retrieval.knn(df, df, 3).collect():
+        near.setdefault(r.query_id, []).append((r["rank"], r.id))
+    assert all([x for _, x in sorted(near[i])] == [j for j in range(4) if j != i][:3] for i in range(1200))
+    found = retrieval.similar_pairs(df, 0.9, block=100, least=True).collect()
+    assert len(found) < 1200 * 20 and {r.i for r in found} == set(range(1199)) and all(r.i < r.j for r in found)
