@@ -123,3 +123,21 @@ def test_nothing_to_search(spark, tmp_path):
 def test_search_in_an_empty_index(spark, tmp_path, match):
     index = TextIndex.create(frame(spark, {1: "x"}).limit(0), str(tmp_path / "index"))
     assert found(index, spark, [(1, "river")], 5, match=match) == []
+
+
+def test_a_pass_over_the_texts_finds_what_the_index_finds(spark, tmp_path, monkeypatch):
+    """Equal texts, a null, an empty one, unknown terms, scopes; no index is made for few queries, one for many."""
+    from recollect.sources import text_scan
+
+    words = ["river", "stone", "tree", "café", "sun", "moon"]
+    texts = [None, ""] + [" ".join(words[(i * j + j) % 6] for j in range(1 + i % 7)) for i in range(60)] + ["river stone"] * 30
+    rows = spark.createDataFrame([(i, t, "ab"[i % 2] if i % 9 else None) for i, t in enumerate(texts)], "id long, text string, s string").repartition(3)
+    asked = spark.createDataFrame([(1, "river stone", "a"), (2, "Cafe sun nowhere", "b"), (3, "tree", None), (4, "", "a"), (5, "moon sun", "a")], "query_id long, text string, s string")
+    scan = text_scan.TextScan(rows.select("id", "text"), str(tmp_path / "scan"))
+    index = TextIndex.create(rows.select("id", "text"), str(tmp_path / "index"))
+    get = lambda of, *a: sorted((r.query_id, r["rank"], r.id, round(r.bm25, 9)) for r in of.search(asked, 4, *a).collect())
+    for a in (("any",), ("all",), ("any", rows.where("id % 3 > 0")), ("any", rows, ("s",))):
+        assert get(scan, *a) == get(index, *a), a
+    assert get(scan, "any") and not (tmp_path / "scan").exists()
+    monkeypatch.setattr(text_scan, "MOST_TERMS", 2)
+    assert get(scan, "any") == get(index, "any") and (tmp_path / "scan").exists()
