@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm import decontam, mixing, quality, secrets, simhash, similar
+from recollect.llm.components import merged_groups
 from recollect.session import written
 
 
@@ -14,8 +15,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are 0.8 similar, the one with the smallest doc_id."""
-    return simhash.keep_one(docs, found=similar.near_duplicates(docs))
+    """One document of each group of texts that SimHash links or whose five-word shingles are 0.8 similar, the one with the smallest doc_id.
+
+    Fingerprints within four bits are operator 9's links. The exact similarity adds those between texts
+    that differ in more bits; a group may hold links of both kinds.
+    """
+    return simhash.keep_one(docs, found=merged_groups(similar.near_duplicates(docs), simhash.near_duplicates(docs)))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

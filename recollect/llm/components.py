@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +68,21 @@ def named_groups(rows: DataFrame, edges: DataFrame) -> DataFrame:
     named = tied.unionByName(fps.where("component IS NULL").select("fp", F.col("first").alias("component_id"))).withColumn("_named", F.lit(True))
     joined = _salted(rows, named, "fp", "doc_id", "left")
     return joined.select("doc_id", "fp", F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def merged_groups(*found: DataFrame) -> DataFrame:
+    """(doc_id, component_id), each doc_id once: the groups of several results (doc_id, component_id) over the same documents, joined where they meet.
+
+    component_id is the least doc_id of a joined group. A null doc_id stays alone only if each
+    result leaves one that names its group, and so does a doc_id of several rows.
+    """
+    rows = reduce(DataFrame.unionByName, (f.select("doc_id", "component_id", F.lit(n).alias("nth")) for n, f in enumerate(found)))
+    rows = written(rows.distinct(), "merged-groups")
+    first = rows.where("doc_id = component_id").select("doc_id", "nth")
+    edges = rows.where("doc_id <> component_id").join(first, ["doc_id", "nth"], "left_anti").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    ties = components(edges).select(F.col("node").alias("doc_id"), "component")
+    ids = rows.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    named = ids.join(ties, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    of_null = rows.where("doc_id IS NULL").groupBy("nth").agg(F.max(F.col("component_id").isNull()).alias("alone"), F.min("component_id").alias("c"))
+    of_null = of_null.agg(F.min("alone").alias("alone"), F.min("c").alias("c"), F.count("*").alias("n")).where("n > 0")
+    return named.unionByName(of_null.select(F.lit(None).cast("long").alias("doc_id"), F.when(~F.col("alone"), F.col("c")).alias("component_id")))
