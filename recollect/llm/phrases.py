@@ -4,14 +4,15 @@ Texts are packed to shards of one language. A first pass adds up a one-row count
 all phrases of up to ``MOST`` words: each shard sends its cells to the ranges of cells that
 own them and gets the sums back (see ``_ranges``). The sketch is as wide as the corpus needs
 and is never whole in one place; a cell's sum is an upper bound of each phrase in it. Phrases of a
-shard whose bound reaches ``LEAST`` are its candidates; they are compiled to an Aho-Corasick
-automaton, words between delimiters, which counts their overlapping matches in that shard.
+shard whose bound reaches ``LEAST`` are its candidates; they are compiled to Aho-Corasick
+automata, words between delimiters, which count their overlapping matches in that shard.
 Only the sums of those decide, so the sketch can't drop or add anything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -36,6 +37,8 @@ SHARD_BYTES, HELD_BYTES = 12_000_000, 48_000_000
 RANGE_BYTES = 4_000_000
 #: Cells of the sketch for each byte of text, which are about as many as there are distinct phrases.
 CELLS = 0.15
+#: Phrases of an automaton, and letters that it reads at a time: an automaton keeps 4 bytes for each letter, and some 170 for each phrase.
+AT_ONCE, LETTERS_AT_ONCE = 150_000, 1_000_000
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Piece ends become line feeds, tabs spaces.
@@ -91,9 +94,10 @@ def _joined(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The words of a shard and its phrases of each length: 64-bit hashes by place, 0 where a piece ends before."""
+    """The words of a shard and its phrases; one length of them is in memory at a time."""
 
     def __init__(self, row: dict, most: int):
+        self.most = most
         self.text = zstandard.ZstdDecompressor().decompress(row["data"])
         # each token, a word or the line feed between two pieces, has one space after it
         ends = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 0x20).astype(np.int32) + 1
@@ -101,48 +105,84 @@ class Grams:
         names = [x[:-1] for x in tokens.dictionary.to_pylist()]
         line = names.index(b"\n") if b"\n" in names else len(names)
         self.names = [b"\n", *names[:line], *names[line + 1 :]]
-        self.tokens = tokens.indices.to_numpy().astype(np.int64)
-        self.tokens = np.where(self.tokens == line, 0, self.tokens + (self.tokens < line))
+        tokens = tokens.indices.to_numpy()
+        self.tokens = np.where(tokens == line, np.int32(0), tokens + (tokens < line))
         seed = xxhash.xxh64_intdigest(row["lang"].encode())
         self.of_name = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in self.names), np.uint64, len(self.names))
-        word = self.of_name[self.tokens]
-        good = self.tokens > 0
-        self.hashes = [np.where(good, word, np.uint64(0))]
-        for k in range(1, most):
-            if len(word) <= k:
-                break
-            good = good[:-1] & (self.tokens[k:] > 0)
-            before = self.hashes[-1][: len(good)]
-            self.hashes.append(np.where(good, _joined(before, word[k:]), np.uint64(0)))
+
+    def _words(self, k: int) -> list[np.ndarray]:
+        """The first words of all phrases of k words, their second, .. to their last."""
+        n = max(len(self.tokens) - k + 1, 0)
+        inside = np.logical_and.reduce([self.tokens[i : i + n] > 0 for i in range(k)])
+        return [self.tokens[i : i + n][inside] for i in range(k)]
+
+    def _hashes(self, words: list[np.ndarray]) -> np.ndarray:
+        of = self.of_name[words[0]]
+        for word in words[1:]:
+            of = _joined(of, self.of_name[word])
+        return of
 
     def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(cells that phrases of the shard fall into, ascending, how many of its phrases do)."""
-        every = np.concatenate([h[h > 0] for h in self.hashes])
-        every >>= np.uint64(64 - bits)
+        every, n = np.empty(self.most * len(self.tokens), np.uint64), 0
+        for k in range(1, self.most + 1):
+            hashes = self._hashes(self._words(k))
+            np.right_shift(hashes, np.uint64(64 - bits), out=every[n : n + len(hashes)])
+            n += len(hashes)
+            del hashes
+        every = every[:n]
         every.sort()  # in place, as this is the largest array of a shard
-        new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-        return every[new], np.diff(np.append(new, len(every)))
-
-    def candidates(self, bits: int, cells: np.ndarray, bounds: np.ndarray, least: int) -> list[np.ndarray]:
-        """The distinct phrases of each length whose cell's sum reaches ``least``: a row of word numbers each."""
-        out = []
-        for k, hashes in enumerate(self.hashes):
-            at = np.flatnonzero(hashes)
+        new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[:n]).astype(np.int32)
+        return every[new], np.diff(new, append=np.int32(n))
+
+    def candidates(self, bits: int, cells: np.ndarray, bounds: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """The distinct phrases whose cell's sum reaches ``least``: a row of word numbers each, by length, then words, AT_ONCE at most in an array."""
+        size = np.uint64(len(self.names))
+        for k in range(1, self.most + 1):
             # distinct by their words, not by a hash; a shard has too few words for a number to overflow
-            key = np.zeros(len(at), np.uint64)
-            for i in range(k + 1):
-                key = key * np.uint64(len(self.names)) + self.tokens[at + i].astype(np.uint64)
+            key = np.zeros(1, np.uint64)
+            for word in self._words(k):
+                key = key * size + word
             key = distinct(key)
-            words = np.empty((len(key), k + 1), np.int64)
-            for i in range(k, -1, -1):
-                rest = key // np.uint64(len(self.names))
-                key, words[:, i] = rest, key - rest * np.uint64(len(self.names))
-            of = self.of_name[words[:, 0]]
-            for i in range(1, k + 1):
-                of = _joined(of, self.of_name[words[:, i]])
-            by = np.argsort(of)  # so that the cells are gone through in order
-            at = np.searchsorted(cells, of[by] >> np.uint64(64 - bits))
-            out.append(words[by[bounds[at] >= least]])
+            for first in range(0, len(key), AT_ONCE):
+                some, words = key[first : first + AT_ONCE], []
+                for _ in range(k):
+                    rest = some // size
+                    words.append((some - rest * size).astype(np.int32))
+                    some = rest
+                words.reverse()
+                of = self._hashes(words) >> np.uint64(64 - bits)
+                by = np.argsort(of)  # so that the cells are gone through in order
+                likely = np.sort(by[bounds[np.searchsorted(cells, of[by])] >= least])
+                if len(likely):
+                    yield np.stack([word[likely] for word in words], axis=1)
+
+    @cached_property
+    def letters(self) -> list[str]:
+        """The words, a letter a byte."""
+        return [x.decode("latin-1") for x in self.names]
+
+    def _pieces(self) -> Iterator[str]:
+        """The text in parts of whole lines, a letter a byte."""
+        first = 0
+        while first < len(self.text):
+            last = self.text.rfind(b"\n", first, first + LETTERS_AT_ONCE)
+            last = self.text.find(b"\n", first) if last < 0 else last
+            last = len(self.text) if last < 0 else last
+            yield self.text[first:last].decode("latin-1")
+            first = last + 1
+
+    def occurrences(self, phrases: np.ndarray) -> np.ndarray:
+        """How often each of some phrases, rows of word numbers, occurs."""
+        if phrases.shape[1] == 1:
+            return np.bincount(self.tokens, minlength=len(self.names))[phrases[:, 0]]
+        automaton = ahocorasick.Automaton()
+        for i, words in enumerate(phrases.tolist()):
+            automaton.add_word(f" {' '.join([self.letters[w] for w in words])} ", i)
+        automaton.make_automaton()
+        out = np.zeros(len(phrases), np.int64)
+        for text in self._pieces():
+            out += np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(out))
         return out
 
 
@@ -153,24 +193,13 @@ def _counted(bits: int, most: int, least: int):
         row = table.to_pylist()[0]
         grams = Grams(row, most)
         cells, _ = grams.cells(bits)
-        found = grams.candidates(bits, cells, counts_of(answers)[0], least)
-        del grams.hashes
-        counts = [np.bincount(grams.tokens, minlength=len(grams.names))[found[0][:, 0]]]
-        longer = found[1:]
-        if sum(map(len, longer)):
-            automaton, letters = ahocorasick.Automaton(), [x.decode("latin-1") for x in grams.names]  # a letter a byte
-            i = 0
-            for level in longer:
-                for words in level.tolist():
-                    automaton.add_word(f" {' '.join([letters[w] for w in words])} ", i)
-                    i += 1
-            automaton.make_automaton()
-            matches = np.bincount(np.fromiter((i for _, i in automaton.iter(grams.text.decode("latin-1"))), np.int64), minlength=i)
-            counts += np.split(matches, np.cumsum([len(x) for x in longer])[:-1])
-        names = pa.array(grams.names, pa.binary())
-        phrases = [pc.binary_join_element_wise(*(names.take(pa.array(level[:, j])) for j in range(level.shape[1])), b" ") for level in found[: len(counts)]]
-        keys = [pc.binary_join_element_wise(pa.scalar(row["lang"].encode() + b"\t"), x, b"") for x in phrases]
-        return pa.table({"key": pa.chunked_array(keys, pa.binary()).cast(pa.string()), "f": pa.array(np.concatenate(counts), pa.int64())})
+        names, lang = pa.array(grams.names, pa.binary()), pa.scalar(row["lang"].encode() + b"\t")
+        keys, counts = [], []
+        for some in grams.candidates(bits, cells, counts_of(answers)[0], least):
+            phrases = pc.binary_join_element_wise(*(names.take(pa.array(word)) for word in some.T), b" ")
+            keys.append(pc.binary_join_element_wise(lang, phrases, b"").cast(pa.string()))
+            counts.append(pa.array(grams.occurrences(some), pa.int64()))
+        return pa.table({"key": pa.chunked_array(keys, pa.string()), "f": pa.chunked_array(counts, pa.int64())})
 
     return run
 
