@@ -25,18 +25,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm._ranges import _pack_hashes, _unpack_hashes, blocks_of, counted, counts_of, mix64, texts_of
-from recollect.llm._text import LOWER_AZ
+from recollect.llm._text import LOWER_AZ, slices
 from recollect.llm.components import named_groups
 from recollect.session import written
 
 SHINGLE, LEAST = 5, 0.8
 #: Bytes of text in a block; bytes of shingles that are compared in a task at once.
-BLOCK_BYTES, CELL_BYTES = 6_000_000, 16_000_000
+BLOCK_BYTES, CELL_BYTES = 3_000_000, 16_000_000
+#: Bytes of text that are cut to shingles at a time.
+TEXTS_AT_ONCE = 1_000_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[bytes], size: int = SHINGLE, at_once: int = TEXTS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each distinct shingle of ``size`` words, by text, then hash; of all words if there are fewer."""
+    offsets = np.cumsum([0, *map(len, texts)])
+    parts = [(first, *_shingles(texts[first:last], size)) for first, last in slices(offsets, at_once)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([of + first for first, of, _ in parts]), np.concatenate([hashes for _, _, hashes in parts])
+
+
+def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     numbers: dict[bytes, int] = {}
     number, at, ends = numbers.setdefault, [], []
     for text in texts:
