@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm import decontam, mixing, quality, secrets, simhash, similar
 from recollect.llm.components import merged_groups
-from recollect.session import written
+from recollect.session import small_batches, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble doesn't reject; it learns from this stage's own input."""
+    small_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -20,21 +21,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Fingerprints within four bits are operator 9's links. The exact similarity adds those between texts
     that differ in more bits; a group may hold links of both kinds.
     """
+    small_batches(spark)
     return simhash.keep_one(docs, found=merged_groups(similar.near_duplicates(docs), simhash.near_duplicates(docs)))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    small_batches(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, with ``copy`` counting from 1; others go."""
+    small_batches(spark)
     return mixing.repeat(docs)
 
 

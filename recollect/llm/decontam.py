@@ -48,7 +48,8 @@ SHARED = 32
 BITS_EACH, LEAST_BITS, MOST_BITS = 7, 20, 27
 #: Most benchmark windows, or tokens of items, that are broadcast; beyond, the joins shuffle.
 BROADCAST_WINDOWS = 200_000
-_CHUNK_TOKENS, _CACHE_WORDS = 500_000, 300_000
+#: Bytes of text that are cut to tokens at a time; words that are remembered.
+_CHUNK_BYTES, _CACHE_WORDS = 1_000_000, 300_000
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _NUMBER = re.compile(rb"\d+(?:[.,:/-]\d+)*(?:st|nd|rd|th)?")
@@ -343,7 +344,7 @@ def _document_windows(bit_map, bits: int, sizes: list[tuple[int, int]]):
                 marks.append(th)
                 texts.append(data)
                 size += len(data)
-                if size > 6 * _CHUNK_TOKENS:
+                if size > _CHUNK_BYTES:
                     yield of(ids, marks, texts, canonical)
                     ids, marks, texts, size = [], [], [], 0
             if ids:

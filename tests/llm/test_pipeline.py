@@ -1,9 +1,11 @@
 """The pipeline's stages over the awkward table and against a plain version of each decision."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
 from recollect.llm import queries
+from recollect.session import BATCH_BYTES
 from tests.llm import tricky
 
 JUNK = " ".join(f"{w}###" for w in tricky.text(50, 60).split())
@@ -58,3 +60,11 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_python_is_given_few_bytes_at_a_time(spark):
+    """Of documents of 5 KB no more than some MB meet in a batch, whatever their number."""
+    docs = spark.range(4_000).selectExpr("id AS doc_id", "repeat('x', 5000) AS text", "'en' AS lang", "'a' AS source", "0L AS n_chars").coalesce(1)
+    corpus_pipeline.mask_secrets(spark, docs, "")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * BATCH_BYTES
