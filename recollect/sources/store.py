@@ -1,9 +1,10 @@
 """A stored table of memories that changes in place, part by part, and by whole commits.
 
-Rows are in parts of consecutive ids, within a part by status, within a file by id. A change
-writes a new version of the parts that it touches and of no others; one small file in
-``commits`` makes all of them valid at once. Readers take the last committed version of each
-part, so a writer that dies leaves nothing but files that nobody reads.
+Rows are in parts of consecutive ids. A change writes a new version of the parts that it touches
+and of no others, all into one folder, there by status, then by part and id: files are as many as
+tasks and statuses, however many parts there are. One small file in ``commits`` makes all of them
+valid at once. Readers take the last committed version of each part, so a writer that dies
+leaves nothing but files that nobody reads.
 """
 
 from __future__ import annotations
@@ -38,29 +39,53 @@ class Store:
     def _part(self, of: Column) -> Column:
         return F.floor(of / self.ids).cast("long")
 
+    def _commits(self) -> dict[int, dict[int, int]]:
+        """By version, the rows of each part that it wrote; as many as parts."""
+        made: dict[int, dict[int, int]] = {}
+        for r in self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").collect():
+            made.setdefault(r["version"], {})[r["part"]] = r["n"]
+        return made
+
     def live(self) -> dict[int, int]:
         """The committed version of each part that has rows; as many as parts."""
-        rows = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").groupBy("part").agg(F.max(F.struct("version", "n")).alias("v"))
-        return {r["part"]: r["v"]["version"] for r in rows.collect() if r["v"]["n"] > 0}
+        return self._live(self._commits())
+
+    @staticmethod
+    def _live(made: dict[int, dict[int, int]]) -> dict[int, int]:
+        last = {p: (v, n) for v, parts in sorted(made.items()) for p, n in parts.items()}
+        return {p: v for p, (v, n) in last.items() if n > 0}
 
     def _commit(self, rows: DataFrame, version: int, touched: list[int]) -> dict[int, int]:
-        data = f"{self.path}/data"
-        dealt = rows.withColumn("part", self._part(F.col("id"))).withColumn("version", F.lit(version).cast("long")).withColumn("_status", F.col("status"))
-        dealt = dealt.repartitionByRange("part", "_status", "id").sortWithinPartitions("part", "_status", "id")
+        path = f"{self.path}/data/version={version}"
+        dealt = rows.withColumn("part", self._part(F.col("id"))).withColumn("_status", F.col("status"))
+        dealt = dealt.repartitionByRange("_status", "part", "id").sortWithinPartitions("_status", "part", "id")
         # an attempt that died may have left files of this version
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version", "_status").parquet(data)
-        found = self._files().where(F.col("version") == version).groupBy("part").agg(F.count("*").alias("n")) if dealt.take(1) else None
-        made = {r["part"]: r["n"] for r in found.collect()} if found is not None else {}
+        dealt.write.mode("overwrite").partitionBy("_status").parquet(path)
+        made = {r["part"]: r["n"] for r in self._files(path).groupBy("part").agg(F.count("*").alias("n")).collect()}
         made = {p: made.get(p, 0) for p in {*touched, *made} if not touched or p in touched}
         self.spark.createDataFrame([(version, p, n) for p, n in made.items()], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return made
 
     def _files(self, *paths: str) -> DataFrame:
-        return self.spark.read.schema(self._stored()).option("basePath", f"{self.path}/data").parquet(*(paths or (f"{self.path}/data",)))
+        return self.spark.read.schema(self._stored()).option("basePath", f"{self.path}/data").parquet(*paths)
 
     def _rows(self, parts: list[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/data/part={p}/version={v}" for p, v in sorted(self.live().items()) if parts is None or p in parts]
-        return self._files(*paths) if paths else self.spark.createDataFrame([], self._stored())
+        """The rows of ``parts``, or all: of each version that has some, the parts that no later one wrote."""
+        made, of = self._commits(), {}
+        for part, version in self._live(made).items():
+            of.setdefault(version, []).append(part)
+        wanted = of if parts is None else {v: w for v, live in of.items() if (w := sorted({*parts} & {*live}))}
+        if not wanted:
+            return self.spark.createDataFrame([], self._stored())
+        rows = self._files(*(f"{self.path}/data/version={v}" for v in sorted(wanted)))
+        some, whole = [], True
+        for version, own in sorted(wanted.items()):
+            others = {p for p, n in made[version].items() if n > 0} - {*own}
+            few = others if len(others) < len(own) else own
+            which = f" AND part {'NOT ' * (few is others)}IN ({', '.join(f'{p}L' for p in sorted(few))})" if others else ""
+            some.append(f"(version = {version}L{which})")
+            whole = whole and not others
+        return rows if whole else rows.where(" OR ".join(some))
 
     def _stored(self) -> T.StructType:
         return T.StructType([*self.schema.fields, T.StructField("part", T.LongType()), T.StructField("version", T.LongType()), T.StructField("_status", T.StringType())])

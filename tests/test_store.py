@@ -60,6 +60,21 @@ def test_a_killed_change_leaves_the_old_state(spark, tmp_path, monkeypatch):
     assert after[7][2] == 1 and after[60][2] == 0 and len(after) == 200
 
 
+def test_files_do_not_grow_with_parts(spark, tmp_path):
+    """Many small parts are written to a few files, and a change of all of them too."""
+    files = lambda: len(list(tmp_path.glob("store/data/**/*.parquet")))
+    store = Store.create(table(spark, 1000), str(tmp_path / "store"), 5)
+    made = files()
+    assert made <= 24
+    want = content(store)
+    hits = spark.range(0, 1000, 10)
+    assert store.change(hits, mutations.recalled) == {p: 5 for p in range(0, 200, 2)}
+    assert files() <= 2 * made
+    want |= {i: (*want[i][:2], 1) for i in range(0, 1000, 10)}
+    assert content(store) == want
+    assert {r.id: r.recall_count for r in store.lookup(spark.createDataFrame([(0,), (5,), (10,)], "id long")).collect()} == {0: 1, 5: 0, 10: 1}
+
+
 def test_plans_open_what_they_need(spark, tmp_path):
     store = Store.create(table(spark, 1000), str(tmp_path / "store"), 50)
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
