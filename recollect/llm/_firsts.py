@@ -106,7 +106,7 @@ def firsts(blocks: DataFrame, distinct: Callable[[dict], tuple[np.ndarray, np.nd
     """ANSWER_SCHEMA with ``block``, for the (hashes ascending, counts, smallest documents) that ``distinct`` gives of each block."""
     asked = [blocks.mapInArrow(_ask(distinct, net), ASK_SCHEMA)]
     while len(asked) < net.levels:
-        asked[-1] = written(asked[-1], "questions")
+        asked[-1] = written(asked[-1], "questions", wide=True)
         asked.append(asked[-1].groupBy("node").applyInArrow(_merge(net), ASK_SCHEMA))
     answers = asked[-1].groupBy("node").applyInArrow(_answer, ANSWER_SCHEMA)
     for questions in reversed(asked[:-1]):

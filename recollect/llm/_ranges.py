@@ -27,12 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm._text import distinct as distinct_values
 from recollect.llm._text import string_column
 from recollect.session import written
 
 #: Rows that a block or a node sends at each level.
 FAN = 256
 SPARE_BITS, LEAST_BITS = 12, 44
+#: Bytes of questions that leave Python at a time.
+SENT_BYTES = 4_000_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -142,6 +145,17 @@ def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
 
+def _batches(rows: list[tuple], schema: str, kinds: list) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about SENT_BYTES; they are taken from the list."""
+    rows.reverse()
+    while rows:
+        some, size = [], 0
+        while rows and size < SENT_BYTES:
+            some.append(rows.pop())
+            size += sum(len(x) for x in some[-1] if isinstance(x, bytes))
+        yield _batch(some, schema, kinds)
+
+
 def _ask(distinct: Callable[[dict], tuple[np.ndarray, np.ndarray]], net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +163,7 @@ def _ask(distinct: Callable[[dict], tuple[np.ndarray, np.ndarray]], net: Network
                 row = batch.slice(i, 1).to_pylist()[0]
                 # which blocks meet first is decided by hash, so groups have about the same number
                 group = xxhash.xxh64_intdigest(str(row["block"])) % net.fan ** (net.levels - 1)
-                yield _batch(net.asked(str(row["block"]), 0, group, 0, *distinct(row)), ASK_SCHEMA, _ASK_TYPES)
+                yield from _batches(net.asked(str(row["block"]), 0, group, 0, *distinct(row)), ASK_SCHEMA, _ASK_TYPES)
 
     return run
 
@@ -157,11 +171,12 @@ def _ask(distinct: Callable[[dict], tuple[np.ndarray, np.ndarray]], net: Network
 def _questions(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(distinct hashes, their counts, for each question the places of what it asked)."""
     asked = [_unpack_hashes(x.as_py()) for x in table.column("hashes")]
-    own = [_unpack_counts(a.as_py(), b.as_py()) for a, b in zip(table.column("low"), table.column("high"), strict=True)]
-    hashes, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    hashes = distinct_values(np.concatenate(asked))
+    places = [np.searchsorted(hashes, x).astype(np.int32) for x in asked]
     sums = np.zeros(len(hashes), np.int64)
-    np.add.at(sums, inverse, np.concatenate(own))
-    return hashes, sums, np.split(inverse, np.cumsum([len(x) for x in asked])[:-1])
+    for place, low, high in zip(places, table.column("low"), table.column("high"), strict=True):
+        sums[place] += _unpack_counts(low.as_py(), high.as_py())  # a question has each hash once
+    return hashes, sums, places
 
 
 def _merge(net: Network):
@@ -171,7 +186,7 @@ def _merge(net: Network):
         name = table.column("node")[0].as_py()
         level, group, place = map(int, name.split("."))
         hashes, sums, _ = _questions(table)
-        return pa.Table.from_batches([_batch(net.asked(name, level, group, place, hashes, sums), ASK_SCHEMA, _ASK_TYPES)])
+        return pa.Table.from_batches(_batches(net.asked(name, level, group, place, hashes, sums), ASK_SCHEMA, _ASK_TYPES))
 
     return run
 
@@ -220,7 +235,7 @@ def counted(blocks: DataFrame, distinct: Callable[[dict], tuple[np.ndarray, np.n
     """
     asked = [blocks.mapInArrow(_ask(distinct, net), ASK_SCHEMA)]
     while len(asked) < net.levels:
-        asked[-1] = written(asked[-1], "questions")
+        asked[-1] = written(asked[-1], "questions", wide=True)
         asked.append(asked[-1].groupBy("node").applyInArrow(_merge(net), ASK_SCHEMA))
     answers = asked[-1].groupBy("node").applyInArrow(_answer, ANSWER_SCHEMA)
     for questions in reversed(asked[:-1]):

@@ -5,14 +5,14 @@ all phrases of up to ``MOST`` words: each shard sends its cells to the ranges of
 own them and gets the sums back (see ``_ranges``). The sketch is as wide as the corpus needs
 and is never whole in one place; a cell's sum is an upper bound of each phrase in it. Phrases of a
 shard whose bound reaches ``LEAST`` are its candidates; they are compiled to Aho-Corasick
-automata, words between delimiters, which count their overlapping matches in that shard.
+automata, words by number between delimiters, which count their overlapping matches in that shard.
 Only the sums of those decide, so the sketch can't drop or add anything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm._ranges import Network, counted, counts_of, mix64
-from recollect.llm._text import distinct, string_column
-from recollect.session import written
+from recollect.llm._ranges import Network, _unpack_counts, counted, mix64
+from recollect.llm._text import distinct, gives_back, string_column
+from recollect.session import small_batches, written
 
 MOST, LEAST, TOP = 3, 10, 2000
 #: A candidate goes where some longer one has this share of its occurrences, in percent.
@@ -37,8 +37,12 @@ SHARD_BYTES, HELD_BYTES = 12_000_000, 48_000_000
 RANGE_BYTES = 4_000_000
 #: Cells of the sketch for each byte of text, which are about as many as there are distinct phrases.
 CELLS = 0.15
-#: Phrases of an automaton, and letters that it reads at a time: an automaton keeps 4 bytes for each letter, and some 170 for each phrase.
+#: Phrases of an automaton, and letters that it reads at a time.
 AT_ONCE, LETTERS_AT_ONCE = 150_000, 1_000_000
+#: Places of a shard that are looked through at a time.
+PLACES_AT_ONCE = 1_000_000
+#: Letters that a word's number is spelt with.
+LETTERS = 64
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Piece ends become line feeds, tabs spaces.
@@ -98,16 +102,18 @@ class Grams:
 
     def __init__(self, row: dict, most: int):
         self.most = most
-        self.text = zstandard.ZstdDecompressor().decompress(row["data"])
+        text = zstandard.ZstdDecompressor().decompress(row["data"])
         # each token, a word or the line feed between two pieces, has one space after it
-        ends = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 0x20).astype(np.int32) + 1
-        tokens = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(self.text)]).dictionary_encode()
+        ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20).astype(np.int32) + 1
+        tokens = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)]).dictionary_encode()
         names = [x[:-1] for x in tokens.dictionary.to_pylist()]
         line = names.index(b"\n") if b"\n" in names else len(names)
         self.names = [b"\n", *names[:line], *names[line + 1 :]]
         tokens = tokens.indices.to_numpy()
         self.tokens = np.where(tokens == line, np.int32(0), tokens + (tokens < line))
         seed = xxhash.xxh64_intdigest(row["lang"].encode())
+        self.digits = next(d for d in count(1) if LETTERS**d >= len(self.names))
+        self.dictionary = pa.array(self.names, pa.binary())
         self.of_name = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in self.names), np.uint64, len(self.names))
 
     def _words(self, k: int) -> list[np.ndarray]:
@@ -132,11 +138,16 @@ class Grams:
             del hashes
         every = every[:n]
         every.sort()  # in place, as this is the largest array of a shard
-        new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[:n]).astype(np.int32)
-        return every[new], np.diff(new, append=np.int32(n))
-
-    def candidates(self, bits: int, cells: np.ndarray, bounds: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """The distinct phrases whose cell's sum reaches ``least``: a row of word numbers each, by length, then words, AT_ONCE at most in an array."""
+        new = np.ones(n, bool)
+        np.not_equal(every[1:], every[:-1], out=new[1:])
+        places = [np.flatnonzero(new[i : i + PLACES_AT_ONCE]).astype(np.int32) + np.int32(i) for i in range(0, n, PLACES_AT_ONCE)]
+        first = np.concatenate(places or [np.zeros(0, np.int32)])
+        return every[first], np.diff(first, append=np.int32(n))
+
+    def candidates(self, bits: int, cells: np.ndarray) -> Iterator[np.ndarray]:
+        """The distinct phrases in some cells, ascending: a row of word numbers each, by length, then words, AT_ONCE at most in an array."""
+        if not len(cells):
+            return
         size = np.uint64(len(self.names))
         for k in range(1, self.most + 1):
             # distinct by their words, not by a hash; a shard has too few words for a number to overflow
@@ -153,53 +164,76 @@ class Grams:
                 words.reverse()
                 of = self._hashes(words) >> np.uint64(64 - bits)
                 by = np.argsort(of)  # so that the cells are gone through in order
-                likely = np.sort(by[bounds[np.searchsorted(cells, of[by])] >= least])
+                of = of[by]
+                likely = np.sort(by[cells[np.minimum(np.searchsorted(cells, of), len(cells) - 1)] == of])
                 if len(likely):
                     yield np.stack([word[likely] for word in words], axis=1)
 
-    @cached_property
-    def letters(self) -> list[str]:
-        """The words, a letter a byte."""
-        return [x.decode("latin-1") for x in self.names]
-
-    def _pieces(self) -> Iterator[str]:
-        """The text in parts of whole lines, a letter a byte."""
-        first = 0
-        while first < len(self.text):
-            last = self.text.rfind(b"\n", first, first + LETTERS_AT_ONCE)
-            last = self.text.find(b"\n", first) if last < 0 else last
-            last = len(self.text) if last < 0 else last
-            yield self.text[first:last].decode("latin-1")
-            first = last + 1
-
-    def occurrences(self, phrases: np.ndarray) -> np.ndarray:
+    def _letters(self, words: np.ndarray) -> str:
+        """Words as ``digits`` letters each; the first is one that only begins words, so it guards them as a delimiter does."""
+        out, rest = np.empty((words.size, self.digits), np.uint8), words.ravel()
+        for i in reversed(range(self.digits)):
+            out[:, i] = rest % LETTERS
+            rest = rest // LETTERS
+        out[:, 0] += LETTERS
+        return out.tobytes().decode("ascii")
+
+    def _parts(self) -> Iterator[str]:
+        """The shard in parts of whole pieces, as letters."""
+        ends, first = np.append(np.flatnonzero(self.tokens == 0), len(self.tokens)), 0
+        while first < len(self.tokens):
+            end = ends[max(np.searchsorted(ends, first + LETTERS_AT_ONCE // self.digits, "right") - 1, 0)]
+            end = end if end > first else ends[np.searchsorted(ends, first, "right")]
+            yield self._letters(self.tokens[first:end])
+            first = end
+
+    def phrases(self, words: np.ndarray) -> pa.Array:
+        """Phrases, rows of word numbers, as words between single spaces."""
+        return pc.binary_join_element_wise(*(self.dictionary.take(pa.array(word)) for word in words.T), b" ")
+
+    def occurrences(self, words: np.ndarray) -> np.ndarray:
         """How often each of some phrases, rows of word numbers, occurs."""
-        if phrases.shape[1] == 1:
-            return np.bincount(self.tokens, minlength=len(self.names))[phrases[:, 0]]
-        automaton = ahocorasick.Automaton()
-        for i, words in enumerate(phrases.tolist()):
-            automaton.add_word(f" {' '.join([self.letters[w] for w in words])} ", i)
+        if words.shape[1] == 1:
+            return np.bincount(self.tokens, minlength=len(self.names))[words[:, 0]]
+        automaton, letters, size = ahocorasick.Automaton(), self._letters(words), words.shape[1] * self.digits
+        for i in range(len(words)):
+            automaton.add_word(letters[i * size : (i + 1) * size], i)
         automaton.make_automaton()
-        out = np.zeros(len(phrases), np.int64)
-        for text in self._pieces():
-            out += np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(out))
+        out = np.zeros(len(words), np.int64)
+        for part in self._parts():
+            out += np.bincount(np.fromiter((i for _, i in automaton.iter(part)), np.int32), minlength=len(out))
         return out
 
 
+def _cells(bits: int, most: int):
+    """The sketch of a shard."""
+
+    def run(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        gives_back()
+        return Grams(row, most).cells(bits)
+
+    return run
+
+
 def _counted(bits: int, most: int, least: int):
-    """Counts of the candidates of a shard in that shard."""
-
-    def run(answers: pa.Table, table: pa.Table) -> pa.Table:
-        row = table.to_pylist()[0]
-        grams = Grams(row, most)
-        cells, _ = grams.cells(bits)
-        names, lang = pa.array(grams.names, pa.binary()), pa.scalar(row["lang"].encode() + b"\t")
-        keys, counts = [], []
-        for some in grams.candidates(bits, cells, counts_of(answers)[0], least):
-            phrases = pc.binary_join_element_wise(*(names.take(pa.array(word)) for word in some.T), b" ")
-            keys.append(pc.binary_join_element_wise(lang, phrases, b"").cast(pa.string()))
-            counts.append(pa.array(grams.occurrences(some), pa.int64()))
-        return pa.table({"key": pa.chunked_array(keys, pa.string()), "f": pa.chunked_array(counts, pa.int64())})
+    """Counts of the candidates of a shard in that shard, for a shard and the answers that it got; an automaton's phrases leave at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gives_back()
+        row, reach = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1).to_pylist()[0]
+                if one["data"] is None:
+                    reach[one["part"]] = _unpack_counts(one["low"], one["high"]) >= least
+                else:
+                    row = one
+        grams, lang = Grams(row, most), pa.scalar(row["lang"].encode() + b"\t")
+        del batch, one, row
+        cells = grams.cells(bits)[0][np.concatenate([reach.pop(part) for part in sorted(reach)])]
+        for words in grams.candidates(bits, cells):
+            counts = pa.array(grams.occurrences(words), pa.int64())
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, grams.phrases(words), b"").cast(pa.string()), counts], ["key", "f"])
 
     return run
 
@@ -210,12 +244,14 @@ def counts(docs: DataFrame, most: int = MOST, least: int = LEAST) -> tuple[DataF
     Null languages are ``und``; null texts are empty.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    shards = written(docs.mapInArrow(_shards, SHARD_SCHEMA), "phrase-shards")
+    small_batches(docs.sparkSession)
+    shards = written(docs.mapInArrow(_shards, SHARD_SCHEMA), "phrase-shards", wide=True)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(60, max(16, int(size * CELLS).bit_length()))
     net = Network.of(max(1, -(-size // RANGE_BYTES)), bits)
-    answers = counted(shards.select("block", "lang", "data"), lambda row: Grams(row, most).cells(bits), net)
-    own = answers.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_counted(bits, most, least), "key string, f long")
+    answers = counted(shards.select("block", "lang", "data"), _cells(bits, most), net)
+    both = answers.select("block", "part", "low", "high").unionByName(shards.select("block", "lang", "data"), allowMissingColumns=True)
+    own = both.groupBy("block").applyInArrow(_counted(bits, most, least), "key string, f long")
     # a language and a phrase travel as one string; there is no tab in a phrase
     sums = own.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     phrase = F.substring_index("key", "\t", -1)
