@@ -153,7 +153,7 @@ class Grams:
             # distinct by their words, not by a hash; a shard has too few words for a number to overflow
             key = np.zeros(1, np.uint64)
             for word in self._words(k):
-                key = key * size + word
+                key = key * size + word.astype(np.uint64)  # with a signed one it would be a double
             key = distinct(key)
             for first in range(0, len(key), AT_ONCE):
                 some, words = key[first : first + AT_ONCE], []

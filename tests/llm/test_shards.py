@@ -79,3 +79,14 @@ def test_large_rows_are_written_in_small_pieces(spark):
         files = [pq.ParquetFile(p) for p in Path(out.inputFiles()[0].removeprefix("file://")).parent.glob("*.parquet")]
         sizes = [f.metadata.row_group(i).column(1).total_compressed_size for f in files for i in range(f.num_row_groups)]
         assert out.count() == 200 and (max(sizes) < 2**24 * 1.2) == wide
+
+
+def test_phrases_of_many_different_words(task):
+    """Numbers of three of them don't fit a double's 53 bits."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(250_000)]
+    rng.shuffle(words)
+    grams = phrases.Grams(shard(" ".join(words)), 3)
+    found = {tuple(x) for some in grams.candidates(40, grams.cells(40)[0]) if some.shape[1] == 3 for x in some.tolist()}
+    place = {name.decode(): i for i, name in enumerate(grams.names)}
+    assert found == {tuple(place[w] for w in words[i : i + 3]) for i in range(len(words) - 2)}
