@@ -71,6 +71,14 @@ def test_questions_leave_in_small_batches(monkeypatch):
     assert len(got) > 10 and [x for b in got for x in b["hashes"].to_pylist()] == want
 
 
+def test_a_hash_that_a_question_has_twice_counts_twice():
+    hashes, counts = np.array([3, 5, 5, 9], np.uint64), np.array([1, 2, 300, 4])
+    net = _ranges.Network.of(1, 44)
+    table = pa.Table.from_batches([_ranges._batch(net.asked(x, 0, 0, 0, hashes, counts), _ranges.ASK_SCHEMA, _ranges._ASK_TYPES) for x in "78"])
+    answers = _ranges._answer(table)
+    assert [_ranges.counts_of(answers.slice(i, 1))[0].tolist() for i in (0, 1)] == [[2, 604, 604, 8]] * 2
+
+
 def test_large_rows_are_written_in_small_pieces(spark):
     """A page was looked at after 100 rows, so one of questions had up to 100 MB, and a row group 128 MB."""
     df = spark.range(200, numPartitions=1).select("id", F.expr("cast(array_join(transform(sequence(1, 30000), x -> hex(hash(id, x))), '') as binary)").alias("data"))
